@@ -118,8 +118,10 @@ def write_power_2d(table: DataFrame, path: str, lam: float, box: Box) -> None:
     empty = float("nan")
     columns = {"k": "k", "mu": "mu", "Pdd": "pdd", "Pdu": "pdu", "Puu": "puu"}
     one = one.fillna(empty, subset=list(columns.values()))
+    last = one.agg({"ix": "max", "iy": "max"}).first()
+    shape = (last["max(ix)"] + 1, last["max(iy)"] + 1)
     parameters = {"z": box.z, "omega_m": box.omega_m, "lambda": lam}
-    write_arrays(one, path, parameters, {name: [(c, "<f4")] for name, c in columns.items()})
+    write_arrays(one, path, parameters, {name: [(c, "<f4")] for name, c in columns.items()}, shape)
 
 
 def characteristic_function(

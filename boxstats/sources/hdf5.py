@@ -266,9 +266,14 @@ def _create(path: str, parameters: dict[str, float], arrays: dict[str, tuple[str
 
 
 def write_arrays(
-    df: DataFrame, path: str, parameters: dict[str, float], arrays: dict[str, list[tuple[str, str]]]
+    df: DataFrame,
+    path: str,
+    parameters: dict[str, float],
+    arrays: dict[str, list[tuple[str, str]]],
+    shape: tuple[int, ...] | None = None,
 ) -> int:
     """``arrays`` maps a dataset to its (column, format) fields: one row of df per record.
+    ``shape`` folds the rows of single-column datasets into more dimensions.
 
     Rows keep the order of the partitions of ``df``. The tasks write their ranges directly.
     """
@@ -280,7 +285,7 @@ def write_arrays(
         rows += row["n"]
     if rows == 0:
         raise ValueError("the catalogue is empty")
-    shapes = {name: (f[0][1], (rows, len(f)) if len(f) > 1 else (rows,)) for name, f in arrays.items()}
+    shapes = {name: (f[0][1], (rows, len(f)) if len(f) > 1 else shape or (rows,)) for name, f in arrays.items()}
     offsets = _create(path, parameters, shapes)
     written = write_blocks(df, path, [Block(offsets[n], f) for n, f in arrays.items()], first_rows)
     if written != rows:

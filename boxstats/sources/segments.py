@@ -52,6 +52,8 @@ class Segment:
 
 def open_file(path: str, mode: str = "rb"):
     """Local paths and every file system URI that Arrow knows."""
+    if path.startswith("file:"):
+        path = path[len("file:") :].replace("//", "/", 1) if path.startswith("file://") else path[len("file:") :]
     if "://" not in path:
         return open(path, mode)
     from pyarrow import fs
