@@ -8,11 +8,20 @@ import struct
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boxstats.box import Box
 from boxstats.functions.periodic import V, X
 from boxstats.operators.transforms import wrap_positions
-from boxstats.sources.segments import Block, Segment, open_file, read_segments
+from boxstats.sources.segments import (
+    Block,
+    Segment,
+    open_file,
+    partition_starts,
+    read_segments,
+    write_blocks,
+)
+from boxstats.storage import materialize
 
 PARTICLE_SCHEMA = "pid bigint, " + ", ".join(f"{c} double" for c in (*X, *V))
 
@@ -215,3 +224,42 @@ def read_snapshot(
     if physical_positions:
         df = df.withColumns({c: df[c] * header.time for c in X})
     return df, header.box
+
+
+def write_snapshot(df: DataFrame, path: str, box: Box, mass: float = 0.0, hubble: float = 0.7) -> int:
+    """One snapshot file of halo-type particles: pid as id, velocities back in file units.
+
+    Positions, velocities and ids are written by the tasks in place; masses are one header value.
+    """
+    if not mass > 0:
+        raise ValueError("a snapshot needs a positive particle mass")
+    root = math.sqrt(box.a)
+    df = materialize(df.select("pid", *X, *[(F.col(v) / F.lit(root)).alias(v) for v in V]))
+    first_rows, rows = partition_starts(df)
+    if rows == 0:
+        raise ValueError("the catalogue is empty")
+    counts = tuple(rows if t == HALO_TYPE else 0 for t in range(PARTICLE_TYPES))
+    masses = tuple(mass if t == HALO_TYPE else 0.0 for t in range(PARTICLE_TYPES))
+    header = SnapshotHeader(
+        counts, masses, box.a, box.z, 0, 1, box.boxsize, box.omega_m, 1.0 - box.omega_m, hubble, counts
+    )
+    wide = df.agg(F.max("pid")).first()[0] >= 1 << 32
+    records = [
+        [(c, "<f4") for c in X],
+        [(c, "<f4") for c in V],
+        [("pid", "<u8" if wide else "<u4")],
+    ]
+    if max(Block(0, fields).dtype.itemsize for fields in records) * rows >= 1 << 31:
+        raise ValueError("a record mark holds 32 bits: write more than one file")
+    blocks = []
+    with open_file(path, "xb") as file:
+        mark = struct.pack("<i", HEADER_BYTES)
+        file.write(mark + pack_header(header) + mark)
+        for fields in records:
+            block = Block(file.tell() + 4, fields)
+            size = block.dtype.itemsize * rows
+            file.write(struct.pack("<i", size))
+            file.seek(size, 1)
+            file.write(struct.pack("<i", size))
+            blocks.append(block)
+    return write_blocks(df, path, blocks, first_rows)

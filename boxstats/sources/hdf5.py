@@ -9,10 +9,16 @@ import struct
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from boxstats.functions.periodic import V, X
-from boxstats.sources.segments import Block, Segment, open_file, read_segments, write_blocks
+from boxstats.sources.segments import (
+    Block,
+    Segment,
+    open_file,
+    partition_starts,
+    read_segments,
+    write_blocks,
+)
 from boxstats.storage import materialize
 
 # Fixed values of the file format.
@@ -259,7 +265,7 @@ def _create(path: str, parameters: dict[str, float], arrays: dict[str, tuple[str
     image.put(8, "<BBBxBBBxHHI", 0, 0, 0, 0, 8, 8, LEAF_RANK, NODE_RANK, 0)
     image.put(24, "<QQQQ", 0, UNDEFINED, end, UNDEFINED)
     image.put(56, "<QQIIQQ", 0, root, 1, 0, tree, heap)
-    with open(path, "xb") as file:
+    with open_file(path, "xb") as file:
         file.write(image.data)
         file.truncate(end)
     return offsets
@@ -278,11 +284,7 @@ def write_arrays(
     Rows keep the order of the partitions of ``df``. The tasks write their ranges directly.
     """
     df = materialize(df.select(*[c for fields in arrays.values() for c, _ in fields]))
-    counts = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    first_rows, rows = {}, 0
-    for row in counts:
-        first_rows[row["p"]] = rows
-        rows += row["n"]
+    first_rows, rows = partition_starts(df)
     if rows == 0:
         raise ValueError("the catalogue is empty")
     shapes = {name: (f[0][1], (rows, len(f)) if len(f) > 1 else shape or (rows,)) for name, f in arrays.items()}

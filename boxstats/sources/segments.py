@@ -12,6 +12,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ROWS_PER_TASK = 1 << 22
@@ -137,6 +138,16 @@ def read_segments(
     )
 
 
+def partition_starts(df: DataFrame) -> tuple[dict[int, int], int]:
+    """First row of every partition in partition order, and the row count."""
+    counts = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+    starts, rows = {}, 0
+    for row in counts:
+        starts[row["p"]] = rows
+        rows += row["n"]
+    return starts, rows
+
+
 def write_blocks(df: DataFrame, path: str, blocks: list[Block], first_rows: dict[int, int]) -> int:
     """Fill the arrays of an existing file from ``df``; tasks write disjoint ranges in place.
 
