@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hook(both, True, 2 * state[0])
-        edges = _hook(large, False, 2 * state[0])
+        edges = materialize(_hook(large, False, 2 * state[0]))
         before, state = state, _digest(edges)
     # Every remaining edge points from a node to the smallest of its component.
     roots = edges.select(F.col("v").alias("id")).distinct().withColumn("comp", F.col("id"))
@@ -43,7 +43,7 @@ def _hook(edges: DataFrame, larger: bool, n_nodes: int) -> DataFrame:
     moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not larger:
         moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
-    return materialize(moved.filter("u != v").distinct())
+    return moved.filter("u != v").distinct()
 
 
 def _digest(edges: DataFrame) -> tuple:

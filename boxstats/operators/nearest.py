@@ -10,6 +10,7 @@ from boxstats.functions.periodic import V, X, box_dist2, wrap
 from boxstats.operators.joins import lookup_join
 from boxstats.operators.tree import (
     MAX_SIDE,
+    SPLIT_BITS,
     Positions,
     Tree,
     build_tree,
@@ -136,18 +137,18 @@ def _near_cells(asked: Positions, points: Positions, box: Box, level: int, k: in
     Queries are grouped by leaf cells of at most QUERY_CAP. Those with more than MAX_TESTS
     points around them come back as ``crowded`` instead.
     """
-    own = build_tree(asked, box, 1, QUERY_CAP, start=level)
+    side = 1 << level
+    own = build_tree(asked, box, side, QUERY_CAP, start=0)
     leaves = own.cells.filter("leaf").select(F.col("cid").alias("a_cid"), "lvl", "n")
     _, *c = unpack(F.col("a_cid"))
     leaves = leaves.withColumns({f"c{i}": c[i] for i in range(3)}).select(
-        "a_cid", "n", *[F.expr(f"shiftright(c{i}, lvl - {level})").alias(f"c{i}") for i in range(3)]
+        "a_cid", "n", *[F.expr(f"shiftright(c{i}, {SPLIT_BITS} * lvl)").alias(f"c{i}") for i in range(3)]
     )
-    side = 1 << level
     steps = F.array(*[F.lit(s) for s in sorted({o % side for o in (-1, 0, 1)})])
     for i in range(3):
         leaves = leaves.withColumn(f"s{i}", F.explode(steps))
-    near_id = pack(F.lit(level), [F.pmod(F.col(f"c{i}") + F.col(f"s{i}"), F.lit(side)) for i in range(3)])
-    gridded = points.df.withColumn("cid", cell_id(box, 1, level))
+    near_id = pack(F.lit(0), [F.pmod(F.col(f"c{i}") + F.col(f"s{i}"), F.lit(side)) for i in range(3)])
+    gridded = points.df.withColumn("cid", cell_id(box, side, 0))
     counts = gridded.groupBy(F.col("cid").alias("b_cid")).agg(F.count(F.lit(1)).alias("m"))
     ids = leaves.select("a_cid", "n", near_id.alias("b_cid")).join(counts, "b_cid")
     # At most 27 rows share a leaf.

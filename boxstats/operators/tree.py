@@ -24,6 +24,8 @@ from boxstats.storage import materialize
 
 # A cell id packs the level and three indices of AXIS_BITS bits each.
 AXIS_BITS = 19
+# A split cuts every axis into 2^SPLIT_BITS parts.
+SPLIT_BITS = 2
 MAX_SIDE = 1 << AXIS_BITS
 MEAN_OCCUPANCY = 16
 
@@ -109,14 +111,15 @@ def _with_ancestors(leaves: DataFrame) -> DataFrame:
     indexed = leaves.withColumns({f"_c{i}": c[i] for i in AXES}).withColumn(
         "lvl", F.explode(F.expr("sequence(0, _leaf_lvl)"))
     )
-    shifted = [F.expr(f"shiftright(_c{i}, _leaf_lvl - lvl)") for i in AXES]
+    shifted = [F.expr(f"shiftright(_c{i}, {SPLIT_BITS} * (_leaf_lvl - lvl))") for i in AXES]
     return indexed.withColumn("anc", pack(F.col("lvl"), shifted)).drop("_c0", "_c1", "_c2")
 
 
 def cell_index(x: Column, box: Box, side: int, level: int) -> Column:
-    """Scaling by 2^level is exact, so an index at one level is half the index at the next."""
-    t = x * F.lit(float(side)) / F.lit(float(box.boxsize)) * F.lit(float(1 << level))
-    return F.least(F.floor(t), F.lit(side * (1 << level) - 1).cast("bigint"))
+    """Scaling by a power of two is exact, so a cell is exactly the sum of its parts."""
+    parts = 1 << (SPLIT_BITS * level)
+    t = x * F.lit(float(side)) / F.lit(float(box.boxsize)) * F.lit(float(parts))
+    return F.least(F.floor(t), F.lit(side * parts - 1).cast("bigint"))
 
 
 def cell_id(box: Box, side: int, level: int) -> Column:
@@ -135,11 +138,15 @@ def base_side(box: Box, radius: float, rows: int) -> int:
 def start_level(side: int, rows: int, cap: int) -> int:
     """First level at which evenly spread positions would leave no crowded cell."""
     level = 0
-    while rows / float(side << level) ** 3 > 0.5 * cap and (side << (level + 1)) <= MAX_SIDE:
+    while rows / float(_side_at(side, level)) ** 3 > 0.5 * cap and _side_at(side, level + 1) <= MAX_SIDE:
         level += 1
     return level
 
 
+def _side_at(side: int, level: int) -> int:
+    return side << (SPLIT_BITS * level)
+
+
 def build_tree(
     positions: Positions, box: Box, side: int, cap: int, sums: dict[str, Column] | None = None, start: int | None = None
 ) -> Tree:
@@ -147,29 +154,35 @@ def build_tree(
     totals of column expressions over its points."""
     if start is None:
         start = start_level(side, positions.rows, cap)
-    level, pending, leaves = start, positions.df, []
+    sums = sums or {}
+    bounds = []
+    for i in AXES:
+        bounds += [F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}")]
+    totals = [F.sum(c).alias(s) for s, c in sums.items()]
+
+    level, pending, leaves, leaf_cells = start, positions.df, [], []
     while True:
         pending = pending.withColumn("cid", cell_id(box, side, level))
-        crowded = pending.groupBy("cid").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > cap).select("cid")
-        deeper = (side << (level + 1)) <= MAX_SIDE
-        n_crowded = crowded.count() if deeper else 0
+        found = pending.groupBy("cid").agg(
+            F.count(F.lit(1)).alias("n"), F.min("pid").alias("rep"), *bounds, *totals
+        )
+        found = materialize(found.withColumn("lvl", F.lit(level)))
+        crowded = found.filter(F.col("n") > cap).select("cid", F.lit(True).alias("_crowded"))
+        n_crowded = crowded.count() if _side_at(side, level + 1) <= MAX_SIDE else 0
         if n_crowded == 0:
             leaves.append(pending.withColumn("lvl", F.lit(level)))
+            leaf_cells.append(found)
             break
-        flags = crowded.withColumn("_crowded", F.lit(True))
-        pending = materialize(lookup_join(pending, flags, ["cid"], "left", n_crowded))
+        pending = materialize(lookup_join(pending, crowded, ["cid"], "left", n_crowded))
         leaves.append(pending.filter("_crowded is null").drop("_crowded").withColumn("lvl", F.lit(level)))
+        leaf_cells.append(found.filter(F.col("n") <= cap))
         pending = pending.filter("_crowded").drop("_crowded", "cid")
         level += 1
     points = union_all(leaves)
+    if len(leaves) > 2:
+        points = materialize(points)
+    leaf_cells = union_all(leaf_cells)
 
-    sums = sums or {}
-    bounds = []
-    for i in AXES:
-        bounds += [F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}")]
-    leaf_cells = points.groupBy("cid", "lvl").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pid").alias("rep"), *bounds, *[F.sum(c).alias(s) for s, c in sums.items()]
-    )
     if level == 0:
         cells = leaf_cells.withColumn("leaf", F.lit(True)).withColumn("parent", F.lit(None).cast("bigint"))
     else:
@@ -188,9 +201,10 @@ def build_tree(
             )
         )
         _, *c = unpack(F.col("cid"))
-        up = pack(F.col("lvl") - 1, [F.shiftright(x, 1) for x in c])
+        up = pack(F.col("lvl") - 1, [F.shiftright(x, SPLIT_BITS) for x in c])
         cells = cells.withColumn("parent", F.when(F.col("lvl") > 0, up))
-    return Tree(points, materialize(cells), box, side, level, tuple(sums))
+        cells = materialize(cells)
+    return Tree(points, cells, box, side, level, tuple(sums))
 
 
 @dataclass(frozen=True)
@@ -259,8 +273,7 @@ def cell_pairs(
         unsettled = level.filter(~F.col("_settled"))
         done_open.append(unsettled.filter(both_leaf))
         level = classify(split_pairs(unsettled.filter(~both_leaf).drop("_settled"), a, b, half))
-    if settle is not None:
-        level = materialize(level)
+    level = materialize(level)
     done_inside.append(level.filter("_settled"))
     done_open.append(level.filter(~F.col("_settled")))
     return CellPairs(
@@ -287,7 +300,7 @@ def join_points(ids: DataFrame, a: DataFrame, b: DataFrame, box: Box) -> DataFra
 
 def pair_ids(pairs: DataFrame) -> DataFrame:
     tests = F.col("a.n").cast("double") * F.col("b.n")
-    return materialize(pairs.select(F.col("a.cid").alias("a_cid"), F.col("b.cid").alias("b_cid"), tests.alias("tests")))
+    return pairs.select(F.col("a.cid").alias("a_cid"), F.col("b.cid").alias("b_cid"), tests.alias("tests"))
 
 
 def point_pairs(

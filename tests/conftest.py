@@ -42,7 +42,7 @@ class Cloud:
         x = rng.integers(0, 4096, (n, 3)) / 16.0
         third = n // 3
         x[:third] = x[0]
-        x[third : third + n // 4] = (x[third] + rng.integers(0, 32, (n // 4, 3)) / 16.0) % size
+        x[third : third + n // 4] = (x[third] + rng.integers(0, 128, (n // 4, 3)) / 16.0) % size
         self.x = x
         self.v = rng.integers(-1000, 1000, (n, 3)).astype(float)
 
