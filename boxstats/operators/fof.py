@@ -87,7 +87,7 @@ def fof_groups(points: DataFrame, box: Box, link: float, cap: int = LEAF_CAP) ->
         parents = tree.cells.filter("not leaf").select(F.col("cid").alias("anc"), tree.cell_struct("c"))
         solid = parents.filter(diagonal2 < F.lit(link2)).select("anc", F.col("c.rep").alias("src"))
         leaves = tree.cells.filter("leaf").select("cid", F.col("rep").alias("dst"))
-        edges.append(tree.ancestors().join(solid, "anc").join(leaves, "cid").select("src", "dst"))
+        edges.append(lookup_join(tree.ancestors(), solid, ["anc"]).join(leaves, "cid").select("src", "dst"))
     components = connected_components(union_all(edges)).withColumnRenamed("id", "node")
     labels = nodes.join(components, "node", "left").select("pid", *X, F.coalesce("comp", "node").alias("gid"))
     if not pos.has_copies:

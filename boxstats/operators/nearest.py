@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxstats.box import Box
 from boxstats.functions.periodic import V, X, box_dist2, wrap
-from boxstats.operators.joins import lookup_join
+from boxstats.operators.joins import HOT_KEYS, lookup_join
 from boxstats.operators.tree import (
     MAX_SIDE,
     SPLIT_BITS,
@@ -155,6 +155,10 @@ def _near_cells(asked: Positions, points: Positions, box: Box, level: int, k: in
     around = F.sum("m").over(Window.partitionBy("a_cid"))
     ids = materialize(ids.withColumn("around", around).withColumn("tests", F.col("n").cast("double") * F.col("m")))
     flags = ids.filter(F.col("around") > MAX_TESTS).select(F.col("a_cid").alias("cid"), F.lit(True).alias("crowded"))
+    if flags.take(1):
+        # No direct pair names a cell beyond the limit; keep the fullest of them out of the shuffle.
+        full = counts.filter(F.col("m") > MAX_TESTS).orderBy(F.desc("m"), "b_cid").limit(HOT_KEYS)
+        gridded = gridded.join(F.broadcast(full.select(F.col("b_cid").alias("cid"))), "cid", "left_anti")
     direct = ids.filter(F.col("around") <= MAX_TESTS).select("a_cid", "b_cid", "tests")
     near = _closest(direct, own.points, gridded, box, k, payload)
     near = near.select(F.col("a_cid").alias("cid"), "pid", "near")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from boxstats.box import Box
 from boxstats.functions.periodic import V, X, wrap
 from boxstats.operators.joins import lookup_join
-from boxstats.storage import materialize
 from boxstats.operators.tree import (
     base_side,
     build_tree,
@@ -16,6 +15,7 @@ from boxstats.operators.tree import (
     distinct_positions,
     point_pairs,
 )
+from boxstats.storage import materialize
 
 LEAF_CAP = 256
 
@@ -50,11 +50,12 @@ def smooth_velocity(points: DataFrame, box: Box, radius: float, cap: int = LEAF_
     inside = found.inside.groupBy(F.col("a.cid").alias("anc")).agg(
         F.sum("b.cnt").alias("n"), *[F.sum(f"b.s{i}").alias(f"s{i}") for i in range(3)]
     )
-    whole = (
-        tree.ancestors()
-        .join(inside, "anc")
-        .groupBy("cid")
-        .agg(F.sum("n").alias("n_in"), *[F.sum(f"s{i}").alias(f"s{i}_in") for i in range(3)])
+    if tree.depth == 0:
+        below = inside.withColumnRenamed("anc", "cid")
+    else:
+        below = lookup_join(tree.ancestors(), materialize(inside), ["anc"])
+    whole = below.groupBy("cid").agg(
+        F.sum("n").alias("n_in"), *[F.sum(f"s{i}").alias(f"s{i}_in") for i in range(3)]
     )
 
     def total(c):

@@ -70,15 +70,12 @@ def distinct_positions(
 ) -> Positions:
     """Merge the copies of a position; ``with_first`` keeps those columns of the smallest pid."""
     wrapped = points.withColumns({c: wrap(F.col(c).cast("double"), box.boxsize) for c in X})
-    first = F.min(F.struct("pid", *with_first)).alias("_first")
-    df = (
-        wrapped.groupBy(*X)
-        .agg(
-            first,
-            F.count(F.lit(1)).alias("w"),
-            *[F.sum(c).alias(name) for name, c in (sums or {}).items()],
-        )
-        .select(*X, "_first.*", "w", *(sums or {}))
+    # Plain numbers in the buffers keep this a hash aggregate; pids are unique, so min_by is exact.
+    df = wrapped.groupBy(*X).agg(
+        F.min("pid").alias("pid"),
+        *[F.min_by(c, "pid").alias(c) for c in with_first],
+        F.count(F.lit(1)).alias("w"),
+        *[F.sum(c).alias(name) for name, c in (sums or {}).items()],
     )
     df = materialize(df)
     size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("n")).first()
