@@ -27,35 +27,25 @@ def min_image(dx: Column, boxsize: float) -> Column:
     return dx - size * F.rint(dx / size)
 
 
-def fold(t: Column, boxsize: float) -> Column:
-    """|dx| in [0, L] -> distance to the nearest image."""
-    return F.least(t, F.lit(float(boxsize)) - t)
+def dist2(a: list[str], b: list[str], boxsize: float) -> Column:
+    """Squared distance of the points with the named coordinate columns."""
+    size = f"{float(boxsize)!r}D"
+    d = [f"({p} - {q} - {size} * rint(({p} - {q}) / {size}))" for p, q in zip(a, b)]
+    return F.expr(" + ".join(f"{x} * {x}" for x in d))
 
 
-def dist2(a: list[Column], b: list[Column], boxsize: float) -> Column:
-    d = [min_image(p - q, boxsize) for p, q in zip(a, b)]
-    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-
-
-def interval_bounds(alo, ahi, blo, bhi, boxsize: float) -> tuple[Column, Column]:
-    """Least and largest periodic |a - b| for a in [alo, ahi], b in [blo, bhi]."""
-    half = 0.5 * boxsize
-    near = F.greatest(F.lit(0.0), alo - bhi, blo - ahi)
-    far = F.greatest(ahi - blo, bhi - alo)
-    least = F.least(fold(near, boxsize), fold(far, boxsize))
-    largest = (
-        F.when(far <= half, far)
-        .when(near >= half, F.lit(float(boxsize)) - near)
-        .otherwise(F.lit(half))
-    )
-    return least, largest
+def box_dist2(a: str, b: str, boxsize: float) -> tuple[Column, Column]:
+    """(min, max) squared distance between points of two box structs with fields lo0..hi2."""
+    size, half = f"{float(boxsize)!r}D", f"{0.5 * boxsize!r}D"
+    least, largest = [], []
+    for i in AXES:
+        alo, ahi, blo, bhi = f"{a}.lo{i}", f"{a}.hi{i}", f"{b}.lo{i}", f"{b}.hi{i}"
+        near = f"greatest(0D, {alo} - {bhi}, {blo} - {ahi})"
+        far = f"greatest({ahi} - {blo}, {bhi} - {alo})"
+        least.append(f"least({near}, {size} - {near}, {far}, {size} - {far})")
+        largest.append(f"CASE WHEN {far} <= {half} THEN {far} WHEN {near} >= {half} THEN {size} - {near} ELSE {half} END")
 
+    def squares(parts):
+        return F.expr(" + ".join(f"({x}) * ({x})" for x in parts))
 
-def box_dist2(a: Column, b: Column, boxsize: float) -> tuple[Column, Column]:
-    """(min, max) squared distance between points of two boxes with fields lo0..hi2."""
-    lo, hi = [], []
-    for i in AXES:
-        near, far = interval_bounds(a[f"lo{i}"], a[f"hi{i}"], b[f"lo{i}"], b[f"hi{i}"], boxsize)
-        lo.append(near * near)
-        hi.append(far * far)
-    return lo[0] + lo[1] + lo[2], hi[0] + hi[1] + hi[2]
+    return squares(least), squares(largest)

@@ -13,6 +13,7 @@ from boxstats.operators.tree import (
     Tree,
     base_side,
     build_tree,
+    children,
     distinct_positions,
     neighbour_pairs,
     point_pairs,
@@ -39,11 +40,12 @@ def _cell_links(tree: Tree, link2: float) -> tuple[DataFrame, DataFrame]:
     size = tree.box.boxsize
 
     def solid(name):
-        _, diagonal2 = box_dist2(F.col(name), F.col(name), size)
+        _, diagonal2 = box_dist2(name, name, size)
         return F.when(diagonal2 < F.lit(link2), F.col(name)["rep"])
 
-    near2, far2 = box_dist2(F.col("a"), F.col("b"), size)
+    near2, far2 = box_dist2("a", "b", size)
     level = neighbour_pairs(tree, tree, half=True).withColumns({"sa": solid("a"), "sb": solid("b")})
+    below = children(tree, "c")
     edges, leaf_pairs = [], []
     for step in range(tree.depth + 1):
         level = materialize(level.filter(near2 < F.lit(link2)).withColumn("inside", far2 < F.lit(link2)))
@@ -54,7 +56,7 @@ def _cell_links(tree: Tree, link2: float) -> tuple[DataFrame, DataFrame]:
         both_leaf = F.col("a.leaf") & F.col("b.leaf")
         leaf_pairs.append(rest.filter(both_leaf).select("a", "b"))
         if step < tree.depth:
-            level = split_pairs(rest.filter(~both_leaf), tree, tree, half=True).withColumns(
+            level = split_pairs(rest.filter(~both_leaf), below, below, half=True).withColumns(
                 {"sa": F.coalesce("sa", solid("a")), "sb": F.coalesce("sb", solid("b"))}
             )
     return union_all(edges).toDF("src", "dst"), union_all(leaf_pairs)
@@ -73,7 +75,7 @@ def fof_groups(points: DataFrame, box: Box, link: float, cap: int = LEAF_CAP) ->
     tree = build_tree(pos, box, base_side(box, link, pos.rows), cap)
     cell_edges, leaf_pairs = _cell_links(tree, link2)
 
-    _, diagonal2 = box_dist2(F.col("c"), F.col("c"), box.boxsize)
+    _, diagonal2 = box_dist2("c", "c", box.boxsize)
     leaf_rep = tree.cells.filter("leaf").select("cid", tree.cell_struct("c")).filter(diagonal2 < F.lit(link2))
     nodes = materialize(
         tree.points.join(leaf_rep.select("cid", F.col("c.rep").alias("rep")), "cid", "left").select(

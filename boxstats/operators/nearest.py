@@ -15,6 +15,7 @@ from boxstats.operators.tree import (
     Tree,
     build_tree,
     cell_id,
+    children,
     distinct_positions,
     join_points,
     neighbour_pairs,
@@ -174,11 +175,12 @@ def _descend(asked: Positions, tree: Tree, box: Box, k: int, payload: list[str])
     Query leaves hold one position, so the bound is as tight there as the data are dense.
     """
     own = build_tree(asked, box, 1, 1)
-    near2, far2 = box_dist2(F.col("a"), F.col("b"), box.boxsize)
+    near2, far2 = box_dist2("a", "b", box.boxsize)
     infinity = F.lit(float("inf"))
     level = neighbour_pairs(own, tree, half=False).withColumn("bound", infinity)
     by_far = Window.partitionBy("a.cid").orderBy("far2", "b.cid")
     per_cell = Window.partitionBy("a.cid")
+    ka, kb = children(own, "a"), children(tree, "b")
     depth = max(own.depth, tree.depth)
     for step in range(depth + 1):
         level = level.withColumn("near2", near2).filter("near2 <= bound").withColumn("far2", far2)
@@ -187,6 +189,6 @@ def _descend(asked: Positions, tree: Tree, box: Box, k: int, payload: list[str])
         level = level.withColumn("bound", F.least("bound", F.coalesce(enough, infinity)))
         level = materialize(level.filter("near2 <= bound").select("a", "b", "bound"))
         if step < depth:
-            level = split_pairs(level, own, tree, half=False)
+            level = split_pairs(level, ka, kb, half=False)
     near = _closest(pair_ids(level), own.points, tree.points, box, k, payload)
     return near.select("pid", *X, "near")

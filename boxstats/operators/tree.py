@@ -46,10 +46,10 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def never_null(df: DataFrame, prefix: str, columns: list[str]) -> list[Column]:
-    """Renamed columns that Spark knows to hold no NULL, which keeps the checks out of the
-    generated pair loop (it must stay small enough to be compiled to machine code)."""
-    return [F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)).alias(f"{prefix}{c}") for c in columns]
+def never_null(columns: list[str], prefix: str = "") -> list[str]:
+    """SQL for renamed columns that Spark knows to hold no NULL, which keeps the checks out of
+    the generated pair loop (it must stay small enough to be compiled to machine code)."""
+    return [f"coalesce({c}, {'false' if c == 'leaf' else 0}) AS {prefix}{c}" for c in columns]
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ class Tree:
     def cell_struct(self, name: str) -> Column:
         bounds = [f"{b}{i}" for b in ("lo", "hi") for i in AXES]
         fields = ["cid", "leaf", "n", "rep", *bounds, *self.sums]
-        return F.struct(*never_null(self.cells, "", fields)).alias(name)
+        return F.expr(f"struct({', '.join(never_null(fields))})").alias(name)
 
     def ancestors(self) -> DataFrame:
         """(cid, anc, lvl): every leaf with each cell that contains it, itself included."""
@@ -233,10 +233,9 @@ def children(tree: Tree, name: str) -> DataFrame:
     return below.unionByName(leaf)
 
 
-def split_pairs(pairs: DataFrame, a: Tree, b: Tree, half: bool) -> DataFrame:
-    """Replace both cells of every pair by their children."""
-    ka = children(a, "_na").withColumnRenamed("_key", "_ka")
-    kb = children(b, "_nb").withColumnRenamed("_key", "_kb")
+def split_pairs(pairs: DataFrame, ka: DataFrame, kb: DataFrame, half: bool) -> DataFrame:
+    """Replace both cells of every pair by their children, as given by ``children``."""
+    ka, kb = ka.toDF("_ka", "_na"), kb.toDF("_kb", "_nb")
     rest = [c for c in pairs.columns if c not in ("a", "b")]
     out = pairs.join(ka, F.col("a.cid") == F.col("_ka")).join(kb, F.col("b.cid") == F.col("_kb"))
     if half:
@@ -252,7 +251,7 @@ def cell_pairs(
     ``settle`` says when a pair wholly inside the radius needs no test of its points (None
     for never). Crowded cells are opened level by level, on cell rows only.
     """
-    near2, far2 = box_dist2(F.col("a"), F.col("b"), a.box.boxsize)
+    near2, far2 = box_dist2("a", "b", a.box.boxsize)
     r2 = F.lit(float(radius2))
     reach = near2 < r2 if strict else near2 <= r2
     inside = far2 < r2 if strict else far2 <= r2
@@ -263,13 +262,14 @@ def cell_pairs(
 
     both_leaf = F.col("a.leaf") & F.col("b.leaf")
     level = classify(neighbour_pairs(a, b, half))
+    ka, kb = children(a, "a"), children(b, "b")
     done_inside, done_open = [], []
     for _ in range(max(a.depth, b.depth)):
         level = materialize(level)
         done_inside.append(level.filter("_settled"))
         unsettled = level.filter(~F.col("_settled"))
         done_open.append(unsettled.filter(both_leaf))
-        level = classify(split_pairs(unsettled.filter(~both_leaf).drop("_settled"), a, b, half))
+        level = classify(split_pairs(unsettled.filter(~both_leaf).drop("_settled"), ka, kb, half))
     level = materialize(level)
     done_inside.append(level.filter("_settled"))
     done_open.append(level.filter(~F.col("_settled")))
@@ -288,10 +288,11 @@ def join_points(ids: DataFrame, a: DataFrame, b: DataFrame, box: Box) -> DataFra
     """
     spark = ids.sparkSession
     tests = ids.agg(F.sum("tests")).first()[0] or 0
-    left, right = a.select(*never_null(a, "a_", a.columns)), b.select(*never_null(b, "b_", b.columns))
+    left = a.selectExpr(*never_null(a.columns, "a_"))
+    right = b.selectExpr(*never_null(b.columns, "b_"))
     spread = ids.drop("tests").join(right, "b_cid").repartition(tasks_for(spark, tests), "a_cid")
     joined = spread.join(left, "a_cid")
-    d2 = dist2([F.col(f"a_{c}") for c in X], [F.col(f"b_{c}") for c in X], box.boxsize)
+    d2 = dist2([f"a_{c}" for c in X], [f"b_{c}" for c in X], box.boxsize)
     return joined.withColumn("d2", d2)
 
 
