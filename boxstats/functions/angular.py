@@ -1,11 +1,10 @@
-"""Legendre polynomials, shell volumes and the sinc function as column expressions."""
+"""Legendre polynomials and shell volumes as column expressions."""
 
 from __future__ import annotations
 
 import math
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 def p2(nu2: Column) -> Column:
@@ -22,7 +21,3 @@ def p4(nu2: Column) -> Column:
 
 def shell_volume(lower: Column, upper: Column) -> Column:
     return (4.0 * math.pi / 3.0) * (upper * upper * upper - lower * lower * lower)
-
-
-def sinc(x: Column) -> Column:
-    return F.when(x == 0, F.lit(1.0)).otherwise(F.sin(x) / x)
