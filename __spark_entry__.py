@@ -6,6 +6,7 @@ is to the nearest, with the tie moved off the exact half, where a last bit would
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -245,8 +246,23 @@ _QUERIES = (
 )
 
 
+def _optional(name: str):
+    """The module, or None where its package has been taken out."""
+    try:
+        return importlib.import_module(name)
+    except ModuleNotFoundError as error:
+        if error.name in ("corpus_pipeline", "boxstats.llm", "boxstats.llm.queries"):
+            return None
+        raise
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    found = {q.__name__: q for q in _QUERIES}
+    if llm := _optional("boxstats.llm.queries"):
+        found |= llm.queries()
+    if pipeline := _optional("corpus_pipeline"):
+        found["pipeline"] = pipeline.run
+    return found
 
 
 # --- SQL ----------------------------------------------------------------------------------
@@ -490,6 +506,15 @@ SELECT pid, x0, x1, x2, v0, v1, v2 FROM o WHERE o <= floor({SAMPLE}::DOUBLE * (S
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _engine_sql()
+    if llm := _optional("boxstats.llm.queries"):
+        found |= llm.oracle_sql()
+    if (pipeline := _optional("corpus_pipeline")) and pipeline.ORACLE_SQL:
+        found["pipeline"] = pipeline.ORACLE_SQL
+    return found
+
+
+def _engine_sql() -> dict[str, str]:
     exact = f"WITH {_P}, {_values(EXACT_LAMBDAS)}, s AS ({_shifted('p', EXACT_LAMBDAS)})"
     nn = f"WITH {_P}, {_RP}"
     phi = "SELECT i::INTEGER AS i, 10.0::DOUBLE * i / 1000.0::DOUBLE AS lam, {0} FROM {1}, range(1001) t(i) GROUP BY i".format(
