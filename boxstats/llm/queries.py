@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxstats.llm import mixing, quality, topk
+from boxstats.llm import jaccard, mixing, quality, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op5_exact_top_k(spark, sf_dir):
     return topk.top_k(rows.filter("vec_id % 50 = 0"), rows, k=5)
 
 
+def op7_ngram_jaccard(spark, sf_dir):
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -29,7 +33,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mix_sources, op5_exact_top_k, op10_quality_rules)}
+    return {f.__name__: f for f in (op4_mix_sources, op5_exact_top_k, op7_ngram_jaccard, op10_quality_rules)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
