@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxstats.llm import jaccard, mixing, quality, topk
+from boxstats.llm import jaccard, language, mixing, quality, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(buckets: int):
+    return F.crc32(F.col("doc_id").cast("string")) % buckets
+
+
+def op2_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), _fold(5) != 0)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_mix_sources(spark, sf_dir):
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -26,6 +37,13 @@ def op7_ngram_jaccard(spark, sf_dir):
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    names, vectors = language.prototypes(docs.filter(_fold(4) != 2))
+    found = language.predict(docs.select("doc_id", "text"), names, vectors)
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_quality_rules(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -33,7 +51,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mix_sources, op5_exact_top_k, op7_ngram_jaccard, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_toxicity, op4_mix_sources, op5_exact_top_k, op7_ngram_jaccard, op9_language, op10_quality_rules)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
