@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxstats.llm.text import runs, utf8
+from boxstats.llm.text import once, runs, utf8
 
 DIM = 1024
 #: Texts that the prototypes are learned from at most; a hash of doc_id picks them.
@@ -56,8 +56,6 @@ def _far(c: str) -> int:
 
 
 def _letter_table() -> np.ndarray:
-    from boxstats.llm.text import once
-
     def make():
         out = np.zeros(0x3000, np.int16)
         for c in range(len(out)):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxstats.llm import jaccard, language, mixing, quality, topk, toxicity
+from boxstats.llm import jaccard, language, mixing, packing, quality, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_toxicity(spark, sf_dir):
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark, sf_dir):
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -51,7 +55,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op4_mix_sources, op5_exact_top_k, op7_ngram_jaccard, op9_language, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_exact_top_k, op7_ngram_jaccard, op9_language, op10_quality_rules)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
