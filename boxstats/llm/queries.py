@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxstats.llm import jaccard, language, mixing, packing, quality, topk, toxicity
+from boxstats.llm import jaccard, language, mixing, packing, quality, suffixes, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_exact_top_k(spark, sf_dir):
     return topk.top_k(rows.filter("vec_id % 50 = 0"), rows, k=5)
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffixes.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_ngram_jaccard(spark, sf_dir):
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_exact_top_k, op7_ngram_jaccard, op9_language, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_exact_top_k, op6_suffix_dedup, op7_ngram_jaccard, op9_language, op10_quality_rules)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
