@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from boxstats.storage import materialize
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 5_000
 #: Ranges that one look at virtual times tells apart.
 RANGES = 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,10 +59,11 @@ def targets(sizes: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1
     return rows.select("source", "source_size", F.when(fair.isNull() | (fair > F.col("_cap")), F.col("_cap").cast("double")).otherwise(fair).alias("target"))
 
 
-def mix(docs: DataFrame, size_column: str | None = None, max_epochs: int = 3, seed: int = 13) -> DataFrame:
-    """doc_id, source and text (or a size column) -> doc_id, source, size, source_size, target, taken."""
+def mix(docs: DataFrame, size_column: str | None = None, max_epochs: int = 3, seed: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source and text (or a size column) -> doc_id, source, size, source_size, target, taken
+    and the columns named in ``carry``."""
     size = word_count(F.col("text").cast("string")) if size_column is None else F.coalesce(F.col(size_column).cast("long"), F.lit(0))
-    rows = materialize(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")))
+    rows = materialize(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), *carry))
     # The digest of the id is the same in other engines.
     rows = rows.withColumn("_h", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))))
     n = rows.count()
@@ -84,7 +85,7 @@ def mix(docs: DataFrame, size_column: str | None = None, max_epochs: int = 3, se
     ).drop("_s", "_sb")
     inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_cum", F.col("_ahead") + F.sum("size").over(inside))
-    rows = materialize(rows.select("doc_id", "source", "size", "source_size", "target", "_h", "_cum"))
+    rows = materialize(rows.select("doc_id", "source", "size", "source_size", "target", "_h", "_cum", *carry))
     # Rounds that start before the source's target, with one more for what the cut may reach.
     rounds = F.least(F.lit(max_epochs), F.floor(F.col("target") / F.col("source_size")) + 2).cast("int")
     items = rows.filter("size > 0 AND target > 0").select(
@@ -101,7 +102,7 @@ def mix(docs: DataFrame, size_column: str | None = None, max_epochs: int = 3, se
         rows["doc_id"].eqNullSafe(F.col("_d")) & rows["source"].eqNullSafe(F.col("_s")) & (rows["_cum"] == F.col("_c")) & (rows["size"] == F.col("_z")),
         "left",
     )
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.coalesce("_times", F.lit(0))).cast("long").alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.coalesce("_times", F.lit(0))).cast("long").alias("taken"), *carry)
 
 
 def _cut(items: DataFrame, budget: int) -> DataFrame:

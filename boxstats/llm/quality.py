@@ -231,3 +231,19 @@ def score(docs: DataFrame, model: QualityModel | None, keep_from: float = KEEP_F
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         work, f"doc_id long, {BASE_SCHEMA}, quality double, kept boolean"
     )
+
+
+def keep(docs: DataFrame, model: QualityModel | None, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, that ``score`` would mark as kept."""
+
+    def work(batches):
+        for whole in batches:
+            for batch in runs(whole):
+                data, offsets = utf8(batch.column("text"))
+                base = counts(data, offsets)
+                good = (base["n_words"] >= MIN_WORDS) & (100 * base["n_repeat_words"] <= MAX_REPEAT_PERCENT * base["n_words"])
+                if model:
+                    good &= model.probability(margins(model, data, offsets)) >= keep_from
+                yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(work, docs.schema)

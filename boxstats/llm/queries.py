@@ -38,7 +38,7 @@ def op5_exact_top_k(spark, sf_dir):
 
 
 def op6_suffix_dedup(spark, sf_dir):
-    return suffixes.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+    return suffixes.dedup(_table(spark, sf_dir, "documents")).drop("kept_text", "rest")
 
 
 def op7_ngram_jaccard(spark, sf_dir):

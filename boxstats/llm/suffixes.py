@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from boxstats.llm.text import Rolling, mix64, runs, utf8
 from boxstats.storage import materialize
@@ -94,19 +95,19 @@ def _runs_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """The texts in compressed form, for shuffles that must carry them."""
+    """The texts in compressed form (as ``body``), for shuffles that must carry them."""
 
     def work(batches):
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            body = [press.compress((x or "").encode()) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_crc"), pa.array(body, pa.binary())], ["doc_id", "text_crc", "body"]
-            )
+            body = pa.array([press.compress(x.encode()) for x in batch.column("text").to_pylist()], pa.binary())
+            others = [x for x in batch.schema.names if x != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in others), body], [*others, "body"])
 
-    return docs.mapInArrow(work, "doc_id long, text_crc long, body binary")
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    return docs.mapInArrow(work, StructType([*kept, StructField("body", BinaryType())]))
 
 
 def _suffixes(edges: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -275,48 +276,51 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     return parts
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """doc_id and text -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that
-    remain, cut runs of UTF-8 included)."""
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and text -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that
+    remain), kept_text (those bytes without the halves of cut characters), and rest (a struct of the
+    columns in ``carry``)."""
+    rest = F.struct(*carry) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     rows = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+        F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest")
     ).withColumn("text_crc", F.crc32(F.col("text").cast("binary")))
-    spans = repeated_spans(rows, length, gram, hot_runs)
+    spans = repeated_spans(rows.drop("rest"), length, gram, hot_runs)
     # Bounded by the length of a document.
     spans = spans.groupBy("doc_id", "text_crc").agg(F.sort_array(F.collect_list(F.struct("low", "windows"))).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("text_crc").alias("_t"), F.col("spans.low").alias("low"), F.col("spans.windows").alias("windows"))
     texts = _packed(rows)
     met = texts.join(spans, texts["doc_id"].eqNullSafe(F.col("_d")) & (texts["text_crc"] == F.col("_t")), "left")
 
+    def cut(text, low, windows):
+        """What remains, the number of bytes taken out and of runs of them."""
+        begin = np.array(low)
+        end = np.maximum.accumulate(begin + np.array(windows) + length - 1)
+        first = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
+        last = np.concatenate([first[1:] - 1, [len(begin) - 1]])
+        kept, at = [], 0
+        for a, b in zip(begin[first].tolist(), end[last].tolist()):
+            kept.append(text[at:a])
+            at = b
+        kept = b"".join([*kept, text[at:]])
+        return kept, len(text) - len(kept), len(first)
+
     def work(batches):
         import zstandard
 
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out = {x: [] for x in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            size = 0
-            for doc, body, low, windows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "body", "low", "windows"))):
-                text = press.decompress(body)
-                kept, at, removed, number = [], 0, 0, 0
-                if low:
-                    begin = np.array(low)
-                    end = np.maximum.accumulate(begin + np.array(windows) + length - 1)
-                    new = np.concatenate([[True], begin[1:] > end[:-1]])
-                    first = np.flatnonzero(new)
-                    last = np.concatenate([first[1:] - 1, [len(begin) - 1]])
-                    for a, b in zip(begin[first].tolist(), end[last].tolist()):
-                        kept.append(text[at:a])
-                        at, removed, number = b, removed + b - a, number + 1
-                kept = b"".join([*kept, text[at:]])
-                for k, v in zip(out, (doc, len(text), removed, number, hashlib.sha256(kept).hexdigest(), kept)):
-                    out[k].append(v)
-                size += len(kept)
-                if size > 4_000_000:
-                    yield pa.RecordBatch.from_pydict(out, schema=schema)
-                    out, size = {x: [] for x in out}, 0
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [("kept_sha256", pa.string()), ("kept", pa.binary())])
-    return met.select("doc_id", "body", "low", "windows").mapInArrow(
-        work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                out = {x: [] for x in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
+                for body, low, windows in zip(*(batch.column(c).to_pylist() for c in ("body", "low", "windows"))):
+                    text = press.decompress(body)
+                    kept, removed, number = cut(text, low, windows) if low else (text, 0, 0)
+                    for k, v in zip(out, (len(text), removed, number, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))):
+                        out[k].append(v)
+                kinds = [pa.int64()] * 3 + [pa.string()] * 2
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), kinds)), batch.column("rest")], ["doc_id", *out, "rest"]
+                )
+
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, rest {rows.schema['rest'].dataType.simpleString()}"
+    return met.select("doc_id", "body", "low", "windows", "rest").mapInArrow(work, schema)
