@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxstats.llm import jaccard, language, mixing, packing, quality, suffixes, topk, toxicity
+from boxstats.llm import jaccard, language, mixing, packing, quality, suffixes, topk, toxicity, transducer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_ngram_jaccard(spark, sf_dir):
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark, sf_dir):
+    return transducer.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     names, vectors = language.prototypes(docs.filter(_fold(4) != 2))
@@ -59,7 +63,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_exact_top_k, op6_suffix_dedup, op7_ngram_jaccard, op9_language, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_exact_top_k, op6_suffix_dedup, op7_ngram_jaccard, op8_token_counts, op9_language, op10_quality_rules)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
