@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxstats.llm import jaccard, language, mixing, packing, quality, suffixes, topk, toxicity, transducer
+from boxstats.llm import idfiles, jaccard, language, mixing, packing, quality, suffixes, topk, toxicity, transducer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def _fold(buckets: int):
     return F.crc32(F.col("doc_id").cast("string")) % buckets
 
 
+def op1_id_files(spark, sf_dir):
+    return idfiles.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), _fold(5) != 0)
@@ -63,7 +67,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_exact_top_k, op6_suffix_dedup, op7_ngram_jaccard, op8_token_counts, op9_language, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_id_files, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_exact_top_k, op6_suffix_dedup, op7_ngram_jaccard, op8_token_counts, op9_language, op10_quality_rules)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
