@@ -1,7 +1,7 @@
 """Token ids in binary blocks: an adaptive context-mixing range coder.
 
-A block holds whole documents and can be read alone: its models start empty and its ids carry a
-checksum. The probability of the next id is a mixture of three predictions: the id that last
+A block holds whole documents and can be read alone: its models start empty, and its body and its
+ids carry checksums. The probability of the next id is a mixture of three predictions: the id that last
 followed the two ids before it, the id that last followed the one before it, and the frequencies of
 ids so far. The weights of the mixture are counts of which prediction came true, kept for every
 combination of the confidences of the first two. A carryless range coder spends the logarithm of
@@ -114,9 +114,12 @@ def encode(ids: np.ndarray, size: int) -> bytes:
     """One block; ``size`` is the number of possible ids."""
     ids = np.ascontiguousarray(ids, np.int32)
     n = len(ids)
-    head = lambda lanes: struct.pack(_HEAD, MAGIC, n, size, lanes, zlib.crc32(ids.astype("<u4")), 0)
+
+    def whole(lanes, body):
+        return struct.pack(_HEAD, MAGIC, n, size, lanes, zlib.crc32(ids.astype("<u4")), zlib.crc32(body)) + body
+
     if not n:
-        return head(0)
+        return whole(0, b"")
     lanes, width = _lanes_of(n)
     first = _order(n, lanes, width)
     models = _Models(size, lanes)
@@ -144,7 +147,7 @@ def encode(ids: np.ndarray, size: int) -> bytes:
     lane, word = np.concatenate(lane_out), np.concatenate(word_out).astype("<u2")
     order = np.argsort(lane, kind="stable")
     sizes = np.bincount(lane, minlength=lanes).astype("<u4").tobytes()
-    return head(lanes) + sizes + word[order].tobytes()
+    return whole(lanes, sizes + word[order].tobytes())
 
 
 def _shift(low: np.ndarray, span: np.ndarray, lane_out: list | None, word_out: list | None):
@@ -172,9 +175,9 @@ def _shift(low: np.ndarray, span: np.ndarray, lane_out: list | None, word_out: l
 
 def decode(block: bytes) -> np.ndarray:
     """The ids of a block; raises when they do not fit their checksum."""
-    magic, n, size, lanes, crc, _ = struct.unpack_from(_HEAD, block)
-    if magic != MAGIC:
-        raise ValueError("not a block of ids")
+    magic, n, size, lanes, crc, coded = struct.unpack_from(_HEAD, block)
+    if magic != MAGIC or zlib.crc32(memoryview(block)[struct.calcsize(_HEAD) :]) != coded:
+        raise ValueError("not a block of ids, or a damaged one")
     out = np.zeros(n, np.int32)
     if n:
         sizes = np.frombuffer(block, "<u4", lanes, struct.calcsize(_HEAD)).astype(np.int64)
