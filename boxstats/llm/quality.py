@@ -131,25 +131,34 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, s
                     {"doc_id": batch.column("doc_id"), "y": batch.column("_y").cast(pa.int32()), "bag": _bags(data, offsets)}
                 )
 
-    rows = sample.select("doc_id", "_y", "text").mapInArrow(bags, "doc_id long, y int, bag binary").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy())
-    y = rows.column("y").to_numpy()[order].astype(np.float64)
+    rows = sample.select("doc_id", "_y", "text").mapInArrow(bags, "doc_id long, y int, bag binary").toArrow().sort_by("doc_id")
+    y = rows.column("y").to_numpy().astype(np.float64)
     if len(set(y)) < 2:
         return None
-    bag = [np.frombuffer(x, [("f", np.int32), ("v", np.float32)]) for x in rows.column("bag").to_pylist()]
-    bag = [bag[i] for i in order]
+    body, offsets = utf8(rows.column("bag"))
+    del rows
+    packed, begin = np.frombuffer(body, [("f", "<i4"), ("v", "<f4")]), offsets // 8
     held = np.arange(len(y)) % 4 == 3
-    if len(set(y[held])) < 2:
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
     prior = {v: 1 / (2 * max((y == v).mean(), 1e-9)) for v in (0.0, 1.0)}
     balance = np.array([prior[v] for v in y])
-    weights, bias = _logistic([b for b, h in zip(bag, held) if not h], y[~held], balance[~held])
+    groups = [
+        (rows, packed[begin[rows[0]] : begin[rows[-1] + 1]], begin[rows[0] : rows[-1] + 2] - begin[rows[0]])
+        for rows in (np.arange(i, min(i + 250, len(y))) for i in range(0, len(y), 250))
+    ]
+    weights, bias = _logistic(groups, y, np.where(held, 0, balance))
+    margin = np.concatenate([_margin(weights, p, c) for _, p, c in groups]) + bias
     seen = held if held.any() else ~held
-    margin = np.array([float((weights[b["f"]] * b["v"]).sum()) + bias for b, s in zip(bag, seen) if s])
-    scale, shift = _platt(margin, y[seen], balance[seen])
+    scale, shift = _platt(margin[seen], y[seen], balance[seen])
     return QualityModel(weights.astype(np.float32), bias, scale, shift)
 
 
+def _margin(weights: np.ndarray, packed: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(weights[packed["f"]] * packed["v"])])
+    return total[begin[1:]] - total[begin[:-1]]
+
+
 def _bags(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     n = len(offsets) - 1
     parts = []
@@ -166,26 +175,24 @@ def _bags(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [packed[cut[i] : cut[i + 1]].tobytes() for i in range(n)]
 
 
-def _logistic(bags, y, balance, epochs: int = 60, rate: float = 4.0, decay: float = 1e-6):
-    """Full-batch logistic regression with AdaGrad steps."""
+def _logistic(groups, y, balance, epochs: int = 60, rate: float = 4.0, decay: float = 1e-6):
+    """Full-batch logistic regression with AdaGrad steps; rows of weight 0 are left out. A few rows
+    are unpacked at a time, so only the packed sample fills memory."""
     size = len(FAMILIES) << BITS
-    index = np.concatenate([b["f"] for b in bags])
-    value = np.concatenate([b["v"] for b in bags]).astype(np.float64)
-    length = np.array([len(b) for b in bags])
-    row = np.repeat(np.arange(len(bags)), length)
-    used, index = np.unique(index, return_inverse=True)
-    w, b, g2, gb2 = np.zeros(len(used)), 0.0, np.full(len(used), 1e-8), 1e-8
+    w, b, g2, gb2 = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
+    n = np.count_nonzero(balance)
     for _ in range(epochs):
-        margin = np.bincount(row, weights=w[index] * value, minlength=len(bags)) + b
-        slope = balance * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y) / len(y)
-        grad = np.bincount(index, weights=slope[row] * value, minlength=len(used)) + decay * w
+        grad, lean = decay * w, 0.0
+        for rows, packed, begin in groups:
+            margin = _margin(w, packed, begin) + b
+            slope = balance[rows] * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y[rows]) / n
+            grad += np.bincount(packed["f"], weights=np.repeat(slope, np.diff(begin)) * packed["v"], minlength=size)
+            lean += slope.sum()
         g2 += grad * grad
-        gb2 += slope.sum() ** 2
+        gb2 += lean**2
         w -= rate * grad / np.sqrt(g2)
-        b -= 0.1 * slope.sum() / np.sqrt(gb2)
-    out = np.zeros(size)
-    out[used] = w
-    return out, b
+        b -= 0.1 * lean / np.sqrt(gb2)
+    return w, b
 
 
 def _platt(margin, y, balance, steps: int = 50):

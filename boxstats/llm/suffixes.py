@@ -35,7 +35,7 @@ LENGTH, GRAM = 200, 50
 #: Anchors with more different runs than this are compared across buckets.
 HOT_RUNS = 4000
 #: Bytes of one bucket, and of the suffixes that are sorted together.
-BUCKET_BYTES, SORT_BYTES = 16_000_000, 1_000_000
+BUCKET_BYTES, SORT_BYTES = 2_000_000, 1_000_000
 _CHARACTER = 5
 
 
@@ -259,7 +259,8 @@ def _across_buckets(suffixes: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, text_crc, text -> (doc_id, text_crc, low, windows): starts of repeated strings."""
     table = materialize(_runs_table(docs, length, gram))
-    twice = table.groupBy("hk").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("hk")
+    # Written, so that the join below may split the partition of an anchor that is everywhere.
+    twice = materialize(table.groupBy("hk").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("hk"))
     met = materialize(table.join(twice, "hk"))
     kinds = materialize(
         met.groupBy("hk", "hu").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_crc", "low", "windows", "anchor")).alias("one"))

@@ -2,18 +2,18 @@
 
 Only for tokenizers that drop white space and never look across it, such as ``word_bpe_49k.json``:
 there the ids of a text are those of its pieces between ASCII white space, one after the other.
+Words are the same when their 64-bit hashes are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-from boxstats.llm.text import once
+from boxstats.llm.text import Rolling, once, space_mask, utf8, word_bounds
 
 #: Distinct words that a Python worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 2_000_000
 MARK = "~"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -26,7 +26,11 @@ def tokenizer_path(name: str) -> str:
 
 
 class WordIds:
-    """Encodes batches of texts; keeps the ids of words between batches."""
+    """Encodes batches of texts; keeps the ids of words between batches.
+
+    Words are known by 64-bit hashes in sorted arrays, some 25 bytes a word: a long table, and a
+    short one of late words that is merged into it now and then.
+    """
 
     def __init__(self, path: str):
         import os
@@ -35,7 +39,6 @@ class WordIds:
 
         # Spark's tasks are the parallelism.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -43,58 +46,88 @@ class WordIds:
         self._forget()
 
     def _forget(self):
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
+        self.count = 0
+        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
+        self.ids = np.zeros(1 << 16, np.uint16)
         self.begin = np.zeros(1 << 16, np.int64)
 
     def _learn(self, words: list[str]) -> None:
         """New words go to the library as one text, kept apart by a one-token mark that none holds."""
-        plain = [w for w in words if MARK not in w]
-        for first in range(0, len(plain), 50_000):
-            part = plain[first : first + 50_000]
-            (found,) = self.library.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)
-            ids = np.array(found.ids, np.int32)
+        odd = [i for i, w in enumerate(words) if MARK in w]
+        plain = [w for w in words if MARK not in w] if odd else words
+        ids, length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if plain:
+            (found,) = self.library.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)
+            ids = np.array(found.ids, np.int64)
             marks = np.flatnonzero(ids == self.mark)
-            if len(marks) != len(part) - 1:
+            if len(marks) != len(plain) - 1:
                 raise RuntimeError("the tokenizer looks across white space")
             length = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
-            self._add(part, ids[ids != self.mark], length)
-        for word in words:
-            if MARK in word:
-                ids = np.array(self.library.encode(word, add_special_tokens=False).ids, np.int32)
-                self._add([word], ids, np.array([len(ids)]))
-
-    def _add(self, words: list[str], ids: np.ndarray, length: np.ndarray) -> None:
-        n = len(self.known)
-        self.known.update(zip(words, range(n, n + len(words))))
-        while n + len(words) + 1 > len(self.begin):
+            ids = ids[ids != self.mark]
+        if odd:
+            parts = np.split(ids, np.cumsum(length)[:-1]) if len(length) else []
+            for i in odd:
+                parts.insert(i, np.array(self.library.encode(words[i], add_special_tokens=False).ids, np.int64))
+            ids, length = np.concatenate(parts), np.array([len(x) for x in parts])
+        if len(ids) and ids.max() > 0xFFFF:
+            raise ValueError("ids beyond 16 bits")
+        n = self.count
+        self.count += len(words)
+        while self.count + 1 > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros(len(self.begin), np.int64)])
         start = int(self.begin[n])
         while start + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint16)])
         self.ids[start : start + len(ids)] = ids
-        self.begin[n + 1 : n + 1 + len(words)] = start + np.cumsum(length)
+        self.begin[n + 1 : self.count + 1] = start + np.cumsum(length)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entries of sorted hashes, -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, entries in self.tables:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                out[hit] = entries[at[hit]]
+        return out
+
+    def _keep(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        long, late = self.tables
+        late = (np.concatenate([late[0], hashes]), np.concatenate([late[1], entries.astype(np.int32)]))
+        if len(late[0]) > 100_000:
+            long = (np.concatenate([long[0], late[0]]), np.concatenate([long[1], late[1]]))
+            order = np.argsort(long[0])
+            long = (long[0][order], long[1][order])
+            late = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        else:
+            order = np.argsort(late[0])
+            late = (late[0][order], late[1][order])
+        self.tables = [long, late]
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty) and their n + 1 offsets; ``end`` closes each text."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.combine_chunks()
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > REMEMBERED:
+        data, bounds = utf8(texts)
+        n = len(bounds) - 1
+        starts, ends, rows = word_bounds(data, bounds, space_mask(data))
+        distinct, place = np.unique(Rolling(data).spans(starts, ends), return_inverse=True)
+        if self.count + len(distinct) > REMEMBERED:
             self._forget()
-        self._learn([w for w in words if w not in self.known])
-        entry = np.array([self.known[w] for w in words], np.int64)
-        entry = entry[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        count = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        start, length = self.begin[entry], self.begin[entry + 1] - self.begin[entry]
+        entry = self._find(distinct)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            first = np.zeros(len(distinct), np.int64)
+            first[place[::-1]] = np.arange(len(place) - 1, -1, -1)
+            raw = bytes(data)
+            entry[new] = np.arange(self.count, self.count + len(new))
+            self._learn([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            self._keep(distinct[new], entry[new])
+        begin = self.begin[entry][place]
+        length = (self.begin[entry + 1] - self.begin[entry])[place] if len(entry) else begin
         total = np.concatenate([[0], np.cumsum(length)])
-        n = len(count) - 1
-        offsets = total[count]
-        source = np.repeat(start - total[:-1], length) + np.arange(total[-1])
+        offsets = total[np.searchsorted(rows, np.arange(n + 1))]
+        source = np.repeat(begin - total[:-1], length) + np.arange(total[-1])
         if end is None:
-            return self.ids[source], offsets
+            return self.ids[source].astype(np.int32), offsets
         offsets = offsets + np.arange(n + 1)
         out = np.full(offsets[-1], end, np.int32)
         body = np.ones(len(out), bool)
