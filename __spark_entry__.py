@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +19,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import boxstats as bs  # noqa: E402
 from boxstats.operators import charfn, mesh, spectra, transforms  # noqa: E402
-from boxstats.sources import fixtures  # noqa: E402
+from boxstats.sources import binary, fixtures  # noqa: E402
 from boxstats.sources.fixtures import BOX  # noqa: E402
-from boxstats.storage import materialize  # noqa: E402
+from boxstats.storage import materialize, scratch_dir  # noqa: E402
 
 NC = 16
 # aH is 100 here, so these strengths shift by whole 1/128ths and keep the meshes exact.
@@ -29,12 +30,14 @@ LAMBDAS = [0.0, 1.0]
 DK = 0.03
 R_MAX, DR = 20.0, 1.0
 R_COUNT = 12.0
+R_CLUMP = 1 / 128
 R_SMOOTH = 8.0
 FOF_B = 0.2
 LOG_M = (11.5, 12.25)
 PARTICLE_MASS = 0.75187e10
 SAMPLE, SEED = 0.3, 11
 K_NEAREST = 3
+_VALUES = ["x0", "x1", "x2", "v0", "v1", "v2"]
 
 
 def _particles(spark, sf):
@@ -140,7 +143,7 @@ def knn(spark, sf):
 
 
 def pair_count_auto(spark, sf):
-    return bs.count_pairs(_particles(spark, sf), BOX, R_COUNT)
+    return bs.count_pairs(_particles(spark, sf), BOX, R_COUNT).select(F.col("n_pairs").cast("long"))
 
 
 def xi_dd(spark, sf):
@@ -148,7 +151,8 @@ def xi_dd(spark, sf):
 
 
 def pair_uu(spark, sf):
-    return _round(bs.pair_uu(_randoms(spark, sf), BOX, R_MAX, DR), "uu0", "uu2")
+    found = bs.pair_uu(_randoms(spark, sf), BOX, R_MAX, DR)
+    return _round(found.withColumn("n", F.col("n").cast("long")), "uu0", "uu2")
 
 
 DDUU = ("xi0", "ww0", "ww2", "uu0", "uu2", "uu4", "ddww0", "ddww2", "ddww4", "dduu0", "dduu2", "du1", "du3")
@@ -231,6 +235,61 @@ def group_velocity(spark, sf):
     return _round(df, "v0", "v1", "v2")
 
 
+def pair_count_clump(spark, sf):
+    """Half of the particles within 1/32 of one place, far below the finest cell."""
+    squeezed = [F.when(F.col("pid") % 2 == 0, F.lit(100.0) + F.col(f"x{i}") / 8192).otherwise(F.col(f"x{i}")).alias(f"x{i}") for i in range(3)]
+    points = _particles(spark, sf).select("pid", *squeezed)
+    return bs.count_pairs(points, BOX, R_CLUMP).select(F.col("n_pairs").cast("long"))
+
+
+# --- Files: written, read back, and compared with the rows they were made of -----------------
+
+
+def _file(spark, suffix: str) -> str:
+    return f"{scratch_dir(spark)}/file-{uuid.uuid4().hex}{suffix}"
+
+
+def _round_trip(spark, sf, suffix: str, fmt: str) -> DataFrame:
+    path = _file(spark, suffix)
+    bs.write_catalog(bs.Catalog(_particles(spark, sf), BOX), path, fmt)
+    return bs.read_catalog(spark, path).df.select(*_VALUES)
+
+
+def file_hdf5(spark, sf):
+    return _round_trip(spark, sf, ".h5", "hdf5")
+
+
+def file_parquet(spark, sf):
+    return _round_trip(spark, sf, ".parquet", "parquet")
+
+
+def file_snapshot(spark, sf):
+    path = _file(spark, "")
+    binary.write_snapshot(_particles(spark, sf), path.removeprefix("file://"), BOX, PARTICLE_MASS)
+    return bs.read_catalog(spark, path.removeprefix("file://"), "snapshot", columns=("id", "m")).df.select("id", "m", *_VALUES)
+
+
+def _text(spark, df: DataFrame, columns: list[str]) -> str:
+    path = _file(spark, "")
+    df.select(F.concat_ws(" ", *columns)).write.text(path)
+    return path
+
+
+def file_mock_text(spark, sf):
+    path = _text(spark, _particles(spark, sf), _VALUES)
+    return bs.read_catalog(spark, path, "mock_text", BOX).df.select(*_VALUES)
+
+
+def file_fof_text(spark, sf):
+    path = _text(spark, fixtures.halos(spark, sf), ["nfof", *_VALUES])
+    return bs.read_catalog(spark, path, "fof_text", BOX).df.select("nfof", *_VALUES)
+
+
+def file_subhalo_text(spark, sf):
+    path = _text(spark, fixtures.halos(spark, sf).withColumn("m", F.col("nfof") * 1000.0), ["m", *_VALUES])
+    return bs.read_catalog(spark, path, "subhalo_text", BOX).df.select("m", *_VALUES)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Decomposed power spectrum (DD, DU, UU multipoles) at two distortion strengths."""
     return power_decomposed_lambda(spark, "/root/testdata/sf0.001")
@@ -242,7 +301,8 @@ _QUERIES = (
     velocity_dispersion, char_function, char_function_randoms, nearest_velocity, knn,
     pair_count_auto, xi_dd, pair_uu, pair_dduu, smooth_velocity, dft_mesh, mode_table,
     power_matter, power_matter_rsd, power_decomposed, power_decomposed_lambda,
-    power_decomposed_raw_noise, power_2d, fof_groups, fof_halos, group_velocity,
+    power_decomposed_raw_noise, power_2d, fof_groups, fof_halos, group_velocity, pair_count_clump,
+    file_hdf5, file_parquet, file_snapshot, file_mock_text, file_fof_text, file_subhalo_text,
 )
 
 
@@ -556,6 +616,12 @@ def _engine_sql() -> dict[str, str]:
             SELECT qid, rank, pid, d2 FROM k WHERE rank <= {K_NEAREST}""",
         "pair_count_auto": f"""WITH {_P} SELECT count(*) AS n_pairs FROM p a, p b
             WHERE a.pid < b.pid AND {_near2('a', 'b')} < {R_COUNT * R_COUNT}""",
+        "pair_count_clump": f"""WITH {_P}, c AS (SELECT pid, {', '.join(f"CASE WHEN pid % 2 = 0 THEN 100.0::DOUBLE + x{i} / 8192 ELSE x{i} END AS x{i}" for i in range(3))} FROM p)
+            SELECT count(*) AS n_pairs FROM c a, c b WHERE a.pid < b.pid AND {_near2('a', 'b')} < {R_CLUMP * R_CLUMP!r}::DOUBLE""",
+        **{name: f"WITH {_P} SELECT {', '.join(_VALUES)} FROM p" for name in ("file_hdf5", "file_parquet", "file_mock_text")},
+        "file_snapshot": f"WITH {_P} SELECT pid AS id, {PARTICLE_MASS!r}::DOUBLE AS m, {', '.join(_VALUES)} FROM p",
+        "file_fof_text": f"SELECT nfof, {', '.join(_VALUES)} FROM ({_HALOS}) h",
+        "file_subhalo_text": f"SELECT nfof * 1000.0::DOUBLE AS m, {', '.join(_VALUES)} FROM ({_HALOS}) h",
         "xi_dd": f"""WITH {_P}, {auto}, c AS (SELECT count(*)::DOUBLE AS n FROM p)
             SELECT ibin, r_mid, {_r('coalesce(dd.n, 0) / (0.5 * c.n * (c.n - 1) * fraction) - 1', 'xi0')},
             {_r('5 * coalesce(p2, 0) / (0.5 * c.n * (c.n - 1) * fraction)', 'xi2')}, 0.0::DOUBLE AS xi4,

@@ -15,10 +15,21 @@ X = tuple(f"x{i}" for i in AXES)
 V = tuple(f"v{i}" for i in AXES)
 
 
+def not_finite(x: Column) -> Column:
+    """NULL, NaN or infinite."""
+    x = x.cast("double")
+    return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+
+
+def finite(x: Column, name: str) -> Column:
+    """``x`` itself; a value that is no number stops the query instead of passing for one."""
+    return F.when(not_finite(x), F.raise_error(F.lit(f"{name} is NULL, NaN or infinite"))).otherwise(x)
+
+
 def wrap(x: Column, boxsize: float) -> Column:
-    """Any image -> [0, L)."""
+    """Any image -> [0, L). What is no finite number stays none."""
     p = F.pmod(x, F.lit(float(boxsize)))
-    return F.when(p >= boxsize, F.lit(0.0)).otherwise(p)
+    return F.when(F.isnan(p), p).when(p >= boxsize, F.lit(0.0)).otherwise(p)
 
 
 def min_image(dx: Column, boxsize: float) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxstats.box import Box
+from boxstats.functions.periodic import finite
 from boxstats.operators.transforms import displacement
 from boxstats.sizing import tasks_for
 
@@ -13,6 +14,7 @@ from boxstats.sizing import tasks_for
 def velocity_dispersion(points: DataFrame, box: Box) -> DataFrame:
     """Mean of u^2 with u = v2 / (aH), and the row count."""
     u = F.col("u")
+    u = finite(u, "v2")
     return displacement(points, box).agg(F.avg(u * u).alias("sigma2"), F.count(F.lit(1)).alias("n"))
 
 
@@ -31,7 +33,7 @@ def characteristic_function(
     lam = F.lit(float(lambda_max)) * F.col("i") / F.lit(float(steps))
     return (
         displacement(points, box)
-        .select(F.coalesce("u", F.lit(0.0)).alias("u"))
+        .select(finite(F.col("u"), "v2").alias("u"))
         .repartition(tasks)
         .select("u", step)
         .groupBy("i")

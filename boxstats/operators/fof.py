@@ -52,7 +52,10 @@ def _cell_links(tree: Tree, link2: float) -> tuple[DataFrame, DataFrame]:
         linked = level.filter("inside and sa != sb").select("sa", "sb").distinct()
         edges.append(linked)
         rest = level.filter("sa is null or sb is null or (sa != sb and not inside)")
-        rest = rest.join(linked, ["sa", "sb"], "left_anti").select("a", "b", "sa", "sb")
+        # Only pairs of two solid cells can drop out; the others have no names to join on.
+        named = "sa is not null and sb is not null"
+        kept = rest.filter(named).join(linked, ["sa", "sb"], "left_anti").select("a", "b", "sa", "sb")
+        rest = kept.unionByName(rest.filter(f"not ({named})").select("a", "b", "sa", "sb"))
         both_leaf = F.col("a.leaf") & F.col("b.leaf")
         leaf_pairs.append(rest.filter(both_leaf).select("a", "b"))
         if step < tree.depth:

@@ -67,8 +67,12 @@ def hist_2d(
     x_range: tuple[float, float, float],
     y_range: tuple[float, float, float],
     keys: list[str] = (),
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """As hist_1d on two axes (min, max, width); every bin of the grid has a row, NULL if empty."""
+    """As hist_1d on two axes (min, max, width); every bin of the grid has a row, NULL if empty.
+
+    ``known`` holds the values of the keys, which saves looking for them in ``df``.
+    """
     nx, ny = n_bins(*x_range), n_bins(*y_range)
     filled = (
         df.withColumn("ix", bin_index(F.col(x), x_range[0], x_range[2]))
@@ -88,8 +92,7 @@ def hist_2d(
     if keys:
         numbers = F.explode(F.sequence(F.lit(0), F.lit(nx * ny - 1)))
         cells = (
-            df.select(*keys)
-            .distinct()
+            (df.select(*keys).distinct() if known is None else known)
             .withColumn("_c", numbers)
             .select(
                 *keys,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxstats.box import Box
-from boxstats.functions.periodic import AXES
+from boxstats.functions.periodic import AXES, finite
 
 CELL = ("ix", "iy", "iz")
 _CORNERS = tuple(product((0, 1), repeat=3))
@@ -32,12 +32,12 @@ def deposit(
     """
     if nc <= 0:
         raise ValueError("nc must be positive")
-    t = [F.col(f"x{i}") * F.lit(float(nc)) / F.lit(float(box.boxsize)) for i in AXES]
+    t = [finite(F.col(f"x{i}"), f"x{i}") * F.lit(float(nc)) / F.lit(float(box.boxsize)) for i in AXES]
     base = [F.floor(c) for c in t]
     columns = [F.col(k) for k in keys]
     columns += [F.pmod(b, F.lit(nc)).cast("int").alias(f"c{i}") for i, b in zip(AXES, base)]
     columns += [(c - b.cast("double")).alias(f"f{i}") for i, c, b in zip(AXES, t, base)]
-    columns += [(F.lit(1.0) if w is None else w.cast("double")).alias(f"w_{f}") for f, w in fields.items()]
+    columns += [(F.lit(1.0) if w is None else finite(w.cast("double"), f)).alias(f"w_{f}") for f, w in fields.items()]
 
     def share(corner, field):
         parts = [F.col(f"f{i}") if corner[i] else 1.0 - F.col(f"f{i}") for i in AXES]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxstats.box import Box
 from boxstats.functions.periodic import V, X, box_dist2, wrap
-from boxstats.operators.joins import HOT_KEYS, lookup_join
+from boxstats.operators.joins import BROADCAST_ROWS, HOT_KEYS, lookup_join
 from boxstats.operators.tree import (
     MAX_SIDE,
     SPLIT_BITS,
@@ -119,10 +119,13 @@ def _closest(
     if k == 1:
         # A minimum of plain numbers is a hash aggregate; a minimum of rows would sort every
         # candidate. So find the distance first, and the row only among those at it.
+        # The second look goes to the leaf pairs that hold a minimum.
         least = join_points(ids, asked, given.select("cid", "pid", *X), box)
-        least = least.groupBy("a_cid", "a_pid").agg(F.min("d2").alias("best"))
-        asked = asked.join(least.withColumnsRenamed({"a_cid": "cid", "a_pid": "pid"}), ["cid", "pid"])
-        rows = join_points(ids, asked, given, box).filter("d2 = a_best")
+        per_leaf = materialize(least.groupBy("a_cid", "a_pid", "b_cid").agg(F.min("d2").alias("best")))
+        best = per_leaf.groupBy("a_cid", "a_pid").agg(F.min("best").alias("best"))
+        asked = materialize(asked.join(best.withColumnsRenamed({"a_cid": "cid", "a_pid": "pid"}), ["cid", "pid"]))
+        winners = per_leaf.join(best, ["a_cid", "a_pid", "best"]).select("a_cid", "b_cid").distinct()
+        rows = join_points(ids.join(winners, ["a_cid", "b_cid"]), asked, given, box).filter("d2 = a_best")
         near = rows.groupBy("a_cid", "a_pid").agg(*where, F.array(F.min(entry)).alias("near"))
     else:
         order = Window.partitionBy("a_cid", "a_pid").orderBy("d2", "b_pid")
@@ -140,8 +143,8 @@ def _near_cells(asked: Positions, points: Positions, box: Box, level: int, k: in
     """
     side = 1 << level
     own = build_tree(asked, box, side, QUERY_CAP, start=0)
-    leaves = own.cells.filter("leaf").select(F.col("cid").alias("a_cid"), "lvl", "n")
-    _, *c = unpack(F.col("a_cid"))
+    leaves = own.leaves().select(F.col("cid").alias("a_cid"), "home", F.col("home_lvl").alias("lvl"), "n")
+    _, *c = unpack(F.col("home"))
     leaves = leaves.withColumns({f"c{i}": c[i] for i in range(3)}).select(
         "a_cid", "n", *[F.expr(f"shiftright(c{i}, {SPLIT_BITS} * lvl)").alias(f"c{i}") for i in range(3)]
     )
@@ -156,11 +159,16 @@ def _near_cells(asked: Positions, points: Positions, box: Box, level: int, k: in
     around = F.sum("m").over(Window.partitionBy("a_cid"))
     ids = materialize(ids.withColumn("around", around).withColumn("tests", F.col("n").cast("double") * F.col("m")))
     flags = ids.filter(F.col("around") > MAX_TESTS).select(F.col("a_cid").alias("cid"), F.lit(True).alias("crowded"))
-    if flags.take(1):
-        # No direct pair names a cell beyond the limit; keep the fullest of them out of the shuffle.
+    direct = ids.filter(F.col("around") <= MAX_TESTS).select("a_cid", "b_cid", "tests")
+    # Only points in cells that some query looks at take part; the fullest cells are never among them.
+    named = direct.select(F.col("b_cid").alias("cid")).distinct()
+    n_named = named.count()
+    if n_named <= BROADCAST_ROWS:
+        gridded = gridded.join(F.broadcast(named), "cid", "left_semi")
+    else:
         full = counts.filter(F.col("m") > MAX_TESTS).orderBy(F.desc("m"), "b_cid").limit(HOT_KEYS)
         gridded = gridded.join(F.broadcast(full.select(F.col("b_cid").alias("cid"))), "cid", "left_anti")
-    direct = ids.filter(F.col("around") <= MAX_TESTS).select("a_cid", "b_cid", "tests")
+        gridded = gridded.join(named, "cid", "left_semi")
     near = _closest(direct, own.points, gridded, box, k, payload)
     near = near.select(F.col("a_cid").alias("cid"), "pid", "near")
     out = own.points.select("cid", "pid", *X).join(near, ["cid", "pid"], "left")

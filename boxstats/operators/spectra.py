@@ -214,7 +214,11 @@ def power_decomposed(
     **options,
 ) -> DataFrame:
     """lam, k, n and the monopole, quadrupole and hexadecapole of DD, DU and UU."""
-    power = decomposed_modes(data, random, box, nc, list(lambdas), **options)
+    return multipoles_of(decomposed_modes(data, random, box, nc, list(lambdas), **options), box, nc, dk, kmax)
+
+
+def multipoles_of(power: DataFrame, box: Box, nc: int, dk: float = 0.01, kmax: float = 0.0) -> DataFrame:
+    """The table of ``power_decomposed`` from the modes of ``decomposed_modes``."""
     names = {f"p{l}_{c}": (f"p{c}", l) for l in (0, 2, 4) for c in ("dd", "du", "uu")}
     return bin_multipoles(power, box, nc, dk, kmax, names, ["lam"])
 
@@ -235,6 +239,13 @@ def power_2d(
     mu = 1 lies beyond the last bin and is left out unless ``include_mu1``.
     """
     power = decomposed_modes(data, random, box, nc, list(lambdas), **options)
+    return power_2d_of(power, box, nc, list(lambdas), dk, kmax, include_mu1)
+
+
+def power_2d_of(
+    power: DataFrame, box: Box, nc: int, lambdas: list[float], dk: float = 0.01, kmax: float = 0.0, include_mu1: bool = False
+) -> DataFrame:
+    """The table of ``power_2d`` from the modes of ``decomposed_modes``."""
     mu = F.col("n2").cast("double") / F.sqrt(F.col("nn").cast("double"))
     power = power.withColumn("mu", mu)
     if include_mu1:
@@ -244,6 +255,7 @@ def power_2d(
     table = hist_2d(
         power, "k", y, ["mu", "pdd", "pdu", "puu"] if include_mu1 else ["pdd", "pdu", "puu"],
         (0.0, kmax, dk), (0.0, 1.0, MU_WIDTH), ["lam"],
+        power.sparkSession.createDataFrame([(float(x),) for x in lambdas], "lam double"),
     )
     return table.select(
         "lam", "ix", "iy", "n",

@@ -1,8 +1,9 @@
 """Adaptive cells for spatial joins in a periodic box.
 
 A uniform grid of base cells is split, only where it is crowded, until a leaf holds at most
-``cap`` distinct positions. Copies of a position are one row with a weight, so neither a
-crowded cell nor a pile of copies can end up as one unbounded group. Joins first pair the
+``cap`` distinct positions. Cells that are too small to be split once more are dealt by a hash
+of pid into leaves that may overlap. Copies of a position are one row with a weight, so neither
+a crowded cell nor a pile of copies can end up as one unbounded group. Joins first pair the
 cells (few rows, tight bounds, equi-joins on the cell id) and then only the points of those
 leaf pairs that the bounds cannot settle.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxstats.box import Box
-from boxstats.functions.periodic import AXES, X, box_dist2, dist2, wrap
+from boxstats.functions.periodic import AXES, X, box_dist2, dist2, not_finite, wrap
 from boxstats.operators.joins import lookup_join
 from boxstats.sizing import tasks_for
 from boxstats.storage import materialize
@@ -28,6 +29,8 @@ AXIS_BITS = 19
 SPLIT_BITS = 2
 MAX_SIDE = 1 << AXIS_BITS
 MEAN_OCCUPANCY = 16
+# Point tests of one join key.
+KEY_TESTS = 50_000_000
 
 
 def pack(level: Column, c: list[Column]) -> Column:
@@ -69,17 +72,22 @@ def distinct_positions(
     points: DataFrame, box: Box, sums: dict[str, Column] | None = None, with_first: list[str] = ()
 ) -> Positions:
     """Merge the copies of a position; ``with_first`` keeps those columns of the smallest pid."""
-    wrapped = points.withColumns({c: wrap(F.col(c).cast("double"), box.boxsize) for c in X})
+    values = [F.col(c) for c in (*X, *with_first)] + list((sums or {}).values())
+    bad = reduce(lambda p, q: p | q, [not_finite(c) for c in values])
+    wrapped = points.withColumn("_bad", bad.cast("int")).withColumns({c: wrap(F.col(c).cast("double"), box.boxsize) for c in X})
     # Plain numbers in the buffers keep this a hash aggregate; pids are unique, so min_by is exact.
     df = wrapped.groupBy(*X).agg(
         F.min("pid").alias("pid"),
         *[F.min_by(c, "pid").alias(c) for c in with_first],
         F.count(F.lit(1)).alias("w"),
+        F.sum("_bad").alias("_bad"),
         *[F.sum(c).alias(name) for name, c in (sums or {}).items()],
     )
     df = materialize(df)
-    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("n")).first()
-    return Positions(df, size["rows"], size["n"] or 0)
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("n"), F.sum("_bad").alias("bad")).first()
+    if size["bad"]:
+        raise ValueError(f"{size['bad']} rows hold a NULL, NaN or infinite position or value")
+    return Positions(df.drop("_bad"), size["rows"], size["n"] or 0)
 
 
 @dataclass(frozen=True)
@@ -98,18 +106,34 @@ class Tree:
         fields = ["cid", "leaf", "n", "rep", *bounds, *self.sums]
         return F.expr(f"struct({', '.join(never_null(fields))})").alias(name)
 
+    def leaves(self) -> DataFrame:
+        """(cid, n, home, home_lvl, lvl): every leaf with the grid cell that it lies in."""
+        dealt = F.col("cid") < 0
+        return self.cells.filter("leaf").select(
+            "cid", "n", F.when(dealt, F.col("parent")).otherwise(F.col("cid")).alias("home"),
+            (F.col("lvl") - dealt.cast("int")).alias("home_lvl"), "lvl",
+        )
+
     def ancestors(self) -> DataFrame:
         """(cid, anc, lvl): every leaf with each cell that contains it, itself included."""
-        return _with_ancestors(self.cells.filter("leaf").select("cid", F.col("lvl").alias("_leaf_lvl")))
+        return _with_ancestors(self.leaves().withColumnRenamed("lvl", "_leaf_lvl")).select("cid", "anc", "lvl")
 
 
 def _with_ancestors(leaves: DataFrame) -> DataFrame:
-    _, *c = unpack(F.col("cid"))
+    _, *c = unpack(F.col("home"))
     indexed = leaves.withColumns({f"_c{i}": c[i] for i in AXES}).withColumn(
         "lvl", F.explode(F.expr("sequence(0, _leaf_lvl)"))
     )
-    shifted = [F.expr(f"shiftright(_c{i}, {SPLIT_BITS} * (_leaf_lvl - lvl))") for i in AXES]
-    return indexed.withColumn("anc", pack(F.col("lvl"), shifted)).drop("_c0", "_c1", "_c2")
+    shifted = [F.expr(f"shiftright(_c{i}, {SPLIT_BITS} * greatest(home_lvl - lvl, 0))") for i in AXES]
+    anc = F.when(F.col("lvl") > F.col("home_lvl"), F.col("cid")).otherwise(pack(F.col("lvl"), shifted))
+    return indexed.withColumn("anc", anc).drop("_c0", "_c1", "_c2")
+
+
+def _deal(points: DataFrame, cap: int) -> Column:
+    """The id of the dealt leaf of a point in a cell of ``_n`` positions; below zero, which no grid
+    cell is. Small caps give every position a leaf, larger ones half of ``cap`` on average."""
+    share = F.col("pid") if cap < 64 else F.pmod(F.xxhash64("pid"), F.ceil(2 * F.col("_n") / cap))
+    return F.xxhash64("home", share).bitwiseOR(F.lit(-(1 << 63)))
 
 
 def cell_index(x: Column, box: Box, side: int, level: int) -> Column:
@@ -157,31 +181,41 @@ def build_tree(
         bounds += [F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}")]
     totals = [F.sum(c).alias(s) for s, c in sums.items()]
 
+    def cells_of(df: DataFrame, lvl: int, home_lvl: int) -> DataFrame:
+        cells = df.groupBy("cid").agg(
+            F.count(F.lit(1)).alias("n"), F.min("pid").alias("rep"), F.min("home").alias("home"), *bounds, *totals
+        )
+        return materialize(cells.withColumns({"lvl": F.lit(lvl), "home_lvl": F.lit(home_lvl)}))
+
     level, pending, leaves, leaf_cells = start, positions.df, [], []
     while True:
-        pending = pending.withColumn("cid", cell_id(box, side, level))
-        found = pending.groupBy("cid").agg(
-            F.count(F.lit(1)).alias("n"), F.min("pid").alias("rep"), *bounds, *totals
-        )
-        found = materialize(found.withColumn("lvl", F.lit(level)))
-        crowded = found.filter(F.col("n") > cap).select("cid", F.lit(True).alias("_crowded"))
-        n_crowded = crowded.count() if _side_at(side, level + 1) <= MAX_SIDE else 0
+        pending = pending.withColumn("cid", cell_id(box, side, level)).withColumn("home", F.col("cid"))
+        found = cells_of(pending, level, level)
+        crowded = found.filter(F.col("n") > cap).select("cid", F.col("n").alias("_n"))
+        n_crowded = crowded.count()
         if n_crowded == 0:
             leaves.append(pending.withColumn("lvl", F.lit(level)))
             leaf_cells.append(found)
             break
         pending = materialize(lookup_join(pending, crowded, ["cid"], "left", n_crowded))
-        leaves.append(pending.filter("_crowded is null").drop("_crowded").withColumn("lvl", F.lit(level)))
+        leaves.append(pending.filter("_n is null").drop("_n").withColumn("lvl", F.lit(level)))
         leaf_cells.append(found.filter(F.col("n") <= cap))
-        pending = pending.filter("_crowded").drop("_crowded", "cid")
+        pending = pending.filter("_n is not null")
         level += 1
-    points = union_all(leaves)
+        if _side_at(side, level) > MAX_SIDE:
+            pending = pending.withColumn("cid", _deal(pending, cap)).drop("_n")
+            leaves.append(pending.withColumn("lvl", F.lit(level)))
+            leaf_cells.append(cells_of(pending, level, level - 1))
+            break
+        pending = pending.drop("_n", "cid")
+    points = union_all(leaves).drop("home")
     if len(leaves) > 2:
         points = materialize(points)
     leaf_cells = union_all(leaf_cells)
 
     if level == 0:
-        cells = leaf_cells.withColumn("leaf", F.lit(True)).withColumn("parent", F.lit(None).cast("bigint"))
+        cells = leaf_cells.drop("home", "home_lvl")
+        cells = cells.withColumn("leaf", F.lit(True)).withColumn("parent", F.lit(None).cast("bigint"))
     else:
         merged = []
         for i in AXES:
@@ -195,11 +229,13 @@ def build_tree(
                 *merged,
                 *[F.sum(s).alias(s) for s in sums],
                 F.max(F.col("lvl") == F.col("_leaf_lvl")).alias("leaf"),
+                F.min("home").alias("home"),
             )
         )
         _, *c = unpack(F.col("cid"))
         up = pack(F.col("lvl") - 1, [F.shiftright(x, SPLIT_BITS) for x in c])
-        cells = cells.withColumn("parent", F.when(F.col("lvl") > 0, up))
+        up = F.when(F.col("cid") < 0, F.col("home")).otherwise(up)
+        cells = cells.withColumn("parent", F.when(F.col("lvl") > 0, up)).drop("home")
         cells = materialize(cells)
     return Tree(points, cells, box, side, level, tuple(sums))
 
@@ -282,16 +318,23 @@ def cell_pairs(
 def join_points(ids: DataFrame, a: DataFrame, b: DataFrame, box: Box) -> DataFrame:
     """Join leaf id pairs (a_cid, b_cid, tests) with the points of both leaves and add d2.
 
-    The last join is keyed by the leaf of ``a``, so a group-by on a_cid and more needs no
-    further shuffle; a key holds at most ``cap`` rows of ``a``. Its partition count follows
-    from the number of point tests.
+    The last join is keyed by the leaf of ``a``, and by a part of the leaves of ``b`` where more
+    than KEY_TESTS tests share a leaf of ``a``. So a key holds at most ``cap`` rows of ``a`` and,
+    but for one leaf pair, about KEY_TESTS tests. The partition count follows from all tests.
     """
     spark = ids.sparkSession
-    tests = ids.agg(F.sum("tests")).first()[0] or 0
+    load = ids.groupBy("a_cid").agg(F.sum("tests").alias("_tests"))
+    tests, most = load.agg(F.sum("_tests"), F.max("_tests")).first()
     left = a.selectExpr(*never_null(a.columns, "a_"))
     right = b.selectExpr(*never_null(b.columns, "b_"))
-    spread = ids.drop("tests").join(right, "b_cid").repartition(tasks_for(spark, tests), "a_cid")
-    joined = spread.join(left, "a_cid")
+    key = ["a_cid"]
+    if (most or 0) > KEY_TESTS:
+        key = ["a_cid", "_part"]
+        parts = load.select("a_cid", F.ceil(F.col("_tests") / KEY_TESTS).cast("int").alias("_parts"))
+        ids = ids.join(parts, "a_cid").withColumn("_part", F.pmod(F.xxhash64("b_cid"), F.col("_parts")).cast("int")).drop("_parts")
+        left = left.join(parts, "a_cid").withColumn("_part", F.explode(F.expr("sequence(0, _parts - 1)"))).drop("_parts")
+    spread = ids.drop("tests").join(right, "b_cid").repartition(tasks_for(spark, tests or 0), *key)
+    joined = spread.join(left, key).drop("_part")
     d2 = dist2([f"a_{c}" for c in X], [f"b_{c}" for c in X], box.boxsize)
     return joined.withColumn("d2", d2)
 

@@ -6,10 +6,9 @@ from pyspark.sql import SparkSession
 
 # Elementary steps (pair tests, cosines) that make a task of a few seconds.
 STEPS_PER_TASK = 100_000_000
-MAX_TASKS = 200_000
 
 
 def tasks_for(spark: SparkSession, steps: float) -> int:
     """At least one task per core, more as the work grows."""
     cores = spark.sparkContext.defaultParallelism
-    return int(max(cores, min(steps / STEPS_PER_TASK + 1, MAX_TASKS)))
+    return int(max(cores, min(steps / STEPS_PER_TASK + 1, 2**31 - 1)))

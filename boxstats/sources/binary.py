@@ -16,12 +16,12 @@ from boxstats.operators.transforms import wrap_positions
 from boxstats.sources.segments import (
     Block,
     Segment,
+    numbered,
     open_file,
     partition_starts,
     read_segments,
     write_blocks,
 )
-from boxstats.storage import materialize
 
 PARTICLE_SCHEMA = "pid bigint, " + ", ".join(f"{c} double" for c in (*X, *V))
 
@@ -221,9 +221,12 @@ def read_snapshot(
     schema = PARTICLE_SCHEMA + "".join(f", {c} {kinds.get(c, 'double')}" for c in columns)
     options = {} if rows_per_task is None else {"rows_per_task": rows_per_task}
     df = wrap_positions(read_segments(spark, segments, schema, **options), header.box)
+    found = header.box
     if physical_positions:
+        # The box shrinks with its positions, so that distances fold at its walls.
         df = df.withColumns({c: df[c] * header.time for c in X})
-    return df, header.box
+        found = Box(found.boxsize * header.time, found.omega_m, found.a)
+    return df, found
 
 
 def write_snapshot(df: DataFrame, path: str, box: Box, mass: float = 0.0, hubble: float = 0.7) -> int:
@@ -234,7 +237,7 @@ def write_snapshot(df: DataFrame, path: str, box: Box, mass: float = 0.0, hubble
     if not mass > 0:
         raise ValueError("a snapshot needs a positive particle mass")
     root = math.sqrt(box.a)
-    df = materialize(df.select("pid", *X, *[(F.col(v) / F.lit(root)).alias(v) for v in V]))
+    df = numbered(df.select("pid", *X, *[(F.col(v) / F.lit(root)).alias(v) for v in V]))
     first_rows, rows = partition_starts(df)
     if rows == 0:
         raise ValueError("the catalogue is empty")

@@ -93,4 +93,4 @@ def smoothed_as_velocity(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, order: list[str]) -> None:
     """Result tables (one row per bin, so small) as a single sorted text file with a header."""
-    df.coalesce(1).sortWithinPartitions(*order).write.option("header", True).option("sep", " ").csv(path)
+    df.repartition(1).sortWithinPartitions(*order).write.option("header", True).option("sep", " ").csv(path)

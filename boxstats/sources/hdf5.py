@@ -14,12 +14,12 @@ from boxstats.functions.periodic import V, X
 from boxstats.sources.segments import (
     Block,
     Segment,
+    numbered,
     open_file,
     partition_starts,
     read_segments,
     write_blocks,
 )
-from boxstats.storage import materialize
 
 # Fixed values of the file format.
 SIGNATURE = b"\x89HDF\r\n\x1a\n"
@@ -283,7 +283,7 @@ def write_arrays(
 
     Rows keep the order of the partitions of ``df``. The tasks write their ranges directly.
     """
-    df = materialize(df.select(*[c for fields in arrays.values() for c, _ in fields]))
+    df = numbered(df.select(*[c for fields in arrays.values() for c, _ in fields]))
     first_rows, rows = partition_starts(df)
     if rows == 0:
         raise ValueError("the catalogue is empty")

@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-ROWS_PER_TASK = 1 << 22
+from boxstats.storage import materialize
+
+ROWS_PER_TASK = 1 << 20
+ROWS_PER_BATCH = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -57,6 +60,8 @@ def open_file(path: str, mode: str = "rb"):
         path = path[len("file:") :].replace("//", "/", 1) if path.startswith("file://") else path[len("file:") :]
     if "://" not in path:
         return open(path, mode)
+    if mode != "rb":
+        raise ValueError(f"cannot write to {path}")
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(path)
@@ -107,7 +112,9 @@ class SegmentReader(DataSourceReader):
             if name in segment.factors:
                 values = values * segment.factors[name]
             arrays.append(pa.array(values))
-        yield pa.RecordBatch.from_arrays(arrays, names=self.names)
+        whole = pa.RecordBatch.from_arrays(arrays, names=self.names)
+        for start in range(0, count, ROWS_PER_BATCH):
+            yield whole.slice(start, ROWS_PER_BATCH)
 
 
 _NUMPY = {"double": np.float64, "long": np.int64, "integer": np.int32}
@@ -138,9 +145,19 @@ def read_segments(
     )
 
 
+_PART, _PLACE = "_part", "_place"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` written once, every row with its partition and its place there. However later scans
+    split the table, a row keeps its number."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return materialize(df.withColumns({_PART: F.spark_partition_id(), _PLACE: place}))
+
+
 def partition_starts(df: DataFrame) -> tuple[dict[int, int], int]:
-    """First row of every partition in partition order, and the row count."""
-    counts = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+    """First row of every partition of a ``numbered`` table in partition order, and the row count."""
+    counts = df.groupBy(F.col(_PART).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
     starts, rows = {}, 0
     for row in counts:
         starts[row["p"]] = rows
@@ -149,26 +166,31 @@ def partition_starts(df: DataFrame) -> tuple[dict[int, int], int]:
 
 
 def write_blocks(df: DataFrame, path: str, blocks: list[Block], first_rows: dict[int, int]) -> int:
-    """Fill the arrays of an existing file from ``df``; tasks write disjoint ranges in place.
+    """Fill the arrays of an existing file from a ``numbered`` table; tasks write disjoint ranges.
 
     ``first_rows`` gives the first row of every partition. A repeated task writes the same
     bytes to the same place. The path must be on storage that all executors mount.
     """
+    if "://" in path and not path.startswith("file:"):
+        raise ValueError(f"{path}: files are filled in place, which needs a mounted path")
 
     def write(batches):
-        from pyspark import TaskContext
-
-        row = first_rows.get(TaskContext.get().partitionId(), 0)
         written = 0
         with open_file(path, "r+b") as file:
             for batch in batches:
+                parts = batch.column(_PART).to_numpy()
+                rows = np.array([first_rows[p] for p in np.unique(parts).tolist()], np.int64)
+                rows = rows[np.searchsorted(np.unique(parts), parts)] + batch.column(_PLACE).to_numpy()
+                # Runs of adjoining rows are written at once.
+                cuts = [0, *(np.flatnonzero(np.diff(rows) != 1) + 1).tolist(), len(rows)]
                 for block in blocks:
                     records = np.empty(batch.num_rows, block.dtype)
                     for name in block.dtype.names:
                         records[name] = batch.column(name).to_numpy(zero_copy_only=False)
-                    file.seek(block.offset + row * block.dtype.itemsize)
-                    file.write(records.tobytes())
-                row += batch.num_rows
+                    for a, b in zip(cuts[:-1], cuts[1:]):
+                        if b > a:
+                            file.seek(block.offset + int(rows[a]) * block.dtype.itemsize)
+                            file.write(records[a:b].tobytes())
                 written += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["n"])
 

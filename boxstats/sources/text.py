@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxstats.functions.periodic import V, X
 from boxstats.operators.transforms import mass_cut
+from boxstats.storage import materialize
 
 
 def _lines(spark: SparkSession, path) -> DataFrame:
@@ -25,8 +26,9 @@ def _numbers(first: int, cast) -> list[Column]:
 
 
 def _with_pid(df: DataFrame) -> DataFrame:
-    # Unique and stable for unchanged files, without a shuffle.
-    return df.select(F.monotonically_increasing_id().alias("pid"), *df.columns)
+    # Numbers follow the split of the files, so they are written down once, and every later scan
+    # reads the same ones.
+    return materialize(df.select(F.monotonically_increasing_id().alias("pid"), *df.columns))
 
 
 def _lenient(c: Column) -> Column:

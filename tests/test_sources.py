@@ -160,18 +160,90 @@ def test_programs(spark, cloud_df, box, tmp_path):
     programs.smoothed_velocity(spark, catalog, str(tmp_path / "smooth.parquet"), 8.0, "parquet")
     assert bs.read_catalog(spark, str(tmp_path / "smooth.parquet")).extra == {"r_smooth": 8.0}
     assert programs.matter_power(spark, catalog, 8, dk=0.03, out=str(tmp_path / "matter")).count() > 0
-    table = programs.decomposed_power(
+    poles, table = programs.decomposed_power(
         spark, catalog, 8, [0.0, 1.0], 0.02, shot_noise=box.volume / 100, two_d=True, sample=0.5,
-        write_random=str(tmp_path / "random.h5"),
+        write_random=str(tmp_path / "random.h5"), out=str(tmp_path / "power"),
     )
     assert table.count() == 2 * 4 * 10
+    alone = programs.decomposed_power(spark, catalog, 8, [0.0, 1.0], 0.02, shot_noise=box.volume / 100, sample=0.5)
+    assert poles.orderBy("lam", "bin").toPandas().round(6).equals(alone.orderBy("lam", "bin").toPandas().round(6))
+    read = spark.read.option("header", True).option("sep", " ").option("inferSchema", True)
+    assert read.csv(str(tmp_path / "power")).count() == poles.count()
+    assert read.csv(str(tmp_path / "power-2d")).count() == table.count()
+    facts = read.csv(str(tmp_path / "power-parameters")).first()
+    assert facts["n_data"] == 300 and facts["n_random"] == 100 and facts["shot_noise_random"] == box.volume / 100
     assert bs.read_catalog(spark, str(tmp_path / "random.h5")).df.count() == 100
     programs.write_power_2d(table, str(tmp_path / "p2d.h5"), 1.0, box)
     with open(tmp_path / "p2d.h5", "rb") as file:
         found = hdf5.list_datasets(file)
     assert found["/Pdu"].shape == (4, 10) and "/parameters/lambda" in found
-    phi, sigma = programs.characteristic_function(spark, catalog, 100)
+    phi, sigma = programs.characteristic_function(spark, catalog, 100, out=str(tmp_path / "phi"))
     assert phi.count() == 1001 and sigma.first()["n"] == 100
+    assert read.csv(str(tmp_path / "phi")).count() == 1001
+    assert abs(read.csv(str(tmp_path / "phi-parameters")).first()["sigma2"] - sigma.first()["sigma2"]) < 1e-9
     for mode in ("dd", "uu", "dduu"):
-        assert programs.correlation_function_uu(spark, catalog, mode, 300, r_max=10.0).count() == 10
+        out = str(tmp_path / mode)
+        assert programs.correlation_function_uu(spark, catalog, mode, 300, r_max=10.0, out=out).count() == 10
+        assert read.csv(out).count() == 10
+        facts = read.csv(f"{out}-parameters").first()
+        assert facts["n_data"] == 300 and (mode == "dd" or facts["n_random"] == 300)
+    programs.group_velocity(spark, catalog, halos=str(tmp_path / "halos.h5"))
+    halos, _ = hdf5.read_particles(spark, str(tmp_path / "halos.h5"))
+    assert halos.count() == fof_count(spark, cloud_df, box)
     assert programs.count_close_pairs(spark, catalog).first()[0] > 0
+
+
+def fof_count(spark, points, box):
+    from boxstats.operators import fof
+
+    return fof.fof_groups(points, box, fof.linking_length(box, points.count())).select("gid").distinct().count()
+
+
+def test_row_numbers_outlive_a_change_of_parallelism(spark, cloud_df, box, tmp_path):
+    cloud_df.selectExpr("concat_ws(' ', x0, x1, x2, v0, v1, v2)").repartition(5).write.text(str(tmp_path / "mock"))
+    cloud_df.repartition(6).write.parquet(str(tmp_path / "table"))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    mock = text.read_mock_text(spark, str(tmp_path / "mock"))
+    first = {(r.pid, r.x0, r.v2) for r in mock.collect()}
+    from boxstats.sources.segments import numbered, partition_starts
+
+    table = numbered(spark.read.parquet(str(tmp_path / "table")))
+    starts = partition_starts(table)
+    try:
+        spark.conf.set(name, "2k")
+        assert {(r.pid, r.x0, r.v2) for r in mock.collect()} == first
+        assert partition_starts(table) == starts
+        assert hdf5.write_particles(spark.read.parquet(str(tmp_path / "table")), str(tmp_path / "split.h5"), {"boxsize": 256.0}) == 600
+    finally:
+        spark.conf.set(name, before)
+    back, _ = hdf5.read_particles(spark, str(tmp_path / "split.h5"))
+    assert back.drop("pid").exceptAll(cloud_df.drop("pid")).count() == 0
+
+
+def test_writing_to_a_uri_is_refused(tmp_path):
+    from boxstats.sources.segments import open_file
+
+    with pytest.raises(ValueError):
+        open_file("hdfs://somewhere/file", "r+b")
+
+
+def test_physical_positions_scale_the_box(spark, cloud_df, tmp_path):
+    half = bs.Box(256.0, 0.3, 0.5)
+    binary.write_snapshot(cloud_df, str(tmp_path / "snap"), half, 1.0)
+    df, found = binary.read_snapshot(spark, str(tmp_path / "snap"), physical_positions=True)
+    assert found.boxsize == 128.0 and df.filter("x0 >= 128").count() == 0
+
+
+def test_scalars():
+    assert bs.Box.at_redshift(100.0, 0.3, 1.0).a == 0.5 and bs.Box(100.0, 0.3, 0.5).z == 1.0
+    assert bs.parse_lambdas("0,0.5, 1") == [0.0, 0.5, 1.0]
+    with pytest.raises(ValueError):
+        bs.parse_lambdas(" , ")
+
+
+def test_physical_coordinates(spark):
+    from boxstats.operators.transforms import to_physical
+
+    df = spark.createDataFrame([(1, 2.0, 4.0, 6.0)], "pid long, x0 double, x1 double, x2 double")
+    assert to_physical(df, 0.5).first()[1:] == (1.0, 2.0, 3.0)

@@ -1,7 +1,9 @@
 """Spatial joins against brute force, with copies, a dense clump and small leaf caps."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import boxstats as bs
 from boxstats.operators.pairs import pair_bins
@@ -10,13 +12,13 @@ from boxstats.operators.tree import cell_pairs, build_tree, distinct_positions
 
 @pytest.mark.parametrize("radius,cap", [(3.0, 32), (100.0, 32)])
 def test_pair_count(cloud, cloud_df, box, radius, cap):
-    got = bs.count_pairs(cloud_df, box, radius, cap).first()[0]
+    got = int(bs.count_pairs(cloud_df, box, radius, cap).first()[0])
     upper = np.triu_indices(cloud.n, 1)
     assert got == (cloud.d2()[upper] < radius**2).sum()
 
 
 def test_pair_bins_with_moments(cloud, cloud_df, box):
-    got = pair_bins(cloud_df, None, box, 60.0, 1.0, cap=32).toPandas().set_index("ibin")
+    got = pair_bins(cloud_df, None, box, 60.0, 1.0, cap=32).toPandas().set_index("ibin").astype(float)
     first = {}
     for i, p in enumerate(map(tuple, cloud.x)):
         first.setdefault(p, i)
@@ -142,3 +144,101 @@ def test_no_leaf_is_larger_than_the_cap(cloud_df, box):
     pairs = cell_pairs(tree, tree, 4.0, strict=True, half=True).open
     assert pairs.filter("not a.leaf or not b.leaf").count() == 0
     assert pairs.count() == pairs.select("a.cid", "b.cid").distinct().count()
+
+
+@pytest.fixture(scope="module")
+def clump(spark):
+    """4,000 points within 1e-4 of the box, and a few far away."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([100 + rng.random((4000, 3)) * 0.0256, rng.random((50, 3)) * 256])
+    frame = pd.DataFrame({"pid": np.arange(len(x))} | {f"x{i}": x[:, i] for i in range(3)} | {f"v{i}": rng.integers(-9, 9, len(x)).astype(float) for i in range(3)})
+    return frame, spark.createDataFrame(frame).repartition(4).cache()
+
+
+def test_leaves_of_a_clump_stay_below_the_cap(clump, box):
+    from boxstats.operators.tree import build_tree, distinct_positions
+
+    frame, df = clump
+    tree = build_tree(distinct_positions(df, box), box, 4, 16)
+    held = tree.points.groupBy("cid").count()
+    assert held.agg({"count": "max"}).first()[0] <= 16 and tree.points.count() == len(frame)
+    tree = build_tree(distinct_positions(df, box), box, 4, 64)
+    assert tree.points.groupBy("cid").count().agg({"count": "max"}).first()[0] <= 64
+    assert tree.cells.filter("leaf").agg({"n": "sum"}).first()[0] == len(frame)
+    top = tree.ancestors().filter("lvl = 0").join(tree.cells.select("cid", "n"), "cid")
+    assert top.agg({"n": "sum"}).first()[0] == len(frame)
+
+
+def test_operators_on_a_clump(clump, box, monkeypatch):
+    from boxstats.operators import tree
+
+    frame, df = clump
+    # Small keys, so that leaf pairs are spread over several of them.
+    monkeypatch.setattr(tree, "KEY_TESTS", 2000)
+    x = frame[["x0", "x1", "x2"]].to_numpy()
+    d = np.abs(x[:, None] - x[None])
+    d = np.minimum(d, 256 - d)
+    d2 = (d * d).sum(-1)
+    radius = 0.01
+    upper = np.triu(d2 < radius * radius, 1).sum()
+    assert int(bs.count_pairs(df, box, radius, 64).first()[0]) == int(upper)
+    near = d2 <= radius * radius
+    got = bs.smooth_velocity(df, box, radius, 64).toPandas().sort_values("pid")
+    assert (got.n_near.to_numpy() == near.sum(1)).all()
+    assert np.allclose(got.vs2, near @ frame.v2.to_numpy() / near.sum(1))
+    link = 0.002
+    groups = bs.fof_groups(df, box, link).toPandas().sort_values("pid").gid.to_numpy()
+    label = np.arange(len(x))
+    linked = d2 < link * link
+    while True:
+        new = np.array([label[row].min() for row in linked])
+        if (new == label).all():
+            break
+        label = new
+    assert (groups == label).all()
+    asked = df.filter("pid % 40 = 0")
+    found = bs.knn(asked, df, box, 2).toPandas()
+    for r in found.itertuples():
+        order = np.lexsort((np.arange(len(x)), d2[r.qid]))
+        assert order[r.rank - 1] == r.pid
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
+@pytest.mark.parametrize("column", ["x1", "v2"])
+def test_values_that_are_no_numbers_are_refused(spark, box, column, bad):
+    rows = [(i, 1.0 * i, 2.0, 3.0, 1.0, 1.0, 1.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "pid long, x0 double, x1 double, x2 double, v0 double, v1 double, v2 double")
+    value = F.lit(bad).cast("double")
+    df = df.withColumn(column, F.when(F.col("pid") == 3, value).otherwise(F.col(column)))
+    with pytest.raises(ValueError, match="1 rows"):
+        bs.smooth_velocity(df, box, 2.0)
+    with pytest.raises(ValueError, match="1 rows"):
+        bs.pair_uu(df, box, 5.0).count()
+    if column == "v2":
+        for broken in (bs.velocity_dispersion(df, box), bs.characteristic_function(df, box, steps=3), bs.cic_momentum(df, box, 4, 5)):
+            with pytest.raises(Exception, match="NULL, NaN or infinite"):
+                broken.collect()
+    else:
+        for run in (lambda: bs.count_pairs(df, box, 1.0), lambda: bs.fof_groups(df, box, 1.0), lambda: bs.knn(df, df, box)):
+            with pytest.raises(ValueError, match="1 rows"):
+                run()
+        with pytest.raises(Exception, match="NULL, NaN or infinite"):
+            bs.cic_density(df, box, 4).collect()
+
+
+def test_pair_counts_stay_exact(spark, box):
+    rows = spark.range(1).selectExpr("0L AS pid", "1D AS x0", "1D AS x1", "1D AS x2", "150000002L AS w")
+    from boxstats.operators import pairs
+    from boxstats.operators.tree import Positions
+
+    def weighted(*_):
+        return Positions(rows, 1, 150000002)
+
+    original = pairs.distinct_positions
+    try:
+        pairs.distinct_positions = weighted
+        assert pairs.count_pairs(None, box, 1.0).first()[0] == 11250000225000001
+    finally:
+        pairs.distinct_positions = original
+    two = spark.createDataFrame([(5 * 10**18,), (5 * 10**18,)], "n long")
+    assert two.agg(pairs._whole_sum("n")).first()[0] == 10**19
