@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxstats.llm.text import Rolling, mix64, runs, space_mask, utf8, window_hashes, word_bounds
+from boxstats.llm.text import Rolling, give_back, mix64, runs, space_mask, utf8, window_hashes, word_bounds
 from boxstats.operators.components import connected_components
 from boxstats.storage import materialize
 
@@ -192,6 +192,7 @@ def verify(blocks: DataFrame, similarity: float) -> DataFrame:
                 held.append(row)
         if held and (out := settle()) is not None:
             yield out
+        give_back()
 
     return blocks.select("task", "rep", "weight", "side", "set").mapInArrow(work, "rep long, root long, links long")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from boxstats.llm.text import Rolling, mix64, runs, utf8
+from boxstats.llm.text import Rolling, give_back, mix64, runs, utf8
 from boxstats.storage import materialize
 
 LENGTH, GRAM = 200, 50
@@ -105,6 +105,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             body = pa.array([press.compress(x.encode()) for x in batch.column("text").to_pylist()], pa.binary())
             others = [x for x in batch.schema.names if x != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in others), body], [*others, "body"])
+            give_back()
 
     kept = [f for f in docs.schema.fields if f.name != "text"]
     return docs.mapInArrow(work, StructType([*kept, StructField("body", BinaryType())]))
@@ -232,6 +233,7 @@ def _sort_buckets(suffixes: DataFrame, length: int, buckets: int) -> DataFrame:
             held.append(batch.slice(cut))
         if held and size:
             yield settle(held)
+        give_back()
 
     return dealt.mapInArrow(work, _SPAN)
 
@@ -322,6 +324,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), kinds)), batch.column("rest")], ["doc_id", *out, "rest"]
                 )
+            give_back()
 
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, rest {rows.schema['rest'].dataType.simpleString()}"
     return met.select("doc_id", "body", "low", "windows", "rest").mapInArrow(work, schema)

@@ -51,6 +51,24 @@ def runs(batch: pa.RecordBatch, column: str = "text", limit: int = RUN_BYTES) ->
         stop = min(max(stop, start + 1), n)
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; a worker otherwise keeps the most it ever used."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def short_batches(spark, rows: int = 1000) -> None:
+    """Arrow batches of whole texts: ten thousand rows, the usual size, are too long for them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
 
 
 def space_mask(data: np.ndarray) -> np.ndarray:
