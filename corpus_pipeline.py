@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxstats.llm import jaccard, mixing, packing, quality, suffixes
+from boxstats.llm.text import short_batches
 from boxstats.storage import materialize
 
 #: Tables of ids up to this number of rows are broadcast (16 bytes each), larger ones shuffled.
@@ -24,12 +25,14 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the quality classifier keep."""
+    short_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
+    short_batches(spark)
     groups = materialize(jaccard.join(docs))
     gone = groups.filter("class_id != doc_id").select(F.col("doc_id").alias("_gone"))
     facts = groups.agg(F.count("doc_id"), F.countDistinct("doc_id"), F.count(F.when(F.col("class_id") != F.col("doc_id"), 1))).first()
@@ -41,6 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of long strings that occur elsewhere. ``n_chars`` follows the text."""
+    short_batches(spark)
     others = tuple(c for c in docs.columns if c != "text")
     cut = suffixes.dedup(docs, carry=others)
     rows = cut.select("rest", F.col("kept_text").alias("text"))
@@ -66,6 +70,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents and their places in sequences."""
+    short_batches(spark)
     return packing.pack_documents(docs)
 
 
