@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxstats.operators.joins import lookup_join
-from boxstats.storage import materialize
+from boxstats.storage import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hook(both, True, 2 * state[0])
-        edges = materialize(_hook(large, False, 2 * state[0]))
+        former, edges = edges, materialize(_hook(large, False, 2 * state[0]))
+        discard(former)
         before, state = state, _digest(edges)
     # Every remaining edge points from a node to the smallest of its component.
     roots = edges.select(F.col("v").alias("id")).distinct().withColumn("comp", F.col("id"))

@@ -1,7 +1,9 @@
 """Written intermediate tables for iterative operators.
 
 A table in the folder named by ``spark.checkpoint.dir`` cuts the lineage and outlives any
-executor. Only a local session without that setting falls back to a folder of its own.
+executor. Only a local session without that setting, as in tests, falls back to a folder of its own.
+Rounds of an iteration discard the tables of the round before; tables that a result may still read
+stay until the folder is cleaned.
 """
 
 from __future__ import annotations
@@ -29,4 +31,15 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/boxstats-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``materialize`` wrote and that nothing reads any more."""
+    path = getattr(table, "_written_to", None)
+    if path:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

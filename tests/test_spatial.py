@@ -242,3 +242,17 @@ def test_pair_counts_stay_exact(spark, box):
         pairs.distinct_positions = original
     two = spark.createDataFrame([(5 * 10**18,), (5 * 10**18,)], "n long")
     assert two.agg(pairs._whole_sum("n")).first()[0] == 10**19
+
+
+def test_rounds_leave_one_table(spark):
+    import glob
+
+    from boxstats.operators.components import connected_components
+    from boxstats.storage import scratch_dir
+
+    folder = scratch_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/boxstats-*"))
+    chain = spark.range(300).selectExpr("id AS src", "id + 1 AS dst")
+    found = connected_components(chain)
+    assert found.select("comp").distinct().count() == 1 and found.count() == 301
+    assert len(set(glob.glob(f"{folder}/boxstats-*")) - before) == 1
