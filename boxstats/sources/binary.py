@@ -229,10 +229,14 @@ def read_snapshot(
     return df, found
 
 
-def write_snapshot(df: DataFrame, path: str, box: Box, mass: float = 0.0, hubble: float = 0.7) -> int:
-    """One snapshot file of halo-type particles: pid as id, velocities back in file units.
+def write_snapshot(
+    df: DataFrame, path: str, box: Box, mass: float = 0.0, hubble: float = 0.7, record_bytes: int = (1 << 31) - 1
+) -> int:
+    """A snapshot of halo-type particles: pid as id, velocities back in file units.
 
     Positions, velocities and ids are written by the tasks in place; masses are one header value.
+    A record holds at most ``record_bytes``, since its marks have 32 bits; beyond that the particles
+    go to numbered files ``path.0``, ``path.1`` and so on.
     """
     if not mass > 0:
         raise ValueError("a snapshot needs a positive particle mass")
@@ -241,19 +245,35 @@ def write_snapshot(df: DataFrame, path: str, box: Box, mass: float = 0.0, hubble
     first_rows, rows = partition_starts(df)
     if rows == 0:
         raise ValueError("the catalogue is empty")
-    counts = tuple(rows if t == HALO_TYPE else 0 for t in range(PARTICLE_TYPES))
+    total = _of_halo_type(rows)
     masses = tuple(mass if t == HALO_TYPE else 0.0 for t in range(PARTICLE_TYPES))
-    header = SnapshotHeader(
-        counts, masses, box.a, box.z, 0, 1, box.boxsize, box.omega_m, 1.0 - box.omega_m, hubble, counts
-    )
     wide = df.agg(F.max("pid")).first()[0] >= 1 << 32
     records = [
         [(c, "<f4") for c in X],
         [(c, "<f4") for c in V],
         [("pid", "<u8" if wide else "<u4")],
     ]
-    if max(Block(0, fields).dtype.itemsize for fields in records) * rows >= 1 << 31:
-        raise ValueError("a record mark holds 32 bits: write more than one file")
+    most = record_bytes // max(Block(0, fields).dtype.itemsize for fields in records)
+    files = -(-rows // most)
+    written = 0
+    for k in range(files):
+        part = (k * most, min((k + 1) * most, rows))
+        size = part[1] - part[0]
+        header = SnapshotHeader(
+            _of_halo_type(size), masses, box.a, box.z, 0, files, box.boxsize, box.omega_m, 1.0 - box.omega_m, hubble, total
+        )
+        name = path if files == 1 else f"{path}.{k}"
+        blocks = _reserve(name, header, records, size)
+        written += write_blocks(df, name, blocks, first_rows, None if files == 1 else part)
+    return written
+
+
+def _of_halo_type(rows: int) -> tuple[int, ...]:
+    return tuple(rows if t == HALO_TYPE else 0 for t in range(PARTICLE_TYPES))
+
+
+def _reserve(path: str, header: SnapshotHeader, records: list, rows: int) -> list[Block]:
+    """Creates a file with its header and marks, and room for the arrays between them."""
     blocks = []
     with open_file(path, "xb") as file:
         mark = struct.pack("<i", HEADER_BYTES)
@@ -265,4 +285,4 @@ def write_snapshot(df: DataFrame, path: str, box: Box, mass: float = 0.0, hubble
             file.seek(size, 1)
             file.write(struct.pack("<i", size))
             blocks.append(block)
-    return write_blocks(df, path, blocks, first_rows)
+    return blocks

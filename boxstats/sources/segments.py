@@ -165,31 +165,45 @@ def partition_starts(df: DataFrame) -> tuple[dict[int, int], int]:
     return starts, rows
 
 
-def write_blocks(df: DataFrame, path: str, blocks: list[Block], first_rows: dict[int, int]) -> int:
+def write_blocks(
+    df: DataFrame, path: str, blocks: list[Block], first_rows: dict[int, int], rows: tuple[int, int] | None = None
+) -> int:
     """Fill the arrays of an existing file from a ``numbered`` table; tasks write disjoint ranges.
 
+    ``rows`` (first, end) takes that range of the table alone, and only partitions that hold it.
+
     ``first_rows`` gives the first row of every partition. A repeated task writes the same
     bytes to the same place. The path must be on storage that all executors mount.
     """
     if "://" in path and not path.startswith("file:"):
         raise ValueError(f"{path}: files are filled in place, which needs a mounted path")
 
+    if rows is not None:
+        # A partition ends where the next one begins.
+        begins = sorted((row, part) for part, row in first_rows.items())
+        ends = [row for row, _ in begins[1:]] + [rows[1]]
+        held = [part for (row, part), end in zip(begins, ends) if row < rows[1] and end > rows[0]]
+        df = df.filter(F.col(_PART).between(min(held), max(held)))
+
     def write(batches):
         written = 0
         with open_file(path, "r+b") as file:
             for batch in batches:
                 parts = batch.column(_PART).to_numpy()
-                rows = np.array([first_rows[p] for p in np.unique(parts).tolist()], np.int64)
-                rows = rows[np.searchsorted(np.unique(parts), parts)] + batch.column(_PLACE).to_numpy()
+                known, which = np.unique(parts, return_inverse=True)
+                number = np.array([first_rows[p] for p in known.tolist()], np.int64)[which] + batch.column(_PLACE).to_numpy()
+                if rows is not None:
+                    inside = (number >= rows[0]) & (number < rows[1])
+                    batch, number = batch.filter(pa.array(inside)), number[inside] - rows[0]
                 # Runs of adjoining rows are written at once.
-                cuts = [0, *(np.flatnonzero(np.diff(rows) != 1) + 1).tolist(), len(rows)]
+                cuts = [0, *(np.flatnonzero(np.diff(number) != 1) + 1).tolist(), len(number)]
                 for block in blocks:
                     records = np.empty(batch.num_rows, block.dtype)
                     for name in block.dtype.names:
                         records[name] = batch.column(name).to_numpy(zero_copy_only=False)
                     for a, b in zip(cuts[:-1], cuts[1:]):
                         if b > a:
-                            file.seek(block.offset + int(rows[a]) * block.dtype.itemsize)
+                            file.seek(block.offset + int(number[a]) * block.dtype.itemsize)
                             file.write(records[a:b].tobytes())
                 written += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["n"])

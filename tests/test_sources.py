@@ -247,3 +247,14 @@ def test_physical_coordinates(spark):
 
     df = spark.createDataFrame([(1, 2.0, 4.0, 6.0)], "pid long, x0 double, x1 double, x2 double")
     assert to_physical(df, 0.5).first()[1:] == (1.0, 2.0, 3.0)
+
+
+def test_snapshot_in_numbered_files(spark, cloud_df, box, tmp_path):
+    path = str(tmp_path / "snap")
+    assert binary.write_snapshot(cloud_df.repartition(7), path, box, 1.0, record_bytes=250 * 12) == 600
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["snap.0", "snap.1", "snap.2"]
+    df, found = binary.read_snapshot(spark, path, columns=("id",))
+    assert found.boxsize == 256.0
+    back = df.selectExpr("id AS pid", "x0", "x1", "x2", "v0", "v1", "v2")
+    want = cloud_df.select("pid", "x0", "x1", "x2", "v0", "v1", "v2")
+    assert back.count() == 600 and back.exceptAll(want).count() == 0
