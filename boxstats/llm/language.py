@@ -23,6 +23,7 @@ from boxstats.llm.text import once, runs, utf8
 DIM = 1024
 #: Texts that the prototypes are learned from at most; a hash of doc_id picks them.
 SAMPLE = 20_000
+TASKS = 32
 #: Letters beyond Latin-1 share this many symbols.
 OTHERS = 64
 _GAP = 0
@@ -137,8 +138,8 @@ def prototypes(labelled: DataFrame, dim: int = DIM, sample: int = SAMPLE, seed:
             {"lang": pa.array(list(total), pa.string()), "body": pa.array([v.astype("<f8").tobytes() for v in total.values()], pa.binary())}
         )
 
-    # One row per language and task; a bounded sample keeps the tasks with rows few.
-    parts = rows.mapInArrow(work, "lang string, body binary").toArrow()
+    # The sample is small: few tasks, and one row per language and task to the driver.
+    parts = rows.repartition(TASKS, "doc_id").mapInArrow(work, "lang string, body binary").toArrow()
     sums: dict[str, np.ndarray] = {}
     for name, body in zip(parts.column("lang").to_pylist(), parts.column("body").to_pylist()):
         sums[name] = sums.get(name, 0) + np.frombuffer(body, "<f8")
