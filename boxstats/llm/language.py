@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from boxstats.llm.text import once, runs, utf8
 
 DIM = 1024
-#: Texts that the prototypes are learned from at most; a hash of doc_id picks them.
-SAMPLE = 20_000
 TASKS = 32
 #: Letters beyond Latin-1 share this many symbols.
 OTHERS = 64
@@ -113,15 +111,15 @@ def _slices(batch: pa.RecordBatch):
             yield part.slice(start, 512)
 
 
-def prototypes(labelled: DataFrame, dim: int = DIM, sample: int = SAMPLE, seed: int = 5) -> tuple[list[str], np.ndarray]:
-    """doc_id, text, lang -> language names and unit vectors, from at most about ``sample`` texts."""
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")
-    )
-    total = rows.count()
-    if total > sample:
-        share = int(sample / total * 2**32)
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**32)) < share)
+def prototypes(labelled: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
+    """doc_id, text, lang -> language names and unit vectors, from all texts with a language."""
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    schema = "lang string, body binary"
+
+    def added(total):
+        yield pa.RecordBatch.from_pydict(
+            {"lang": pa.array(list(total), pa.string()), "body": pa.array([v.astype("<f8").tobytes() for v in total.values()], pa.binary())}
+        )
 
     def work(batches):
         letters = _letters(dim)
@@ -134,12 +132,18 @@ def prototypes(labelled: DataFrame, dim: int = DIM, sample: int = SAMPLE, seed:
                 names = np.array(batch.column("lang").to_pylist(), object)
                 for name in set(names[has]):
                     total[name] = total.get(name, 0) + unit[has & (names == name)].sum(axis=0, dtype=np.float64)
-        yield pa.RecordBatch.from_pydict(
-            {"lang": pa.array(list(total), pa.string()), "body": pa.array([v.astype("<f8").tobytes() for v in total.values()], pa.binary())}
-        )
+        yield from added(total)
 
-    # The sample is small: few tasks, and one row per language and task to the driver.
-    parts = rows.repartition(TASKS, "doc_id").mapInArrow(work, "lang string, body binary").toArrow()
+    def merge(batches):
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, body in zip(batch.column("lang").to_pylist(), batch.column("body").to_pylist()):
+                total[name] = total.get(name, 0) + np.frombuffer(body, "<f8")
+        yield from added(total)
+
+    # Texts are summed where they are read. The sums, one row per language and task, meet in few
+    # tasks, so the driver gets at most ``TASKS`` rows of a language.
+    parts = rows.mapInArrow(work, schema).repartition(TASKS).mapInArrow(merge, schema).toArrow()
     sums: dict[str, np.ndarray] = {}
     for name, body in zip(parts.column("lang").to_pylist(), parts.column("body").to_pylist()):
         sums[name] = sums.get(name, 0) + np.frombuffer(body, "<f8")

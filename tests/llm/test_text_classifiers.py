@@ -111,6 +111,25 @@ def test_language_on_texts_not_seen(spark):
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (1000, 1001, 1002))
 
 
+def test_language_learns_from_every_labelled_text(spark):
+    # 30,000 texts of one language, and twelve languages of one text each.
+    rare = ["".join(chr(0x61 + (7 * i + 5 * j * j) % 26) + " "[: j % 3 == 2] for j in range(40)) for i in range(12)]
+    rows = [(i, "abc cab bca", "common", "s", 1) for i in range(30_000)] + [(10**6 + i, t, f"r{i:02}", "s", 1) for i, t in enumerate(rare)]
+    rows += [(2 * 10**6, "12 34", "no letter", "s", 1), (2 * 10**6 + 1, None, "no text", "s", 1), (None, "xyz", "r00", "s", 1)]
+    docs = frame(spark, rows)
+    names, vectors = language.prototypes(docs, dim=256)
+    letters = language._letters(256)
+    want = {}
+    for _, text, lang, *_ in [rows[0], *rows[30_000:]]:
+        if text and any(c.isalpha() for c in text):
+            body = _bundle(text, letters)
+            want[lang] = want.get(lang, 0) + body / np.linalg.norm(body)
+    assert names == sorted(want)
+    assert np.allclose(vectors, [want[x] / np.linalg.norm(want[x]) for x in names], atol=1e-5)
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs.filter("doc_id BETWEEN 1000001 AND 1999999"), names, vectors).collect()}
+    assert got == {10**6 + i: f"r{i:02}" for i in range(1, 12)}
+
+
 def test_language_without_labels(spark):
     names, vectors = language.prototypes(spark.createDataFrame([], SCHEMA))
     assert names == []
