@@ -203,9 +203,31 @@ def _spans(batch: pa.Table, row: np.ndarray, number: np.ndarray) -> pa.RecordBat
     )
 
 
+def _cut(batches, limit: int = SORT_BYTES):
+    """Batches sorted by (lead, hk), dealt into lists of about ``limit`` bytes of suffixes.
+
+    Only suffixes of one anchor (one hk) must stay together; anchors with one lead need not.
+    """
+    held, size, last = [], 0, None
+    for batch in batches:
+        keys = list(zip(batch.column("lead").to_pylist(), batch.column("hk").to_pylist()))
+        cut = 0
+        for i in range(len(keys)):
+            if size >= limit and keys[i] != last:
+                if i > cut:
+                    held.append(batch.slice(cut, i - cut))
+                yield held
+                held, size, cut = [], 0, i
+            size += len(batch.column("bytes")[i].as_buffer())
+            last = keys[i]
+        held.append(batch.slice(cut))
+    if held and size:
+        yield held
+
+
 def _sort_buckets(suffixes: DataFrame, length: int, buckets: int) -> DataFrame:
     """Windows of the open edge runs that another run of their anchor has, as spans."""
-    dealt = suffixes.repartitionByRange(buckets, "lead").sortWithinPartitions("lead", "hk")
+    dealt = suffixes.repartitionByRange(buckets, "lead", "hk").sortWithinPartitions("lead", "hk")
 
     def settle(held):
         batch = pa.Table.from_batches(held)
@@ -218,20 +240,7 @@ def _sort_buckets(suffixes: DataFrame, length: int, buckets: int) -> DataFrame:
         return _spans(batch, row[hit], number[hit])
 
     def work(batches):
-        held, size, last = [], 0, None
-        for batch in batches:
-            lead = batch.column("lead").to_pylist()
-            cut = 0
-            for i in range(len(lead)):
-                if size >= SORT_BYTES and lead[i] != last:
-                    if i > cut:
-                        held.append(batch.slice(cut, i - cut))
-                    yield settle(held)
-                    held, size, cut = [], 0, i
-                size += len(batch.column("bytes")[i].as_buffer())
-                last = lead[i]
-            held.append(batch.slice(cut))
-        if held and size:
+        for held in _cut(batches):
             yield settle(held)
         give_back()
 

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,24 @@ def test_suffix_dedup_of_no_rows(spark):
     assert suffixes.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_buckets_are_cut_between_anchors_of_one_lead():
+    rows = [(b"x" * 16, k // 3, b"y" * 100) for k in range(300)]
+    make = lambda part: pa.RecordBatch.from_pydict(dict(zip(("lead", "hk", "bytes"), map(list, zip(*part)))))
+    held = [pa.Table.from_batches(x) for x in suffixes._cut([make(rows[:130]), make(rows[130:])], 1000)]
+    assert [r for t in held for r in zip(*(t.column(c).to_pylist() for c in ("lead", "hk", "bytes")))] == rows
+    anchors = [set(t.column("hk").to_pylist()) for t in held]
+    assert sum(map(len, anchors)) == 100 and max(t.num_rows for t in held) <= 12
+
+
+def test_suffix_dedup_of_templated_lines(spark):
+    # All suffixes of these lines have one lead, and their anchors have a copy each.
+    rng = np.random.default_rng(4)
+    rests = ["".join(map(chr, rng.integers(97, 123, 120))) for _ in range(30)]
+    rows = [(i, "0123456789 2026 ERROR " * 3 + rests[i % 30] + str(i), "en", "s", 1) for i in range(60)]
+    got = suffixes.dedup(frame(spark, rows), 60, 15)
+    same(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), _repeated(rows, 60))
+
+
 def test_multikey_classes():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 400).astype(np.uint8)
