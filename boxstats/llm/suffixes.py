@@ -112,11 +112,11 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _suffixes(edges: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """The bytes of the edge runs."""
+    """The bytes of the edge runs, once per task for rows that repeat a doc_id and its text."""
     spans = edges.groupBy("doc_id", "text_crc").agg(
         F.collect_list(F.struct("hk", "low", "windows", "anchor", "open", "hot")).alias("spans")
     )
-    # Bounded by the length of a document.
+    # Bounded by the length of a document, as one run of each kind is kept.
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("text_crc").alias("_t"), "spans")
     texts = _packed(docs)
     met = texts.join(spans, texts["doc_id"].eqNullSafe(F.col("_d")) & (texts["text_crc"] == F.col("_t")))
@@ -125,9 +125,14 @@ def _suffixes(edges: DataFrame, docs: DataFrame, length: int, gram: int) -> Data
         import zstandard
 
         press = zstandard.ZstdDecompressor()
+        seen = set()
         for batch in batches:
             out = {x: [] for x in ("doc_id", "text_crc", "hk", "low", "anchor", "open", "hot", "lead", "bytes")}
             for doc, crc, body, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_crc", "body", "spans"))):
+                key = (doc, crc, hash(body))
+                if key in seen:
+                    continue
+                seen.add(key)
                 text = press.decompress(body)
                 for s in spans:
                     part = text[s["low"] : s["low"] + s["windows"] + length - 1]
@@ -288,6 +293,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     return parts
 
 
+def _lists(spans: DataFrame) -> DataFrame:
+    """Spans as (_d, _t, low, windows), one row per doc_id and text_crc with sorted lists.
+
+    Rows that repeat a doc_id and its text bring equal spans; a set keeps one of each, so a list is
+    bounded by the length of a document.
+    """
+    sets = spans.groupBy("doc_id", "text_crc").agg(F.sort_array(F.collect_set(F.struct("low", "windows"))).alias("spans"))
+    return sets.select(F.col("doc_id").alias("_d"), F.col("text_crc").alias("_t"), F.col("spans.low").alias("low"), F.col("spans.windows").alias("windows"))
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and text -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that
     remain), kept_text (those bytes without the halves of cut characters), and rest (a struct of the
@@ -297,9 +312,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int
         F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest")
     ).withColumn("text_crc", F.crc32(F.col("text").cast("binary")))
     spans = repeated_spans(rows.drop("rest"), length, gram, hot_runs)
-    # Bounded by the length of a document.
-    spans = spans.groupBy("doc_id", "text_crc").agg(F.sort_array(F.collect_list(F.struct("low", "windows"))).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("text_crc").alias("_t"), F.col("spans.low").alias("low"), F.col("spans.windows").alias("windows"))
+    spans = _lists(spans)
     texts = _packed(rows)
     met = texts.join(spans, texts["doc_id"].eqNullSafe(F.col("_d")) & (texts["text_crc"] == F.col("_t")), "left")
 

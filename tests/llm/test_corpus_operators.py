@@ -57,6 +57,22 @@ def test_suffix_dedup_of_templated_lines(spark):
     same(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), _repeated(rows, 60))
 
 
+def test_spans_of_repeated_rows_are_held_once(spark):
+    text = "".join(map(chr, np.random.default_rng(6).integers(97, 123, 500)))
+    other = text[100:300] + "".join(map(chr, np.random.default_rng(7).integers(97, 123, 300)))
+    rows = [(7, text, "en", "s", 1)] * 50 + [(None, text, "en", "s", 1)] * 50 + [(8, other, "en", "s", 1)]
+    same(suffixes.dedup(frame(spark, rows), 60, 15).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), _repeated(rows, 60))
+    docs = frame(spark, rows).coalesce(1).selectExpr("doc_id", "text", "crc32(CAST(text AS BINARY)) AS text_crc")
+    spans = suffixes.repeated_spans(docs, 60, 15)
+    lists = suffixes._lists(spans).collect()
+    for r in lists:
+        assert len(r.low) == len(r.windows) == len(set(zip(r.low, r.windows))) <= 600
+    crc = docs.filter("doc_id = 7").first().text_crc
+    edge = spark.createDataFrame([(7, crc, 3, 5, 10, 2, True, False)], "doc_id long, text_crc long, hk long, low long, windows int, anchor int, open boolean, hot boolean")
+    found = suffixes._suffixes(edge, docs, 60, 15).collect()
+    assert [bytes(r["bytes"]).decode() for r in found] == [text[5:74]]
+
+
 def test_multikey_classes():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 400).astype(np.uint8)
