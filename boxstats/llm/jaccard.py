@@ -34,6 +34,8 @@ RECALL = 0.9995
 SIGNATURE = 120
 #: Limits of a block: classes and shingles.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
+#: Rows with their sets that a partition of the verification takes on average.
+SHIPPED_ROWS = 2000
 #: Candidate ids up to this number reach the texts by broadcast (8 bytes each), more by a shuffle.
 BROADCAST_IDS = 250_000
 
@@ -219,7 +221,7 @@ def join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, re
         .join(classes.select("rep", "n", F.col("copies").alias("weight")), ["rep", "n"])
     )
     placed = materialize(_blocks(inside, similarity))
-    tasks = _tasks(members, placed)
+    tasks = materialize(_tasks(members, placed))
     ids = placed.select(F.col("rep").alias("doc_id")).distinct()
     if placed.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -229,7 +231,7 @@ def join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, re
         tasks.filter("i != j").select("comp", F.col("j").alias("block"), "task", F.lit(1).alias("side"))
     )
     shipped = placed.join(sides, ["comp", "block"]).select("task", "side", "rep", "weight").join(sets, "rep")
-    n_tasks = max(docs.sparkSession.sparkContext.defaultParallelism, placed.count() // 2000)
+    n_tasks = max(docs.sparkSession.sparkContext.defaultParallelism, _shipped_rows(placed, sides) // SHIPPED_ROWS)
     found = materialize(verify(shipped.repartition(int(n_tasks), "task").sortWithinPartitions("task", "side"), similarity))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(found.filter("rep != root").select(F.col("rep").alias("src"), F.col("root").alias("dst")).distinct())
@@ -241,6 +243,12 @@ def join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, re
     return known.select("doc_id", "k1", "k2", "n").join(of_class, ["k1", "k2", "n"]).select("doc_id", "class_id", "n_links").unionByName(alone)
 
 
+def _shipped_rows(placed: DataFrame, sides: DataFrame) -> int:
+    """Rows of all block tasks: a class goes to every task of its block."""
+    rows = placed.groupBy("comp", "block").agg(F.count(F.lit(1)).alias("_rows"))
+    return sides.join(rows, ["comp", "block"]).agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+
+
 def _blocks(inside: DataFrame, similarity: float) -> DataFrame:
     """Adds the block of each class in its component. Sets in blocks whose size classes lie two or
     more apart differ by more than the factor ``1 / similarity``, so they cannot be similar."""

@@ -134,6 +134,23 @@ def test_jaccard_join_in_small_blocks(spark, monkeypatch):
     same(jaccard.join(frame(spark, rows)).collect(), _groups(rows))
 
 
+def test_jaccard_partitions_follow_shipped_rows(spark, monkeypatch):
+    # A group of 60 near copies in blocks of 7 ships each class to many tasks.
+    asked, plain = [], jaccard.verify
+
+    def spy(blocks, similarity):
+        asked.append((blocks.rdd.getNumPartitions(), blocks.count()))
+        return plain(blocks, similarity)
+
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(jaccard, "SHIPPED_ROWS", 5)
+    monkeypatch.setattr(jaccard, "verify", spy)
+    rows = _near_rows(4)
+    same(jaccard.join(frame(spark, rows)).collect(), _groups(rows))
+    [(partitions, shipped)] = asked
+    assert partitions == max(spark.sparkContext.defaultParallelism, shipped // 5) and shipped > 5 * 60
+
+
 def test_jaccard_join_of_no_rows(spark):
     assert jaccard.join(spark.createDataFrame([], SCHEMA)).count() == 0
 
