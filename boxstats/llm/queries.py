@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxstats.llm import idfiles, jaccard, language, mixing, packing, quality, suffixes, topk, toxicity, transducer
+from boxstats.llm import idfiles, jaccard, language, mixing, packing, prefixtrie, quality, sharding, suffixes, topk, toxicity, transducer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,10 +66,27 @@ def op10_quality_rules(spark, sf_dir):
     return quality.score(docs, model)
 
 
+def op12_sharding(spark, sf_dir):
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return prefixtrie.trie(_table(spark, sf_dir, "conversations"), prefixtrie.FAMILY)
+
+
+_QUERIES = (
+    op1_id_files, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_exact_top_k, op6_suffix_dedup, op7_ngram_jaccard, op8_token_counts,
+    op9_language, op10_quality_rules, op12_sharding, op13_prefix_trie,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_id_files, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_exact_top_k, op6_suffix_dedup, op7_ngram_jaccard, op8_token_counts, op9_language, op10_quality_rules)}
+    return {f.__name__: f for f in _QUERIES}
 
 
+# The crc32 of a conv_id in decimals, bit by bit, with its reversed polynomial.
+_CRC32 = """(4294967295 - list_reduce(list_transform(string_split(o.conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda s, b: list_reduce(range(8), lambda t, i: xor(t >> 1, (t & 1) * 3988292384), xor(s, b)), 4294967295))"""
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -101,4 +118,22 @@ def oracle_sql() -> dict[str, str]:
                 FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
             r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+        "op13_prefix_trie": rf"""WITH t AS (SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS m,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+            o AS (SELECT conv_id, list(m ORDER BY pos) AS own FROM t GROUP BY conv_id),
+            r AS (SELECT conv_id, CASE WHEN conv_id % 20 = 0 THEN own
+                ELSE list_concat(coalesce(head[1:h], []), own[h + 1:]) END AS turns
+                FROM (SELECT o.conv_id, o.own, b.own AS head, {_CRC32} & 3 AS h FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20)),
+            p AS (SELECT conv_id, d, turns[1:d] AS prefix, len(turns) = d AS ends FROM r, range(len(turns) + 1) x(d)),
+            n AS (SELECT prefix, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM p GROUP BY prefix),
+            k AS (SELECT *, CASE WHEN depth > 0 THEN prefix[1:depth - 1] END AS up,
+                CASE WHEN depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(prefix[depth].text, '{_WORD}')) ELSE 0 END AS own FROM n),
+            c AS (SELECT a.prefix, count(b.prefix) AS n_children FROM k a LEFT JOIN k b ON b.up = a.prefix GROUP BY a.prefix),
+            s AS (SELECT a.prefix, sum(b.own)::BIGINT AS saved_tokens, count(*) FILTER (e.n_children = 0) AS n_leaves
+                FROM k a JOIN k b ON b.depth >= a.depth AND b.prefix[1:a.depth] = a.prefix JOIN c e ON e.prefix = b.prefix GROUP BY a.prefix)
+            SELECT k.conv_id, k.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, k.n_convs, c.n_children, s.n_leaves, s.saved_tokens,
+                sha256(k.ids) AS ends_sha256
+            FROM k JOIN c USING (prefix) JOIN s USING (prefix) LEFT JOIN n u ON u.prefix = k.up""",
     }

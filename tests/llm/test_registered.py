@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 
 def test_all_operators_are_registered():
     names = entry_module.queries()
-    assert [n for i in range(1, 11) for n in names if n.startswith(f"op{i}_")] == list(queries.queries())
+    assert [n for i in range(1, 14) for n in names if n.startswith(f"op{i}_")] == list(queries.queries())
     assert "pipeline" in names
     assert set(queries.oracle_sql()) < set(names)
 
@@ -22,7 +22,7 @@ def test_all_operators_are_registered():
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_equal_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     df = queries.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
