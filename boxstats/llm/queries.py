@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxstats.llm import idfiles, jaccard, language, mixing, packing, prefixtrie, quality, sharding, suffixes, topk, toxicity, transducer
+from boxstats.llm import alignment, idfiles, jaccard, language, mixing, packing, prefixtrie, quality, sharding, suffixes, topk, toxicity, transducer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_quality_rules(spark, sf_dir):
     return quality.score(docs, model)
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.align(_table(spark, sf_dir, "documents"))[0]
+
+
 def op12_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ def op13_prefix_trie(spark, sf_dir):
 
 _QUERIES = (
     op1_id_files, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_exact_top_k, op6_suffix_dedup, op7_ngram_jaccard, op8_token_counts,
-    op9_language, op10_quality_rules, op12_sharding, op13_prefix_trie,
+    op9_language, op10_quality_rules, op11_alignment, op12_sharding, op13_prefix_trie,
 )
 
 
