@@ -162,6 +162,33 @@ def pair_dduu(spark, sf):
     return _round(bs.pair_dduu(_particles(spark, sf), _randoms(spark, sf), BOX, R_MAX, DR), *DDUU)
 
 
+def xi_monopole(spark, sf):
+    df = bs.xi_monopole(_particles(spark, sf), BOX, R_MAX, DR)
+    return _round(df.withColumn("n", F.col("n").cast("long")), "xi0", "uu0", "ww0")
+
+
+def _squeezed(spark, sf) -> DataFrame:
+    """Half of the particles within 1/32 of one place, far below the finest cell."""
+    x = [F.when(F.col("pid") % 2 == 0, F.lit(100.0) + F.col(f"x{i}") / 8192).otherwise(F.col(f"x{i}")).alias(f"x{i}") for i in range(3)]
+    return _particles(spark, sf).select("pid", *x, "v2")
+
+
+def xi_monopole_clump(spark, sf):
+    df = bs.xi_monopole(_squeezed(spark, sf), BOX, R_MAX, DR)
+    return _round(df.withColumn("n", F.col("n").cast("long")), "xi0", "uu0", "ww0")
+
+
+COPIED = ("p2", "uu0", "uu2", "uu4", "ww0", "ww2", "ww4", "u1", "u3")
+
+
+def pair_moments_copies(spark, sf):
+    """A third of the particles share 8 places, so the odd moments pair copies in the order of pid."""
+    x = [F.when(F.col("pid") % 3 == 0, F.floor(F.col(f"x{i}") / 128) * 16.0).otherwise(F.col(f"x{i}")).alias(f"x{i}") for i in range(3)]
+    points = _particles(spark, sf).select("pid", *x, "v2")
+    df = bs.pair_bins(points, None, BOX, R_MAX, DR)
+    return _round(df.withColumn("n", F.col("n").cast("long")), *COPIED, digits=3)
+
+
 def smooth_velocity(spark, sf):
     df = bs.smooth_velocity(_particles(spark, sf), BOX, R_SMOOTH)
     return _round(df, "vs0", "vs1", "vs2")
@@ -236,10 +263,7 @@ def group_velocity(spark, sf):
 
 
 def pair_count_clump(spark, sf):
-    """Half of the particles within 1/32 of one place, far below the finest cell."""
-    squeezed = [F.when(F.col("pid") % 2 == 0, F.lit(100.0) + F.col(f"x{i}") / 8192).otherwise(F.col(f"x{i}")).alias(f"x{i}") for i in range(3)]
-    points = _particles(spark, sf).select("pid", *squeezed)
-    return bs.count_pairs(points, BOX, R_CLUMP).select(F.col("n_pairs").cast("long"))
+    return bs.count_pairs(_squeezed(spark, sf).drop("v2"), BOX, R_CLUMP).select(F.col("n_pairs").cast("long"))
 
 
 # --- Files: written, read back, and compared with the rows they were made of -----------------
@@ -299,7 +323,7 @@ _QUERIES = (
     rsd_shift, wrap_positions, velocity_units, displacement, cic_density, cic_density_rsd,
     density_contrast, cic_momentum, mass_cut, subsample_exact, bbox, hist_1d, pdf_1d, hist_2d,
     velocity_dispersion, char_function, char_function_randoms, nearest_velocity, knn,
-    pair_count_auto, xi_dd, pair_uu, pair_dduu, smooth_velocity, dft_mesh, mode_table,
+    pair_count_auto, xi_dd, xi_monopole, xi_monopole_clump, pair_uu, pair_dduu, pair_moments_copies, smooth_velocity, dft_mesh, mode_table,
     power_matter, power_matter_rsd, power_decomposed, power_decomposed_lambda,
     power_decomposed_raw_noise, power_2d, fof_groups, fof_halos, group_velocity, pair_count_clump,
     file_hdf5, file_parquet, file_snapshot, file_mock_text, file_fof_text, file_subhalo_text,
@@ -499,9 +523,9 @@ def _signed(a: str, b: str, i: int) -> str:
 
 
 def _pairs_sql(name: str, a: str, b: str, auto: bool) -> str:
-    """Per shell sums over pairs of relations with pid, ord, x0..x2, u: CTE <name>."""
-    # Odd moments of an auto pair take x from the position with the smaller first pid.
-    order = "WHERE a.ord < b.ord" if auto else ""
+    """Per shell sums over pairs of relations with pid, x0..x2, u: CTE <name>."""
+    # Odd moments of an auto pair take x from the particle with the smaller pid.
+    order = "WHERE a.pid < b.pid" if auto else ""
     return f"""{name}0 AS (SELECT a.u AS ux, b.u AS uy, {_near2('a', 'b')} AS s2, {_signed('a', 'b', 2)} AS rz FROM {a} a, {b} b {order}),
 {name}1 AS (SELECT ux, uy, sqrt(s2) AS s, rz / sqrt(s2) AS nu FROM {name}0 WHERE s2 > 0 AND s2 < {R_MAX * R_MAX}),
 {name}2 AS (SELECT floor(s / {DR})::INTEGER AS ibin, ux * uy AS uu, (ux - uy) * (ux - uy) AS ww, uy, nu,
@@ -511,7 +535,18 @@ def _pairs_sql(name: str, a: str, b: str, auto: bool) -> str:
 
 
 def _moving(name: str, source: str) -> str:
-    return f"{name} AS (SELECT pid, x0, x1, x2, v2 / 100.0::DOUBLE AS u, min(pid) OVER (PARTITION BY x0, x1, x2) AS ord FROM {source})"
+    return f"{name} AS (SELECT pid, x0, x1, x2, v2 / 100.0::DOUBLE AS u FROM {source})"
+
+
+_SQUEEZED = "sq AS (SELECT pid, " + ", ".join(f"CASE WHEN pid % 2 = 0 THEN 100 + x{i} / 8192 ELSE x{i} END AS x{i}" for i in range(3)) + ", v2 FROM p)"
+_COPIES = "cp AS (SELECT pid, " + ", ".join(f"CASE WHEN pid % 3 = 0 THEN floor(x{i} / 128) * 16 ELSE x{i} END AS x{i}" for i in range(3)) + ", v2 FROM p)"
+
+
+def _monopole_sql(source: str, *extra: str) -> str:
+    mean = "(0.5 * c.n * (c.n - 1) * fraction)"
+    return f"""WITH {", ".join([_P, *extra])}, {_moving('ud', source)}, {_pairs_sql('dd', 'ud', 'ud', True)}, {_SHELLS}, c AS (SELECT count(*)::DOUBLE AS n FROM p)
+SELECT ibin, r_mid, coalesce(dd.n, 0)::BIGINT AS n, {_r(f'coalesce(dd.n, 0) / {mean} - 1', 'xi0')}, {_r('coalesce(uu0 / dd.n, 0)', 'uu0')},
+{_r('coalesce(ww0 / dd.n, 0)', 'ww0')} FROM shell LEFT JOIN dd USING (ibin), c"""
 
 
 def _dduu_sql() -> str:
@@ -622,6 +657,10 @@ def _engine_sql() -> dict[str, str]:
         "file_snapshot": f"WITH {_P} SELECT pid AS id, {PARTICLE_MASS!r}::DOUBLE AS m, {', '.join(_VALUES)} FROM p",
         "file_fof_text": f"SELECT nfof, {', '.join(_VALUES)} FROM ({_HALOS}) h",
         "file_subhalo_text": f"SELECT nfof * 1000.0::DOUBLE AS m, {', '.join(_VALUES)} FROM ({_HALOS}) h",
+        "xi_monopole": _monopole_sql("p"),
+        "xi_monopole_clump": _monopole_sql("sq", _SQUEEZED),
+        "pair_moments_copies": f"""WITH {_P}, {_COPIES}, {_moving('ud', 'cp')}, {_pairs_sql('dd', 'ud', 'ud', True)}
+            SELECT ibin, n, {', '.join(_r(c, c, 3) for c in COPIED)} FROM dd""",
         "xi_dd": f"""WITH {_P}, {auto}, c AS (SELECT count(*)::DOUBLE AS n FROM p)
             SELECT ibin, r_mid, {_r('coalesce(dd.n, 0) / (0.5 * c.n * (c.n - 1) * fraction) - 1', 'xi0')},
             {_r('5 * coalesce(p2, 0) / (0.5 * c.n * (c.n - 1) * fraction)', 'xi2')}, 0.0::DOUBLE AS xi4,

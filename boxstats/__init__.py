@@ -17,6 +17,7 @@ from boxstats.operators.pairs import (
     pair_dduu,
     pair_uu,
     xi_dd,
+    xi_monopole,
 )
 from boxstats.operators.smoothing import smooth_velocity
 from boxstats.operators.spectra import (
@@ -78,6 +79,7 @@ __all__ = [
     "wrap_positions",
     "write_catalog",
     "xi_dd",
+    "xi_monopole",
 ]
 
 # Tasks carry the small helpers they run, so executors need no installed copy of the package.

@@ -198,5 +198,5 @@ def _descend(asked: Positions, tree: Tree, box: Box, k: int, payload: list[str])
         level = materialize(level.filter("near2 <= bound").select("a", "b", "bound"))
         if step < depth:
             level = split_pairs(level, ka, kb, half=False)
-    near = _closest(pair_ids(level), own.points, tree.points, box, k, payload)
+    near = _closest(pair_ids(level).drop("a_block", "b_block"), own.points, tree.points, box, k, payload)
     return near.select("pid", *X, "near")

@@ -5,7 +5,8 @@ A uniform grid of base cells is split, only where it is crowded, until a leaf ho
 of pid into leaves that may overlap. Copies of a position are one row with a weight, so neither
 a crowded cell nor a pile of copies can end up as one unbounded group. Joins first pair the
 cells (few rows, tight bounds, equi-joins on the cell id) and then only the points of those
-leaf pairs that the bounds cannot settle.
+leaf pairs that the bounds cannot settle. Neighbouring leaves form blocks, and a leaf is shipped
+once to every block that it meets, not once to every leaf.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxstats.box import Box
@@ -29,8 +30,10 @@ AXIS_BITS = 19
 SPLIT_BITS = 2
 MAX_SIDE = 1 << AXIS_BITS
 MEAN_OCCUPANCY = 16
-# Point tests of one join key.
+# Point tests of one join key, where leaves have no blocks.
 KEY_TESTS = 50_000_000
+# Points of a block of leaves, but for one leaf more. The square bounds the tests of a pair of blocks.
+BLOCK_POINTS = 4096
 
 
 def pack(level: Column, c: list[Column]) -> Column:
@@ -52,7 +55,8 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def never_null(columns: list[str], prefix: str = "") -> list[str]:
     """SQL for renamed columns that Spark knows to hold no NULL, which keeps the checks out of
     the generated pair loop (it must stay small enough to be compiled to machine code)."""
-    return [f"coalesce({c}, {'false' if c == 'leaf' else 0}) AS {prefix}{c}" for c in columns]
+    none = {"leaf": "false", "copies": "array()"}
+    return [f"coalesce({c}, {none.get(c, 0)}) AS {prefix}{c}" for c in columns]
 
 
 @dataclass(frozen=True)
@@ -103,7 +107,7 @@ class Tree:
 
     def cell_struct(self, name: str) -> Column:
         bounds = [f"{b}{i}" for b in ("lo", "hi") for i in AXES]
-        fields = ["cid", "leaf", "n", "rep", *bounds, *self.sums]
+        fields = ["cid", "leaf", "n", "rep", "block", *bounds, *self.sums]
         return F.expr(f"struct({', '.join(never_null(fields))})").alias(name)
 
     def leaves(self) -> DataFrame:
@@ -187,7 +191,7 @@ def build_tree(
         )
         return materialize(cells.withColumns({"lvl": F.lit(lvl), "home_lvl": F.lit(home_lvl)}))
 
-    level, pending, leaves, leaf_cells = start, positions.df, [], []
+    level, pending, leaves, leaf_cells, dealt = start, positions.df, [], [], False
     while True:
         pending = pending.withColumn("cid", cell_id(box, side, level)).withColumn("home", F.col("cid"))
         found = cells_of(pending, level, level)
@@ -206,6 +210,7 @@ def build_tree(
             pending = pending.withColumn("cid", _deal(pending, cap)).drop("_n")
             leaves.append(pending.withColumn("lvl", F.lit(level)))
             leaf_cells.append(cells_of(pending, level, level - 1))
+            dealt = True
             break
         pending = pending.drop("_n", "cid")
     points = union_all(leaves).drop("home")
@@ -216,6 +221,7 @@ def build_tree(
     if level == 0:
         cells = leaf_cells.drop("home", "home_lvl")
         cells = cells.withColumn("leaf", F.lit(True)).withColumn("parent", F.lit(None).cast("bigint"))
+        cells = materialize(_with_blocks(cells))
     else:
         merged = []
         for i in AXES:
@@ -236,10 +242,29 @@ def build_tree(
         up = pack(F.col("lvl") - 1, [F.shiftright(x, SPLIT_BITS) for x in c])
         up = F.when(F.col("cid") < 0, F.col("home")).otherwise(up)
         cells = cells.withColumn("parent", F.when(F.col("lvl") > 0, up)).drop("home")
-        cells = materialize(cells)
+        if dealt:
+            cells = materialize(cells)
+        cells = materialize(_with_blocks(cells))
     return Tree(points, cells, box, side, level, tuple(sums))
 
 
+def _with_blocks(cells: DataFrame) -> DataFrame:
+    """Every leaf with its block: a run of at most 64 siblings (or base cells of one 4 x 4 x 4 cube) of
+    BLOCK_POINTS points. Dealt leaves, of which one cell may have any number, are dealt into blocks too."""
+    level, *c = unpack(F.col("cid"))
+    cube = pack(F.lit(0), [F.shiftright(x, SPLIT_BITS) for x in c])
+    group = F.when(F.col("lvl") == 0, F.xxhash64(F.lit("cube"), cube)).otherwise(F.xxhash64(F.lit("parent"), F.col("parent")))
+    before = Window.partitionBy("_group").orderBy("cid").rowsBetween(Window.unboundedPreceding, -1)
+    run = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / BLOCK_POINTS)
+    grid = cells.filter("leaf and cid >= 0").withColumn("_group", group)
+    grid = grid.withColumn("block", F.xxhash64("_group", run)).drop("_group")
+    rest = cells.filter("not leaf").withColumn("block", F.lit(0).cast("bigint"))
+    homes = cells.filter("not leaf").select(F.col("cid").alias("parent"), F.ceil(F.col("n") / BLOCK_POINTS).alias("_blocks"))
+    dealt = lookup_join(cells.filter("leaf and cid < 0"), homes, ["parent"]).select(*cells.columns, "_blocks")
+    dealt = dealt.withColumn("block", F.xxhash64("parent", F.pmod(F.xxhash64("cid"), F.col("_blocks")))).drop("_blocks")
+    return union_all([grid, rest, dealt])
+
+
 @dataclass(frozen=True)
 class CellPairs:
     """``inside``: every point pair is within the radius. ``open``: leaf pairs to test."""
@@ -280,16 +305,19 @@ def split_pairs(pairs: DataFrame, ka: DataFrame, kb: DataFrame, half: bool) -> D
 
 
 def cell_pairs(
-    a: Tree, b: Tree, radius2: float, strict: bool, half: bool, settle: Column | None = None
+    a: Tree, b: Tree, radius2: float, strict: bool, half: bool, settle: Column | None = None, exclude_zero: bool = False
 ) -> CellPairs:
     """Cell pairs that hold point pairs with d2 < radius2 (``strict``) or d2 <= radius2.
 
     ``settle`` says when a pair wholly inside the radius needs no test of its points (None
-    for never). Crowded cells are opened level by level, on cell rows only.
+    for never). Crowded cells are opened level by level, on cell rows only. With ``exclude_zero``
+    pairs of cells at one and the same place drop out.
     """
     near2, far2 = box_dist2("a", "b", a.box.boxsize)
     r2 = F.lit(float(radius2))
     reach = near2 < r2 if strict else near2 <= r2
+    if exclude_zero:
+        reach = reach & (far2 > 0)
     inside = far2 < r2 if strict else far2 <= r2
     settled = F.lit(False) if settle is None else inside & settle
 
@@ -315,6 +343,10 @@ def cell_pairs(
     )
 
 
+def _with_d2(joined: DataFrame, box: Box) -> DataFrame:
+    return joined.withColumn("d2", dist2([f"a_{c}" for c in X], [f"b_{c}" for c in X], box.boxsize))
+
+
 def join_points(ids: DataFrame, a: DataFrame, b: DataFrame, box: Box) -> DataFrame:
     """Join leaf id pairs (a_cid, b_cid, tests) with the points of both leaves and add d2.
 
@@ -334,14 +366,39 @@ def join_points(ids: DataFrame, a: DataFrame, b: DataFrame, box: Box) -> DataFra
         ids = ids.join(parts, "a_cid").withColumn("_part", F.pmod(F.xxhash64("b_cid"), F.col("_parts")).cast("int")).drop("_parts")
         left = left.join(parts, "a_cid").withColumn("_part", F.explode(F.expr("sequence(0, _parts - 1)"))).drop("_parts")
     spread = ids.drop("tests").join(right, "b_cid").repartition(tasks_for(spark, tests or 0), *key)
-    joined = spread.join(left, key).drop("_part")
-    d2 = dist2([f"a_{c}" for c in X], [f"b_{c}" for c in X], box.boxsize)
-    return joined.withColumn("d2", d2)
+    return _with_d2(spread.join(left, key).drop("_part"), box)
+
+
+def shipped(ids: DataFrame, points: DataFrame, side: str, n: int) -> DataFrame:
+    """The points of one side's leaves, once for every pair of blocks in which a leaf has a partner."""
+    cid = f"{side}_cid"
+    where = ids.select("a_block", "b_block", cid).distinct()
+    return where.join(points.selectExpr(*never_null(points.columns, f"{side}_")), cid).repartition(n, "a_block", "b_block")
+
+
+def join_blocks(ids: DataFrame, a: DataFrame, b: DataFrame, box: Box) -> DataFrame:
+    """As ``join_points``, for ids with a_block and b_block.
+
+    Both sides and the ids are shuffled by pair of blocks, and joined there without a further shuffle
+    or sort. A key holds at most two blocks of points and the square of a block of tests, however many
+    leaves are around; it grows with neither the density nor the radius.
+    """
+    tests = ids.agg(F.sum("tests")).first()[0] or 0
+    n = tasks_for(ids.sparkSession, tests)
+    # Rows that lie together by pair of blocks also do by pair of blocks and leaf; Spark shuffles again unless told so.
+    ids.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    blocks = ["a_block", "b_block"]
+    keyed = ids.drop("tests").repartition(n, *blocks)
+    left, right = (shipped(ids, points, side, n).hint("shuffle_hash") for points, side in ((a, "a"), (b, "b")))
+    return _with_d2(keyed.join(left, [*blocks, "a_cid"]).join(right, [*blocks, "b_cid"]).drop(*blocks), box)
 
 
 def pair_ids(pairs: DataFrame) -> DataFrame:
     tests = F.col("a.n").cast("double") * F.col("b.n")
-    return pairs.select(F.col("a.cid").alias("a_cid"), F.col("b.cid").alias("b_cid"), tests.alias("tests"))
+    return pairs.select(
+        F.col("a.cid").alias("a_cid"), F.col("b.cid").alias("b_cid"), F.col("a.block").alias("a_block"), F.col("b.block").alias("b_block"),
+        tests.alias("tests"),
+    )
 
 
 def point_pairs(
@@ -349,7 +406,7 @@ def point_pairs(
     exclude_zero: bool = False,
 ) -> DataFrame:
     """Point pairs of leaf pairs within the radius: columns a_*, b_* and d2."""
-    joined = join_points(pair_ids(pairs), a, b, box)
+    joined = join_blocks(pair_ids(pairs), a, b, box)
     if half:
         joined = joined.filter((F.col("a_cid") != F.col("b_cid")) | (F.col("a_pid") < F.col("b_pid")))
     r2 = F.lit(float(radius2))
