@@ -9,8 +9,8 @@ The last tokens of a group end together and are a link.
 Both tokenizers cut at every single 0x20 between characters that are no white space (the byte-level
 one by its pattern, the other because no piece holds a space after another character, which is
 checked). So a text is the sequence of its units, from one such space to the next. Units are encoded
-and aligned once and remembered by their bytes in two generations, so frequent ones stay. A unit
-may be a whole text without spaces; only units up to ``REMEMBERED_BYTES`` are kept.
+and aligned once and remembered by their text; when the store is full, those that the texts at hand
+hold again stay. A unit may be a whole text without spaces; long ones go when the store is cleared.
 
 Counts of id pairs take three steps: sums per task, their totals, and the highest count of every B id,
 which are as many as B has ids. Counts reach the documents by broadcast for the most frequent pairs, at
@@ -26,8 +26,6 @@ table gives no rows. Columns of the input other than doc_id and text play no par
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,37 +38,50 @@ from boxstats.llm.tokens import tokenizer_path
 from boxstats.storage import materialize
 
 BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Units of one generation that a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_BYTES = 100_000, 64
+#: Units that a worker remembers, the longest of them, and new units encoded in a row.
+REMEMBERED, REMEMBERED_BYTES, ROW_UNITS = 300_000, 64, 2000
 #: Pairs whose counts are broadcast, and pairs that a task sums before it passes them on.
 KNOWN, SUMMED = 1_000_000, 1_000_000
 #: White space beyond ASCII; a cut next to it is not made.
 WIDE_SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
-def gallop(short, long) -> list[tuple[int, int]]:
-    """Index pairs of the values that two ascending lists have in common; ``short`` drives."""
-    out, low, n = [], 0, len(long)
-    for i, x in enumerate(short):
-        high, step = low, 1
-        while high < n and long[high] < x:
-            low = high + 1
-            high += step
-            step *= 2
-        low = bisect_left(long, x, low, min(high, n))
-        if low == n:
-            break
-        if long[low] == x:
-            out.append((i, low))
-            low += 1
-    return out
-
-
-def common_ends(ends_a, ends_b) -> list[tuple[int, int]]:
-    """(index in a, index in b) of the ends in both lists."""
+def gallop(short: np.ndarray, long: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices in both of the values that two strictly ascending arrays have in common.
+
+    Every value of ``short`` is sought in ``long`` from ``start`` on (0; no place of its value lies before), by steps
+    that double until they pass it, and by halving within the last step. All values take their steps together.
+    """
+    n = len(long)
+    low = np.zeros(len(short), np.int64) if start is None else start.astype(np.int64)
+    if not n or not len(short):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    high, step = low.copy(), 1
+    going = np.flatnonzero((high < n) & (long[np.minimum(high, n - 1)] < short))
+    while len(going):
+        low[going] = high[going] + 1
+        high[going] += step
+        step *= 2
+        at = high[going]
+        going = going[(at < n) & (long[np.minimum(at, n - 1)] < short[going])]
+    high = np.minimum(high, n)
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        middle = (low[open_] + high[open_]) // 2
+        less = long[middle] < short[open_]
+        low[open_[less]] = middle[less] + 1
+        high[open_[~less]] = middle[~less]
+        open_ = open_[low[open_] < high[open_]]
+    found = np.flatnonzero((low < n) & (long[np.minimum(low, n - 1)] == short))
+    return found, low[found]
+
+
+def common_ends(ends_a: np.ndarray, ends_b: np.ndarray, start_a: np.ndarray | None = None, start_b: np.ndarray | None = None):
+    """(indices in a, indices in b) of the ends in both; the shorter list drives. ``start_a`` gives a place in a
+    for every end of b, from which on it can be found, and ``start_b`` the like."""
     if len(ends_a) <= len(ends_b):
-        return gallop(ends_a, ends_b)
-    return [(i, j) for j, i in gallop(ends_b, ends_a)]
+        return gallop(ends_a, ends_b, start_b)
+    return gallop(ends_b, ends_a, start_a)[::-1]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -108,43 +119,130 @@ class Aligner:
             if " " in self.bytes_b[-1].decode(errors="replace").lstrip(" "):
                 raise ValueError(f"piece {i} crosses a space")
         self.size_b = len(self.bytes_b)
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of a space and each text. The second tokenizer adds the space itself."""
-        first = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [(x.ids, ids) for x, ids in zip(first, self.b.encode(texts, num_threads=1))]
-
-    def align(self, unit: str, a: list[int], b: list[int]) -> tuple:
-        """(n_a, n_b, n_groups, link codes, groups as text, whether both give the unit's bytes)."""
-        raw_a, raw_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        raw = unit.encode()
-        if b"".join(raw_a) != raw or b"".join(raw_b) != raw:
-            return 0, 0, 0, b"", b"", False
-        met = common_ends(list(accumulate(map(len, raw_a))), list(accumulate(map(len, raw_b))))
-        groups, i, j = [], 0, 0
-        for x, y in met:
-            groups.append(",".join(map(str, a[i : x + 1])) + "|" + ",".join(map(str, b[j : y + 1])))
-            i, j = x + 1, y + 1
-        codes = np.array([a[x] * self.size_b + b[y] for x, y in met], np.int64).tobytes()
-        return len(a), len(b), len(met), codes, ";".join(groups).encode(), True
-
-    def units(self, names: list[str]) -> list[tuple]:
-        young, old = self.young, self.old
-        if len(young) > REMEMBERED:
-            self.old = old = young
-            self.young = young = {}
-        found = [young.get(u) or old.get(u) for u in names]
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
-            words = [names[i] for i in new]
-            for i, u, (a, b) in zip(new, words, self.encode([u[1:] for u in words])):
-                found[i] = self.align(u, a, b)
-        for u, x in zip(names, found):
-            if len(u) <= REMEMBERED_BYTES:
-                young[u] = x
-        return found
+        self.length_a, self.length_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.digits = _digits(max(len(self.bytes_a), self.size_b))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.names: dict[str, int] = {}
+        self.good = np.zeros(0, bool)
+        self.sides = [(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, bool))] * 2
+
+    def _append(self, good: np.ndarray, *new) -> None:
+        """More entries: on both sides their numbers of tokens, ids, and whether the other side ends there too."""
+        self.good = np.concatenate([self.good, good])
+        self.sides = [
+            (np.concatenate([begin, begin[-1] + np.cumsum(count)]), np.concatenate([ids, more]), np.concatenate([common, shared]))
+            for (begin, ids, common), (count, more, shared) in zip(self.sides, new)
+        ]
+
+    def _ids(self, units: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of units in a row. The second tokenizer adds the first space itself."""
+        text = "".join(units)
+        (a,) = self.a.encode_batch_fast([text], add_special_tokens=False)
+        return a.ids, self.b.encode(text[1:], num_threads=1)
+
+    def _learn(self, units: list[str]) -> None:
+        """Appends the entries of new units. Plain ones are encoded many in a row, since both tokenizers cut
+        between them; those with white space at an end, next to which they may not, by themselves."""
+        order = []
+        plain = [i for i, u in enumerate(units) if len(u) > 1 and not u[1].isspace() and not u[-1].isspace() and "▁" not in u]
+        rest = sorted(set(range(len(units))) - set(plain))
+        jobs = [plain[i : i + ROW_UNITS] for i in range(0, len(plain), ROW_UNITS)] + [[i] for i in rest]
+        done = []
+        while jobs:
+            job = jobs.pop(0)
+            names = [units[i] for i in job]
+            a, b = self._ids(names)
+            raw = "".join(names).encode()
+            same = [b"".join([table[i] for i in ids]) == raw for table, ids in ((self.bytes_a, a), (self.bytes_b, b))]
+            size = np.array([len(n.encode()) for n in names])
+            if all(same):
+                done.append((a, b, size))
+                order += job
+            elif len(job) > 1:
+                jobs = [[i] for i in job] + jobs
+            else:
+                done.append(([], [], size * 0))
+                order += job
+        sizes = np.concatenate([x[2] for x in done])
+        ids = [np.fromiter((i for x in done for i in x[k]), np.int32) for k in (0, 1)]
+        ends = [np.cumsum(table[i]) for table, i in zip((self.length_a, self.length_b), ids)]
+        edge = np.cumsum(sizes)
+        upto = [np.searchsorted(e, edge, side="right") for e in ends]
+        count = [np.diff(u, prepend=0) for u in upto]
+        # The ends of one unit are sought among those of the same unit.
+        begin = [u - c for u, c in zip(upto, count)]
+        i, j = common_ends(*ends, np.repeat(begin[0], count[1]), np.repeat(begin[1], count[0]))
+        shared = [np.zeros(len(x), bool) for x in ids]
+        shared[0][i] = shared[1][j] = True
+        good = sizes > 0
+        if (good & ~(np.isin(edge, ends[0]) & np.isin(edge, ends[1]))).any():
+            raise RuntimeError("a tokenizer does not cut where a unit ends")
+        first = len(self.good)
+        self._append(good, *zip(count, ids, shared))
+        self.names.update((units[i], first + k) for k, i in enumerate(order))
+
+    def entries(self, units: list[str]) -> np.ndarray:
+        """The entry of every unit."""
+        if len(self.names) + len(units) > REMEMBERED:
+            # Those met again now are the frequent ones.
+            names = [u for u in units if u in self.names and len(u) <= REMEMBERED_BYTES]
+            kept = np.array([self.names[u] for u in names], np.int64)
+            good, sides = self.good[kept], self._gather(kept)
+            self._forget()
+            self._append(good, *sides)
+            self.names = {u: i for i, u in enumerate(names)}
+        if new := [u for u in units if u not in self.names]:
+            self._learn(new)
+        return np.array([self.names[u] for u in units], np.int64)
+
+    def _gather(self, entries: np.ndarray) -> list[tuple]:
+        """On both sides the numbers of tokens of the entries, their ids and common ends."""
+        out = []
+        for begin, ids, common in self.sides:
+            count = begin[entries + 1] - begin[entries]
+            source = np.repeat(begin[entries] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            out.append((count, ids[source], common[source]))
+        return out
+
+    def texts(self, entries: np.ndarray, n: np.ndarray):
+        """Texts of ``n`` entries each -> n_a, n_b, n_links, link codes, and the bytes of all groups with their ends."""
+        (count_a, a, end_a), (count_b, b, end_b) = self._gather(entries)
+        last_a, last_b = np.flatnonzero(end_a), np.flatnonzero(end_b)
+        cut = np.concatenate([[0], np.cumsum(n)])
+
+        def per_text(count):
+            return np.diff(np.concatenate([[0], np.cumsum(count)])[cut])
+
+        upto_a = np.cumsum(per_text(count_a))
+        links = np.diff(np.searchsorted(last_a, upto_a), prepend=0)
+        codes = a[last_a].astype(np.int64) * self.size_b + b[last_b]
+        # In the order of groups, a's tokens before b's: each is moved by the other side's tokens before it.
+        group_a, group_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
+        before_b = np.concatenate([[0], last_b + 1])[group_a]
+        place_a, place_b = np.arange(len(a)) + before_b, np.arange(len(b)) + (last_a + 1)[group_b]
+        ids = np.empty(len(a) + len(b), np.int32)
+        mark = np.full(len(ids), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        mark[place_a[last_a]], mark[place_b[last_b]] = ord("|"), ord(";")
+        digits, width = self.digits
+        rows = digits[ids]
+        rows[:, -1] = mark
+        used = np.arange(rows.shape[1]) >= rows.shape[1] - 1 - width[ids][:, None]
+        n_a, n_b = per_text(count_a), per_text(count_b)
+        ends = np.concatenate([[0], np.cumsum(width[ids] + 1)])[np.cumsum(n_a + n_b)]
+        return n_a, n_b, links, codes, rows[used], ends
+
+
+def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of the numbers below ``n``, flush right before one free byte, and how many they are."""
+    width = np.array([len(str(i)) for i in range(n)], np.int8)
+    most = int(width.max())
+    table = np.zeros((n, most + 1), np.uint8)
+    for k in range(most):
+        table[:, most - 1 - k] = ord("0") + np.arange(n) // 10**k % 10
+    return table, width
 
 
 def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -168,7 +266,9 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     at = at[~edge[at] & ~edge[at + 1]]
-    return np.union1d(offsets[:-1], at)
+    edge[at] = True
+    edge[n:] = False
+    return np.flatnonzero(edge)
 
 
 def _encode(byte_path: str, piece_path: str, narrow: bool):
@@ -186,44 +286,37 @@ def _encode(byte_path: str, piece_path: str, narrow: bool):
                 ends = np.append(starts[1:], len(data)).astype(np.int32)
                 places = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
                 units = pa.Array.from_buffers(pa.string(), len(starts), [None, places, pa.py_buffer(data)]).dictionary_encode()
-                n_a, n_b, n_groups, codes, groups, whole_units = zip(*aligner.units(units.dictionary.to_pylist()))
-                index = units.indices.to_numpy()
+                entries = aligner.entries(units.dictionary.to_pylist())[units.indices.to_numpy()]
                 first = np.searchsorted(starts, offsets[:-1])
-                good = np.logical_and.reduceat(np.array(whole_units)[index], first) & np.asarray(filled)
-                sums = [np.where(good, np.add.reduceat(np.array(x, np.int64)[index], first), 0) for x in (n_a, n_b, n_groups)]
-                rows = np.repeat(np.arange(batch.num_rows), np.diff(np.append(first, len(starts))))
-                hashes, at = [], index.tolist()
-                for keep, a, b in zip(good.tolist(), first.tolist(), [*first[1:].tolist(), len(starts)]):
-                    hashes.append(hashlib.sha256(b";".join([groups[i] for i in at[a:b]])).hexdigest() if keep else "")
+                n_units = np.diff(np.append(first, len(starts)))
+                good = np.logical_and.reduceat(aligner.good[entries], first) & np.asarray(filled)
+                kept = np.flatnonzero(good)
+                n_a, n_b, links, codes, groups, ends = aligner.texts(entries[np.repeat(good, n_units)], n_units[kept])
+                hashes = [""] * batch.num_rows
+                view = memoryview(np.ascontiguousarray(groups))
+                for i, low, high in zip(kept.tolist(), [0, *ends.tolist()], ends.tolist()):
+                    hashes[i] = hashlib.sha256(view[low : high - 1]).hexdigest()
+                sums = np.zeros((3, batch.num_rows), np.int64)
+                sums[:, kept] = n_a, n_b, links
                 # Every document's links, equal ones together.
-                length = np.array([len(c) // 8 for c in codes])
-                begin = np.cumsum(length) - length
-                flat = np.frombuffer(b"".join(codes), np.int64)
-                kept = index[good[rows]]
-                size = length[kept]
-                upto = np.cumsum(size)
-                source = np.repeat(begin[kept] - upto + size, size) + np.arange(int(upto[-1]) if len(upto) else 0)
-                owner, code, times = _distinct(np.repeat(rows[good[rows]], size), flat[source])
-                cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+                code, times, cut = _distinct(np.repeat(kept, links), codes, batch.num_rows, len(aligner.bytes_a) * aligner.size_b)
                 code, times = code.astype(dtype), times.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), batch.column("doc_id"), *(pa.array(x) for x in sums), pa.array(sums[2]), pa.array(hashes),
-                     *(pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for x in (code, times))],
+                    [batch.column("row"), batch.column("doc_id"), *(pa.array(x) for x in (*sums, sums[2])), pa.array(hashes, pa.string()),
+                     *(pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary()) for x in (code, times))],
                     names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times"],
                 )
 
     return work
 
 
-def _distinct(rows: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, code) in order, and how often each occurs."""
-    order = np.argsort(codes, kind="stable")
-    order = order[np.argsort(rows[order], kind="stable")]
-    rows, codes = rows[order], codes[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])
+def _distinct(rows: np.ndarray, codes: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes of every row in order, how often each occurs, and where rows begin."""
+    keys = np.sort(rows * size + codes)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(new)
-    return rows[at], codes[at], np.diff(np.append(at, len(rows)))
+    return keys[at] % size, np.diff(np.append(at, len(keys))), np.searchsorted(keys[at], np.arange(n + 1) * size)
 
 
 def _totals(narrow: bool):
