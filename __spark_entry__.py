@@ -35,6 +35,7 @@ R_SMOOTH = 8.0
 FOF_B = 0.2
 LOG_M = (11.5, 12.25)
 PARTICLE_MASS = 0.75187e10
+NFOF_MIN = 300
 SAMPLE, SEED = 0.3, 11
 K_NEAREST = 3
 _VALUES = ["x0", "x1", "x2", "v0", "v1", "v2"]
@@ -289,8 +290,36 @@ def file_parquet(spark, sf):
 
 def file_snapshot(spark, sf):
     path = _file(spark, "")
-    binary.write_snapshot(_particles(spark, sf), path.removeprefix("file://"), BOX, PARTICLE_MASS)
-    return bs.read_catalog(spark, path.removeprefix("file://"), "snapshot", columns=("id", "m")).df.select("id", "m", *_VALUES)
+    binary.write_snapshot(_particles(spark, sf), path, BOX, PARTICLE_MASS)
+    return bs.read_catalog(spark, path, "snapshot", columns=("id", "m")).df.select("id", "m", *_VALUES)
+
+
+def file_hdf5_parts(spark, sf):
+    """Numbered files below a URI; the scan reads the two columns asked for and the rows of a range of pid."""
+    path = _file(spark, ".h5")
+    points = _particles(spark, sf)
+    bs.write_catalog(bs.Catalog(points.repartitionByRange(3, "pid").sortWithinPartitions("pid"), BOX), path, "hdf5", rows_per_file=1 + points.count() // 4)
+    found = bs.read_catalog(spark, path, columns=("x0", "x1", "x2")).df
+    return found.filter("pid >= 100 AND pid < 700").select("x0", "x1", "x2")
+
+
+def file_snapshot_types(spark, sf):
+    """Five particle types in four files, with masses by header and by particle, and gas records."""
+    path = _file(spark, "")
+    points = _particles(spark, sf).selectExpr("*", "int(pid % 5) AS ptype", "pid % 7 + 1.0D AS m", "pid % 64 / 4.0D AS u", "pid % 32 / 8.0D AS rho")
+    binary.write_snapshot(points, path, BOX, {1: PARTICLE_MASS, 3: 4.0}, rows_per_file=1 + points.count() // 4)
+    columns = ("ptype", "id", "m", "u", "rho")
+    return bs.read_catalog(spark, path, "snapshot", ptypes=(0, 1, 2, 3, 4), columns=columns).df.select(*columns, *_VALUES)
+
+
+def file_subsample(spark, sf):
+    return _round_trip(spark, sf, ".b", "subsample")
+
+
+def file_fof_binary(spark, sf):
+    path = _file(spark, "")
+    binary.write_fof_binary(fixtures.halos(spark, sf), path, BOX, FOF_B, 1000)
+    return bs.read_catalog(spark, path, "fof_binary", BOX, nfof_min=NFOF_MIN).df.select("nfof", *_VALUES)
 
 
 def _text(spark, df: DataFrame, columns: list[str]) -> str:
@@ -326,7 +355,7 @@ _QUERIES = (
     pair_count_auto, xi_dd, xi_monopole, xi_monopole_clump, pair_uu, pair_dduu, pair_moments_copies, smooth_velocity, dft_mesh, mode_table,
     power_matter, power_matter_rsd, power_decomposed, power_decomposed_lambda,
     power_decomposed_raw_noise, power_2d, fof_groups, fof_halos, group_velocity, pair_count_clump,
-    file_hdf5, file_parquet, file_snapshot, file_mock_text, file_fof_text, file_subhalo_text,
+    file_hdf5, file_hdf5_parts, file_parquet, file_snapshot, file_snapshot_types, file_subsample, file_fof_binary, file_mock_text, file_fof_text, file_subhalo_text,
 )
 
 
@@ -653,8 +682,13 @@ def _engine_sql() -> dict[str, str]:
             WHERE a.pid < b.pid AND {_near2('a', 'b')} < {R_COUNT * R_COUNT}""",
         "pair_count_clump": f"""WITH {_P}, c AS (SELECT pid, {', '.join(f"CASE WHEN pid % 2 = 0 THEN 100.0::DOUBLE + x{i} / 8192 ELSE x{i} END AS x{i}" for i in range(3))} FROM p)
             SELECT count(*) AS n_pairs FROM c a, c b WHERE a.pid < b.pid AND {_near2('a', 'b')} < {R_CLUMP * R_CLUMP!r}::DOUBLE""",
-        **{name: f"WITH {_P} SELECT {', '.join(_VALUES)} FROM p" for name in ("file_hdf5", "file_parquet", "file_mock_text")},
+        **{name: f"WITH {_P} SELECT {', '.join(_VALUES)} FROM p" for name in ("file_hdf5", "file_parquet", "file_mock_text", "file_subsample")},
         "file_snapshot": f"WITH {_P} SELECT pid AS id, {PARTICLE_MASS!r}::DOUBLE AS m, {', '.join(_VALUES)} FROM p",
+        "file_hdf5_parts": f"WITH {_P} SELECT x0, x1, x2 FROM p WHERE pid >= 100 AND pid < 700",
+        "file_snapshot_types": f"""WITH {_P} SELECT (pid % 5)::INTEGER AS ptype, pid AS id, CASE pid % 5 WHEN 1 THEN {PARTICLE_MASS!r}::DOUBLE WHEN 3 THEN 4.0::DOUBLE
+            ELSE pid % 7 + 1.0::DOUBLE END AS m, CASE WHEN pid % 5 = 0 THEN pid % 64 / 4.0::DOUBLE END AS u,
+            CASE WHEN pid % 5 = 0 THEN pid % 32 / 8.0::DOUBLE END AS rho, {', '.join(_VALUES)} FROM p""",
+        "file_fof_binary": f"SELECT nfof, {', '.join(_VALUES)} FROM ({_HALOS}) h WHERE nfof >= {NFOF_MIN}",
         "file_fof_text": f"SELECT nfof, {', '.join(_VALUES)} FROM ({_HALOS}) h",
         "file_subhalo_text": f"SELECT nfof * 1000.0::DOUBLE AS m, {', '.join(_VALUES)} FROM ({_HALOS}) h",
         "xi_monopole": _monopole_sql("p"),

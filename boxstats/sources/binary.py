@@ -1,27 +1,20 @@
-"""Headers of the binary snapshot, subsample and group formats."""
+"""The binary snapshot, subsample and group formats; all may come in numbered parts."""
 
 from __future__ import annotations
 
-import glob
 import math
 import struct
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxstats.box import Box
 from boxstats.functions.periodic import V, X
 from boxstats.operators.transforms import wrap_positions
-from boxstats.sources.segments import (
-    Block,
-    Segment,
-    numbered,
-    open_file,
-    partition_starts,
-    read_segments,
-    write_blocks,
-)
+from boxstats.sources.parts import ROWS_PER_FILE, numbered, part_files, write_parts
+from boxstats.sources.segments import Block, Segment, open_file, read_segments
 
 PARTICLE_SCHEMA = "pid bigint, " + ", ".join(f"{c} double" for c in (*X, *V))
 
@@ -48,36 +41,69 @@ def _single(column: str) -> list[tuple[str, str]]:
     return [(column, "<f4")]
 
 
+def _records(path: str, head: str, fields: list[tuple[str, str]], check) -> tuple[list[Segment], tuple]:
+    """Segments of files of a header that ends in a row count, rows, and the count again; and the header."""
+    segments, first, header = [], 0, ()
+    for name in part_files(path):
+        with open_file(name) as file:
+            *header, n = _take(file, head)
+            check(name, header)
+            start = file.tell()
+            block = Block(start, fields)
+            file.seek(start + n * block.dtype.itemsize)
+            (again,) = _take(file, "<i")
+        if again != n:
+            raise FormatError(f"{name}: trailing count {again} differs from {n}")
+        segments.append(Segment(name, n, first, [block], {}, {}))
+        first += n
+    return segments, tuple(header)
+
+
+_PARTICLE_FIELDS = [(c, "<f4") for c in (*X, *V)]
+_GROUP_FIELDS = [("nfof", "<i4"), *_PARTICLE_FIELDS]
+
+
 def read_subsample_binary(spark: SparkSession, path: str) -> tuple[DataFrame, Box]:
     """Header of 6 floats (boxsize, -, omega_m, -, a, -), row count, rows of x and v, row count."""
-    with open_file(path) as file:
-        header = _take(file, "<6f")
-        (n,) = _take(file, "<i")
-        start = file.tell()
-        block = Block(start, [(c, "<f4") for c in (*X, *V)])
-        file.seek(start + n * block.dtype.itemsize)
-        (check,) = _take(file, "<i")
-    if check != n:
-        raise FormatError(f"{path}: trailing count {check} differs from {n}")
-    segment = Segment(path, n, 0, [block], {}, {})
-    return read_segments(spark, [segment], PARTICLE_SCHEMA), Box(header[0], header[2], header[4])
+    segments, header = _records(path, "<6fi", _PARTICLE_FIELDS, lambda *_: None)
+    return read_segments(spark, segments, PARTICLE_SCHEMA), Box(header[0], header[2], header[4])
 
 
 def read_fof_binary(spark: SparkSession, path: str, nfof_min: int = 0) -> tuple[DataFrame, float]:
-    """Group catalogue; returns the rows with nfof >= nfof_min and the boxsize."""
-    with open_file(path) as file:
-        magic, _, boxsize, n = _take(file, "<iffi")
-        if magic != GROUP_MAGIC:
-            raise FormatError(f"{path} is not a group catalogue")
-        start = file.tell()
-        block = Block(start, [("nfof", "<i4"), *[(c, "<f4") for c in (*X, *V)]])
-        file.seek(start + n * block.dtype.itemsize)
-        (check,) = _take(file, "<i")
-    if check != n:
-        raise FormatError(f"{path}: trailing count {check} differs from {n}")
+    """Group catalogue; returns the rows with nfof >= nfof_min, which the scan decides, and the boxsize."""
+
+    def check(name, header):
+        if header[0] != GROUP_MAGIC:
+            raise FormatError(f"{name} is not a group catalogue")
+
+    segments, header = _records(path, "<iffi", _GROUP_FIELDS, check)
     schema = PARTICLE_SCHEMA.replace("pid bigint", "pid bigint, nfof int")
-    df = read_segments(spark, [Segment(path, n, 0, [block], {}, {})], schema)
-    return df.filter(df["nfof"] >= nfof_min), boxsize
+    df = read_segments(spark, segments, schema)
+    return df.filter(df["nfof"] >= nfof_min), header[2]
+
+
+def _write_records(df: DataFrame, path: str, head: bytes, fields: list[tuple[str, str]], rows_per_file: int) -> int:
+    table = numbered(df.select(*[c for c, _ in fields]))
+
+    def encode(part):
+        records = np.empty(part.num_rows, np.dtype(fields))
+        for column, _ in fields:
+            records[column] = part.column(column).to_numpy()
+        count = struct.pack("<i", part.num_rows)
+        return [head + count, records.tobytes(), count]
+
+    write_parts(table, path, encode, rows_per_file)
+    return table.rows
+
+
+def write_subsample_binary(df: DataFrame, path: str, box: Box, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """x and v of every row, in the order of the partitions of ``df``."""
+    return _write_records(df, path, struct.pack("<6f", box.boxsize, 0, box.omega_m, 0, box.a, 0), _PARTICLE_FIELDS, rows_per_file)
+
+
+def write_fof_binary(df: DataFrame, path: str, box: Box, linking_length: float = 0.2, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """nfof, x and v of every row, in the order of the partitions of ``df``."""
+    return _write_records(df, path, struct.pack("<iff", GROUP_MAGIC, linking_length, box.boxsize), _GROUP_FIELDS, rows_per_file)
 
 
 @dataclass(frozen=True)
@@ -174,15 +200,6 @@ def _snapshot_blocks(path: str, file, header: SnapshotHeader) -> dict[int, list[
 SNAPSHOT_COLUMNS = ("ptype", "id", "m", "u", "rho", "hsml")
 
 
-def snapshot_files(path: str) -> list[str]:
-    """The file itself, or its numbered parts ``path.0``, ``path.1``, ..."""
-    if "://" in path:
-        return [path]
-    parts = glob.glob(glob.escape(path) + ".[0-9]*")
-    parts = sorted((p for p in parts if p[len(path) + 1 :].isdigit()), key=lambda p: int(p[len(path) + 1 :]))
-    return parts or [path]
-
-
 def read_snapshot(
     spark: SparkSession,
     path: str,
@@ -200,8 +217,7 @@ def read_snapshot(
     if unknown:
         raise ValueError(f"unknown snapshot columns {sorted(unknown)}")
     segments, first, header, seen = [], 0, None, 0
-    files = snapshot_files(path)
-    for name in files:
+    for name in part_files(path):
         with open_file(name) as file:
             header = read_snapshot_header(file)
             blocks = _snapshot_blocks(name, file, header)
@@ -230,59 +246,69 @@ def read_snapshot(
 
 
 def write_snapshot(
-    df: DataFrame, path: str, box: Box, mass: float = 0.0, hubble: float = 0.7, record_bytes: int = (1 << 31) - 1
+    df: DataFrame, path: str, box: Box, mass: float | dict[int, float] = 0.0, hubble: float = 0.7, rows_per_file: int = ROWS_PER_FILE
 ) -> int:
-    """A snapshot of halo-type particles: pid as id, velocities back in file units.
+    """A snapshot of x, v and pid as id, velocities back in file units, in parts of ``rows_per_file`` rows.
 
-    Positions, velocities and ids are written by the tasks in place; masses are one header value.
-    A record holds at most ``record_bytes``, since its marks have 32 bits; beyond that the particles
-    go to numbered files ``path.0``, ``path.1`` and so on.
+    A column ``ptype`` gives the particle types (all of halo type without it). ``mass`` is the mass of that
+    type, or of several by type; particles of other types need a column ``m``, which is stored for them.
+    Gas (type 0) has a record of internal energy ``u`` (0 where it is absent or NULL), and records of ``rho``, ``ne`` and
+    ``hsml`` if there are such columns. A record of 2 GB is the most that its marks can hold.
     """
-    if not mass > 0:
-        raise ValueError("a snapshot needs a positive particle mass")
-    root = math.sqrt(box.a)
-    df = numbered(df.select("pid", *X, *[(F.col(v) / F.lit(root)).alias(v) for v in V]))
-    first_rows, rows = partition_starts(df)
-    if rows == 0:
-        raise ValueError("the catalogue is empty")
-    total = _of_halo_type(rows)
-    masses = tuple(mass if t == HALO_TYPE else 0.0 for t in range(PARTICLE_TYPES))
-    wide = df.agg(F.max("pid")).first()[0] >= 1 << 32
-    records = [
-        [(c, "<f4") for c in X],
-        [(c, "<f4") for c in V],
-        [("pid", "<u8" if wide else "<u4")],
-    ]
-    most = record_bytes // max(Block(0, fields).dtype.itemsize for fields in records)
-    files = -(-rows // most)
-    written = 0
-    for k in range(files):
-        part = (k * most, min((k + 1) * most, rows))
-        size = part[1] - part[0]
-        header = SnapshotHeader(
-            _of_halo_type(size), masses, box.a, box.z, 0, files, box.boxsize, box.omega_m, 1.0 - box.omega_m, hubble, total
-        )
-        name = path if files == 1 else f"{path}.{k}"
-        blocks = _reserve(name, header, records, size)
-        written += write_blocks(df, name, blocks, first_rows, None if files == 1 else part)
-    return written
-
-
-def _of_halo_type(rows: int) -> tuple[int, ...]:
-    return tuple(rows if t == HALO_TYPE else 0 for t in range(PARTICLE_TYPES))
-
-
-def _reserve(path: str, header: SnapshotHeader, records: list, rows: int) -> list[Block]:
-    """Creates a file with its header and marks, and room for the arrays between them."""
-    blocks = []
-    with open_file(path, "xb") as file:
+    masses = mass if isinstance(mass, dict) else {HALO_TYPE: mass} if mass else {}
+    if any(not m > 0 for m in masses.values()):
+        raise ValueError("masses of particle types must be positive")
+    typed = "ptype" in df.columns
+    gas = ["u", *[c for c in ("rho", "ne", "hsml") if c in df.columns]]
+    if "hsml" in gas and "rho" not in gas:
+        raise ValueError("hsml without rho cannot be told from it")
+    if rows_per_file * 12 > (1 << 31) - 1:
+        raise ValueError("a record would pass 2 GB")
+    root = F.lit(math.sqrt(box.a))
+    kind = F.col("ptype").cast("int") if typed else F.lit(HALO_TYPE)
+    optional = [F.coalesce(c, F.lit(0.0)).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in gas]
+    own = F.col("m").cast("double").alias("m") if "m" in df.columns else F.lit(None).cast("double").alias("m")
+    table = numbered(df.select("pid", *X, *[(F.col(v) / root).alias(v) for v in V], kind.alias("ptype"), own, *optional))
+    given = F.col("ptype").isin(list(masses)) if masses else F.lit(False)
+    facts = table.df.groupBy("ptype").agg(F.count(F.lit(1)).alias("n"), F.max("pid").alias("top"), F.max((~given & F.col("m").isNull()).cast("int")).alias("bare"))
+    found = {r["ptype"]: r for r in facts.collect()}
+    if unknown := [t for t in found if t is None or not 0 <= t < PARTICLE_TYPES]:
+        raise ValueError(f"unknown particle types {unknown}")
+    if bare := sorted(t for t, r in found.items() if r["bare"]):
+        raise ValueError(f"a snapshot needs a positive particle mass, or a column m, for types {bare}")
+    every = range(PARTICLE_TYPES)
+    totals = tuple(found[t]["n"] if t in found else 0 for t in every)
+    files = max(1, -(-table.rows // rows_per_file))
+    base = SnapshotHeader(
+        totals, tuple(masses.get(t, 0.0) for t in every), box.a, box.z, int("ne" in gas), files, box.boxsize, box.omega_m,
+        1.0 - box.omega_m, hubble, totals,
+    )
+    wide = "<u8" if max((r["top"] for r in found.values()), default=0) >= 1 << 32 else "<u4"
+
+    def encode(part):
+        kinds = part.column("ptype").to_numpy()
+        order = np.argsort(kinds, kind="stable")
+        kinds = kinds[order]
+        header = replace(base, counts=tuple(np.bincount(kinds, minlength=PARTICLE_TYPES).tolist()))
+        rows = {c: part.column(c).to_numpy()[order] for c in ("pid", *X, *V, "m", *gas)}
+
+        def record(fields, chosen=slice(None)):
+            columns = [rows[c][chosen] for c, _ in fields]
+            records = np.empty(len(columns[0]), np.dtype(fields))
+            for (c, _), values in zip(fields, columns):
+                records[c] = values
+            mark = struct.pack("<i", records.nbytes)
+            return [mark, records.tobytes(), mark] if len(records) else []
+
         mark = struct.pack("<i", HEADER_BYTES)
-        file.write(mark + pack_header(header) + mark)
-        for fields in records:
-            block = Block(file.tell() + 4, fields)
-            size = block.dtype.itemsize * rows
-            file.write(struct.pack("<i", size))
-            file.seek(size, 1)
-            file.write(struct.pack("<i", size))
-            blocks.append(block)
-    return blocks
+        pieces = [mark + pack_header(header) + mark]
+        for columns in (X, V):
+            pieces += record([(c, "<f4") for c in columns])
+        pieces += record([("pid", wide)])
+        pieces += record(_single("m"), ~np.isin(kinds, list(masses)))
+        for column in gas:
+            pieces += record(_single(column), kinds == 0)
+        return pieces
+
+    write_parts(table, path, encode, rows_per_file)
+    return table.rows

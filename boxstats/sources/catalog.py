@@ -72,12 +72,16 @@ def read_catalog(
     return Catalog(readers[fmt](spark, path, **options), box)
 
 
-def write_catalog(catalog: Catalog, path: str, fmt: str = "parquet") -> None:
-    """Write particles with their parameters; ``extra`` holds values such as r_smooth."""
+def write_catalog(catalog: Catalog, path: str, fmt: str = "parquet", **options) -> None:
+    """Write particles with their parameters (``extra`` holds values such as r_smooth) as parquet, hdf5 or,
+    without ``extra``, subsample. ``options`` go to the writer of the format."""
     parameters = {"boxsize": catalog.box.boxsize, "omega_m": catalog.box.omega_m, "a": catalog.box.a}
     parameters |= catalog.extra
     if fmt == "hdf5":
-        hdf5.write_particles(catalog.df, path, parameters)
+        hdf5.write_particles(catalog.df, path, parameters, **options)
+        return
+    if fmt == "subsample":
+        binary.write_subsample_binary(catalog.df, path, catalog.box, **options)
         return
     if fmt != "parquet":
         raise ValueError(f"cannot write format {fmt}")

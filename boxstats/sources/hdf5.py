@@ -1,6 +1,6 @@
 """HDF5 particle files: contiguous datasets in old-style groups, as the HDF5 library's
 default (earliest) file format lays them out. The driver handles only the metadata; the
-arrays are read and written in row ranges by the tasks.
+arrays are read in row ranges by the tasks, and written by them as files of bounded size.
 """
 
 from __future__ import annotations
@@ -8,18 +8,12 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from boxstats.functions.periodic import V, X
-from boxstats.sources.segments import (
-    Block,
-    Segment,
-    numbered,
-    open_file,
-    partition_starts,
-    read_segments,
-    write_blocks,
-)
+from boxstats.sources.parts import ROWS_PER_FILE, numbered, part_files, write_parts
+from boxstats.sources.segments import Block, Segment, open_file, read_segments
 
 # Fixed values of the file format.
 SIGNATURE = b"\x89HDF\r\n\x1a\n"
@@ -143,28 +137,31 @@ def _scalar(file, dataset: Dataset) -> float:
 
 
 def read_particles(
-    spark: SparkSession, path: str, rows_per_task: int | None = None
+    spark: SparkSession, path: str, rows_per_task: int | None = None, columns: tuple[str, ...] | None = None
 ) -> tuple[DataFrame, dict[str, float]]:
-    """pid (row number), x0..x2, v0..v2, nfof if present; and the scalars of /parameters."""
-    with open_file(path) as file:
-        datasets = list_datasets(file)
-        parameters = {
-            name.split("/")[-1]: _scalar(file, d)
-            for name, d in datasets.items()
-            if name.startswith("/parameters/") and not d.shape
-        }
-    x, v = datasets["/x"], datasets["/v"]
-    rows = x.shape[0]
-    if rows == 0:
+    """pid (row number), x0..x2, v0..v2, nfof if present; and the scalars of /parameters. ``path`` may stand for
+    numbered parts. ``columns`` leaves out all but these; arrays of others are never read."""
+    segments, parameters, first, grouped = [], {}, 0, False
+    for name in part_files(path):
+        with open_file(name) as file:
+            datasets = list_datasets(file)
+            parameters = {
+                key.split("/")[-1]: _scalar(file, d) for key, d in datasets.items() if key.startswith("/parameters/") and not d.shape
+            }
+        x, v = datasets["/x"], datasets["/v"]
+        blocks = [Block(x.offset, [(c, x.fmt) for c in X]), Block(v.offset, [(c, v.fmt) for c in V])]
+        if "/nfof" in datasets:
+            nfof, grouped = datasets["/nfof"], True
+            blocks.append(Block(nfof.offset, [("nfof", nfof.fmt)]))
+        segments.append(Segment(name, x.shape[0], first, blocks, {}, {}))
+        first += x.shape[0]
+    if first == 0:
         raise ValueError(f"{path} holds no particles")
-    blocks = [Block(x.offset, [(c, x.fmt) for c in X]), Block(v.offset, [(c, v.fmt) for c in V])]
-    schema = "pid bigint, " + ", ".join(f"{c} double" for c in (*X, *V))
-    if "/nfof" in datasets:
-        nfof = datasets["/nfof"]
-        blocks.append(Block(nfof.offset, [("nfof", nfof.fmt)]))
-        schema += ", nfof int"
+    kinds = {"pid": "bigint"} | {c: "double" for c in (*X, *V)} | ({"nfof": "int"} if grouped else {})
+    chosen = [c for c in kinds if columns is None or c == "pid" or c in columns]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in chosen)
     options = {} if rows_per_task is None else {"rows_per_task": rows_per_task}
-    return read_segments(spark, [Segment(path, rows, 0, blocks, {}, {})], schema, **options), parameters
+    return read_segments(spark, segments, schema, **options), parameters
 
 
 class _Image:
@@ -231,8 +228,8 @@ _TYPES = {
 }
 
 
-def _create(path: str, parameters: dict[str, float], arrays: dict[str, tuple[str, tuple[int, ...]]]):
-    """Write the metadata; returns the file offset of every array."""
+def _metadata(parameters: dict[str, float], arrays: dict[str, tuple[str, tuple[int, ...]]]) -> tuple[bytes, dict[str, int]]:
+    """The bytes of a file before its arrays, and the size of every array with its padding."""
     image = _Image()
     image.reserve(96)
     sizes = {}
@@ -254,9 +251,7 @@ def _create(path: str, parameters: dict[str, float], arrays: dict[str, tuple[str
         members["parameters"] = image.group(group)[0]
     root, tree, heap = image.group(members)
     end = len(image.data) + (-len(image.data) % 8)
-    offsets = {}
     for name, (fmt, shape) in arrays.items():
-        offsets[name] = end
         # The layout message is the last of the header: version, class, address, size.
         body = 16 + (8 + 8 + 8 * len(shape)) + (8 + len(_TYPES[fmt]) + (-len(_TYPES[fmt]) % 8)) + 8
         image.put(headers[name] + body + 2, "<Q", end)
@@ -265,10 +260,8 @@ def _create(path: str, parameters: dict[str, float], arrays: dict[str, tuple[str
     image.put(8, "<BBBxBBBxHHI", 0, 0, 0, 0, 8, 8, LEAF_RANK, NODE_RANK, 0)
     image.put(24, "<QQQQ", 0, UNDEFINED, end, UNDEFINED)
     image.put(56, "<QQIIQQ", 0, root, 1, 0, tree, heap)
-    with open_file(path, "xb") as file:
-        file.write(image.data)
-        file.truncate(end)
-    return offsets
+    data = bytes(image.data) + b"\0" * (-len(image.data) % 8)
+    return data, {name: size + (-size % 8) for name, size in sizes.items()}
 
 
 def write_arrays(
@@ -277,27 +270,36 @@ def write_arrays(
     parameters: dict[str, float],
     arrays: dict[str, list[tuple[str, str]]],
     shape: tuple[int, ...] | None = None,
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> int:
     """``arrays`` maps a dataset to its (column, format) fields: one row of df per record.
     ``shape`` folds the rows of single-column datasets into more dimensions.
 
-    Rows keep the order of the partitions of ``df``. The tasks write their ranges directly.
+    Rows keep the order of the partitions of ``df``. More than ``rows_per_file`` rows become numbered files, each
+    with all parameters.
     """
-    df = numbered(df.select(*[c for fields in arrays.values() for c, _ in fields]))
-    first_rows, rows = partition_starts(df)
-    if rows == 0:
-        raise ValueError("the catalogue is empty")
-    shapes = {name: (f[0][1], (rows, len(f)) if len(f) > 1 else shape or (rows,)) for name, f in arrays.items()}
-    offsets = _create(path, parameters, shapes)
-    written = write_blocks(df, path, [Block(offsets[n], f) for n, f in arrays.items()], first_rows)
-    if written != rows:
-        raise RuntimeError(f"{written} of {rows} rows written")
-    return rows
-
-
-def write_particles(df: DataFrame, path: str, parameters: dict[str, float]) -> int:
+    table = numbered(df.select(*[c for fields in arrays.values() for c, _ in fields]))
+
+    def encode(part):
+        n = part.num_rows
+        shapes = {name: (f[0][1], (n, len(f)) if len(f) > 1 else shape or (n,)) for name, f in arrays.items()}
+        head, sizes = _metadata(parameters, shapes)
+        pieces = [head]
+        for name, fields in arrays.items():
+            records = np.empty(n, np.dtype(fields))
+            for column, _ in fields:
+                records[column] = part.column(column).to_numpy()
+            raw = records.tobytes()
+            pieces += [raw, bytes(sizes[name] - len(raw))]
+        return pieces
+
+    write_parts(table, path, encode, rows_per_file)
+    return table.rows
+
+
+def write_particles(df: DataFrame, path: str, parameters: dict[str, float], rows_per_file: int = ROWS_PER_FILE) -> int:
     """/parameters scalars, /x and /v (float32), and /nfof where the catalogue has it."""
     arrays = {"x": [(c, "<f4") for c in X], "v": [(c, "<f4") for c in V]}
     if "nfof" in df.columns:
         arrays["nfof"] = [("nfof", "<u4")]
-    return write_arrays(df, path, parameters, arrays)
+    return write_arrays(df, path, parameters, arrays, rows_per_file=rows_per_file)

@@ -1,7 +1,11 @@
-"""Reading and writing of fixed-width binary particle files in row ranges.
+"""Reading of fixed-width binary particle files in row ranges.
 
 Every supported binary format is, past its header, a few arrays of fixed-width records. The
 driver reads only headers; tasks seek to their own row ranges of the arrays they need.
+
+Spark pushes comparisons of whole-number columns into the scan. Those on pid and on constants of a
+file (the particle type) leave out row ranges and files unread; those on stored columns are decided
+on their own array, and other arrays are read between the first and the last row that is left.
 """
 
 from __future__ import annotations
@@ -12,10 +16,18 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-from boxstats.storage import materialize
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+)
 
 ROWS_PER_TASK = 1 << 20
 ROWS_PER_BATCH = 1 << 16
@@ -54,17 +66,11 @@ class Segment:
         return Segment(blocks=blocks, **raw)
 
 
-def open_file(path: str, mode: str = "rb"):
+def open_file(path: str):
     """Local paths and every file system URI that Arrow knows."""
-    if path.startswith("file:"):
-        path = path[len("file:") :].replace("//", "/", 1) if path.startswith("file://") else path[len("file:") :]
-    if "://" not in path:
-        return open(path, mode)
-    if mode != "rb":
-        raise ValueError(f"cannot write to {path}")
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
+    from boxstats.sources.parts import filesystem
+
+    system, inner = filesystem(path)
     return system.open_input_file(inner)
 
 
@@ -73,35 +79,101 @@ class RowRange(InputPartition):
         self.segment, self.start, self.stop = segment, start, stop
 
 
+_COMPARE = {
+    EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal,
+}
+
+
 class SegmentReader(DataSourceReader):
     def __init__(self, schema, options):
         self.names = [f.name for f in schema.fields]
         self.types = [f.dataType.typeName() for f in schema.fields]
         self.segments = json.loads(options["segments"])
         self.step = int(options.get("rowsPerTask", ROWS_PER_TASK))
+        self.filters: list[tuple[str, type, object]] = []
+
+    def pushFilters(self, filters):
+        """Takes comparisons of whole-number columns with a value; Spark keeps the others."""
+        whole = {n for n, t in zip(self.names, self.types) if t in ("long", "integer")}
+        for f in filters:
+            path = getattr(f, "attribute", ())
+            column = path[0] if len(path) == 1 else None
+            if column in whole and type(f) in (*_COMPARE, In) and f.value is not None:
+                self.filters.append((column, type(f), list(f.value) if type(f) is In else f.value))
+            elif not (column in whole and type(f) is IsNotNull and column in ("pid", "ptype")):
+                yield f
+
+    def _keep(self, column: str, values: np.ndarray) -> np.ndarray:
+        """Which values pass all filters of a column."""
+        out = np.ones(len(values), bool)
+        for name, kind, value in self.filters:
+            if name == column:
+                out &= np.isin(values, value) if kind is In else _COMPARE[kind](values, value)
+        return out
 
     def partitions(self):
         ranges = []
         for text in self.segments:
-            rows = Segment.load(text).rows
-            ranges += [RowRange(text, i, min(i + self.step, rows)) for i in range(0, rows, self.step)]
+            segment = Segment.load(text)
+            stored = {name for block in segment.blocks for name, _ in block.fields}
+            for name in {name for name, *_ in self.filters} - stored - {"pid"}:
+                # A constant of the segment; a column that it lacks is null and passes no comparison.
+                value = segment.constants.get(name)
+                if value is None or not self._keep(name, np.array([value]))[0]:
+                    break
+            else:
+                low, high = self._pid_range(segment)
+                ranges += [RowRange(text, i, min(i + self.step, high)) for i in range(low, high, self.step)]
         return ranges
 
+    def _pid_range(self, segment: Segment) -> tuple[int, int]:
+        """First and end row of a segment that filters on pid leave."""
+        low, high = segment.first_id, segment.first_id + segment.rows
+        for name, kind, value in self.filters:
+            if name == "pid":
+                values = value if kind is In else [value]
+                if kind in (EqualTo, In, GreaterThan, GreaterThanOrEqual):
+                    low = max(low, min(values) + (kind is GreaterThan))
+                if kind in (EqualTo, In, LessThan, LessThanOrEqual):
+                    high = min(high, max(values) + (kind is not LessThan))
+        return low - segment.first_id, max(high, low) - segment.first_id
+
     def read(self, partition):
         if partition is None:  # no rows in any segment
             return
-        segment, count = Segment.load(partition.segment), partition.stop - partition.start
-        columns = {"pid": segment.first_id + np.arange(partition.start, partition.stop)}
+        segment, start, stop = Segment.load(partition.segment), partition.start, partition.stop
+        asked = {name for name, *_ in self.filters}
+        pid = segment.first_id + np.arange(start, stop)
+        kept = self._keep("pid", pid)
+        columns = {}
         with open_file(segment.path) as file:
-            for block in segment.blocks:
-                if not set(block.dtype.names) & set(self.names):
-                    continue
+
+            def load(block, low, high):
                 size = block.dtype.itemsize
-                file.seek(block.offset + partition.start * size)
-                records = np.frombuffer(file.read(count * size), block.dtype)
-                if len(records) != count:
+                file.seek(block.offset + low * size)
+                records = np.frombuffer(file.read((high - low) * size), block.dtype)
+                if len(records) != high - low:
                     raise ValueError(f"{segment.path} is truncated")
-                columns |= {name: records[name] for name in block.dtype.names}
+                return records
+
+            # Arrays that a filter looks at come first.
+            first = [b for b in segment.blocks if asked & set(b.dtype.names)]
+            for block in first:
+                records = load(block, start, stop)
+                for name in block.dtype.names:
+                    columns[name] = records[name]
+                    kept &= self._keep(name, records[name])
+            rows = np.flatnonzero(kept)
+            if not len(rows):
+                return
+            low, high = int(rows[0]), int(rows[-1]) + 1
+            columns = {name: values[rows] for name, values in columns.items()}
+            columns["pid"] = pid[rows]
+            for block in segment.blocks:
+                if block not in first and set(block.dtype.names) & set(self.names):
+                    records = load(block, start + low, start + high)[rows - low]
+                    columns |= {name: records[name] for name in block.dtype.names}
+        count = len(rows)
         columns |= {name: np.full(count, value) for name, value in segment.constants.items()}
         arrays = []
         for name, kind in zip(self.names, self.types):
@@ -113,8 +185,8 @@ class SegmentReader(DataSourceReader):
                 values = values * segment.factors[name]
             arrays.append(pa.array(values))
         whole = pa.RecordBatch.from_arrays(arrays, names=self.names)
-        for start in range(0, count, ROWS_PER_BATCH):
-            yield whole.slice(start, ROWS_PER_BATCH)
+        for at in range(0, count, ROWS_PER_BATCH):
+            yield whole.slice(at, ROWS_PER_BATCH)
 
 
 _NUMPY = {"double": np.float64, "long": np.int64, "integer": np.int32}
@@ -136,6 +208,7 @@ def read_segments(
     spark: SparkSession, segments: list[Segment], schema: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     spark.dataSource.register(SegmentSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return (
         spark.read.format("particle_segments")
         .schema(schema)
@@ -143,69 +216,3 @@ def read_segments(
         .option("rowsPerTask", str(rows_per_task))
         .load()
     )
-
-
-_PART, _PLACE = "_part", "_place"
-
-
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` written once, every row with its partition and its place there. However later scans
-    split the table, a row keeps its number."""
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return materialize(df.withColumns({_PART: F.spark_partition_id(), _PLACE: place}))
-
-
-def partition_starts(df: DataFrame) -> tuple[dict[int, int], int]:
-    """First row of every partition of a ``numbered`` table in partition order, and the row count."""
-    counts = df.groupBy(F.col(_PART).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    starts, rows = {}, 0
-    for row in counts:
-        starts[row["p"]] = rows
-        rows += row["n"]
-    return starts, rows
-
-
-def write_blocks(
-    df: DataFrame, path: str, blocks: list[Block], first_rows: dict[int, int], rows: tuple[int, int] | None = None
-) -> int:
-    """Fill the arrays of an existing file from a ``numbered`` table; tasks write disjoint ranges.
-
-    ``rows`` (first, end) takes that range of the table alone, and only partitions that hold it.
-
-    ``first_rows`` gives the first row of every partition. A repeated task writes the same
-    bytes to the same place. The path must be on storage that all executors mount.
-    """
-    if "://" in path and not path.startswith("file:"):
-        raise ValueError(f"{path}: files are filled in place, which needs a mounted path")
-
-    if rows is not None:
-        # A partition ends where the next one begins.
-        begins = sorted((row, part) for part, row in first_rows.items())
-        ends = [row for row, _ in begins[1:]] + [rows[1]]
-        held = [part for (row, part), end in zip(begins, ends) if row < rows[1] and end > rows[0]]
-        df = df.filter(F.col(_PART).between(min(held), max(held)))
-
-    def write(batches):
-        written = 0
-        with open_file(path, "r+b") as file:
-            for batch in batches:
-                parts = batch.column(_PART).to_numpy()
-                known, which = np.unique(parts, return_inverse=True)
-                number = np.array([first_rows[p] for p in known.tolist()], np.int64)[which] + batch.column(_PLACE).to_numpy()
-                if rows is not None:
-                    inside = (number >= rows[0]) & (number < rows[1])
-                    batch, number = batch.filter(pa.array(inside)), number[inside] - rows[0]
-                # Runs of adjoining rows are written at once.
-                cuts = [0, *(np.flatnonzero(np.diff(number) != 1) + 1).tolist(), len(number)]
-                for block in blocks:
-                    records = np.empty(batch.num_rows, block.dtype)
-                    for name in block.dtype.names:
-                        records[name] = batch.column(name).to_numpy(zero_copy_only=False)
-                    for a, b in zip(cuts[:-1], cuts[1:]):
-                        if b > a:
-                            file.seek(block.offset + int(number[a]) * block.dtype.itemsize)
-                            file.write(records[a:b].tobytes())
-                written += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["n"])
-
-    return df.mapInArrow(write, "n bigint").agg({"n": "sum"}).first()[0] or 0

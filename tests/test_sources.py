@@ -1,3 +1,4 @@
+import json
 import struct
 
 import numpy as np
@@ -206,14 +207,15 @@ def test_row_numbers_outlive_a_change_of_parallelism(spark, cloud_df, box, tmp_p
     before = spark.conf.get(name)
     mock = text.read_mock_text(spark, str(tmp_path / "mock"))
     first = {(r.pid, r.x0, r.v2) for r in mock.collect()}
-    from boxstats.sources.segments import numbered, partition_starts
+    from boxstats.sources.parts import numbered
 
     table = numbered(spark.read.parquet(str(tmp_path / "table")))
-    starts = partition_starts(table)
+    numbers = {(r.pid, r._number) for r in table.df.collect()}
+    assert {n for _, n in numbers} == set(range(600))
     try:
         spark.conf.set(name, "2k")
         assert {(r.pid, r.x0, r.v2) for r in mock.collect()} == first
-        assert partition_starts(table) == starts
+        assert {(r.pid, r._number) for r in table.df.collect()} == numbers
         assert hdf5.write_particles(spark.read.parquet(str(tmp_path / "table")), str(tmp_path / "split.h5"), {"boxsize": 256.0}) == 600
     finally:
         spark.conf.set(name, before)
@@ -221,13 +223,6 @@ def test_row_numbers_outlive_a_change_of_parallelism(spark, cloud_df, box, tmp_p
     assert back.drop("pid").exceptAll(cloud_df.drop("pid")).count() == 0
 
 
-def test_writing_to_a_uri_is_refused(tmp_path):
-    from boxstats.sources.segments import open_file
-
-    with pytest.raises(ValueError):
-        open_file("hdfs://somewhere/file", "r+b")
-
-
 def test_physical_positions_scale_the_box(spark, cloud_df, tmp_path):
     half = bs.Box(256.0, 0.3, 0.5)
     binary.write_snapshot(cloud_df, str(tmp_path / "snap"), half, 1.0)
@@ -251,10 +246,114 @@ def test_physical_coordinates(spark):
 
 def test_snapshot_in_numbered_files(spark, cloud_df, box, tmp_path):
     path = str(tmp_path / "snap")
-    assert binary.write_snapshot(cloud_df.repartition(7), path, box, 1.0, record_bytes=250 * 12) == 600
+    assert binary.write_snapshot(cloud_df.repartition(7), path, box, 1.0, rows_per_file=250) == 600
     assert sorted(p.name for p in tmp_path.iterdir()) == ["snap.0", "snap.1", "snap.2"]
     df, found = binary.read_snapshot(spark, path, columns=("id",))
     assert found.boxsize == 256.0
     back = df.selectExpr("id AS pid", "x0", "x1", "x2", "v0", "v1", "v2")
     want = cloud_df.select("pid", "x0", "x1", "x2", "v0", "v1", "v2")
     assert back.count() == 600 and back.exceptAll(want).count() == 0
+
+
+def test_five_types_with_gas_in_parts(spark, cloud_df, box, tmp_path):
+    path = f"file://{tmp_path}/snap"
+    typed = cloud_df.selectExpr("*", "cast(pid % 5 AS int) AS ptype", "double(pid % 7 + 1) AS m", "pid / 4 AS u", "pid / 8 AS rho", "pid / 16 AS hsml")
+    assert binary.write_snapshot(typed, path, box, {1: 2.0, 3: 4.0}, rows_per_file=130) == 600
+    assert len(list(tmp_path.iterdir())) == 5
+    df, found = binary.read_snapshot(spark, path, (0, 1, 2, 3, 4), ("ptype", "id", "m", "u", "rho", "hsml"))
+    assert found == box
+    got = {r.id: (r.ptype, r.m, r.u, r.rho, r.hsml, r.x0, r.v2) for r in df.collect()}
+    for r in typed.collect():
+        gas = (r.u, r.rho, r.hsml) if r.ptype == 0 else (None,) * 3
+        assert got[r.pid] == (r.ptype, {1: 2.0, 3: 4.0}.get(r.ptype, r.m), *gas, r.x0, r.v2)
+    with pytest.raises(ValueError):
+        binary.write_snapshot(typed.drop("m"), f"{tmp_path}/other", box, {1: 2.0})
+    with pytest.raises(FileExistsError):
+        binary.write_snapshot(typed, path, box)
+
+
+def test_groups_and_subsamples_round_trip(spark, cloud_df, box, tmp_path):
+    groups = cloud_df.selectExpr("*", "int(pid % 100) AS nfof")
+    binary.write_fof_binary(groups, f"{tmp_path}/groups", box, rows_per_file=170)
+    df, size = binary.read_fof_binary(spark, f"{tmp_path}/groups", 60)
+    back = ["nfof", "x0", "x1", "x2", "v0", "v1", "v2"]
+    want = groups.filter("nfof >= 60").select(*back)
+    assert size == 256.0 and df.count() == want.count() and df.select(*back).exceptAll(want).count() == 0
+    bs.write_catalog(Catalog(cloud_df, box), f"{tmp_path}/sub.b", "subsample", rows_per_file=400)
+    assert {p.name for p in tmp_path.iterdir() if p.name.endswith(".b")} == {"sub.0.b", "sub.1.b"}
+    again = bs.read_catalog(spark, f"{tmp_path}/sub.b")
+    assert again.df.drop("pid").exceptAll(cloud_df.select(*back[1:])).count() == 0 and again.df.count() == 600
+
+
+def test_a_failed_task_leaves_nothing(spark, cloud_df, box, tmp_path):
+    from boxstats.sources.parts import numbered, part_files, write_parts
+
+    def encode(part):
+        if part.num_rows < 100:
+            raise RuntimeError("no last part")
+        return [b"x"]
+
+    with pytest.raises(Exception, match="no last part"):
+        write_parts(numbered(cloud_df), f"file://{tmp_path}/out", encode, 130)
+    assert list(tmp_path.iterdir()) == []
+    assert write_parts(numbered(cloud_df), f"file://{tmp_path}/out", lambda part: [b"%d" % part.num_rows], 130) == 5
+    assert [(tmp_path / f"out.{k}").read_text() for k in range(5)] == ["130"] * 4 + ["80"]
+    assert len(list(tmp_path.iterdir())) == len(part_files(f"{tmp_path}/out")) == 5
+
+
+def test_filters_reach_the_scan(spark, cloud_df, box, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+    from pyspark.sql.types import StructType
+
+    from boxstats.sources import segments
+
+    halos = cloud_df.selectExpr("*", "int(pid) AS nfof").coalesce(1).sortWithinPartitions("pid")
+    path = f"{tmp_path}/halos.h5"
+    hdf5.write_particles(halos, path, {"boxsize": 256.0})
+    read = []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            read.append(n)
+            return self.file.read(n)
+
+    opened = segments.open_file
+    monkeypatch.setattr(segments, "open_file", lambda path: Counted(opened(path)))
+    with opened(path) as file:
+        found = hdf5.list_datasets(file)
+    blocks = [segments.Block(found["/x"].offset, [(c, "<f4") for c in ("x0", "x1", "x2")]), segments.Block(found["/nfof"].offset, [("nfof", "<u4")])]
+    options = {"segments": json.dumps([segments.Segment(path, 600, 600 * t - 600, blocks, {"ptype": float(t)}, {}).dump() for t in (1, 2)]), "rowsPerTask": "50"}
+    schema = StructType.fromDDL("pid bigint, ptype int, nfof int, x0 double, x1 double, x2 double")
+
+    def scan(*filters):
+        reader = segments.SegmentReader(schema, options)
+        assert list(reader.pushFilters(list(filters))) == []
+        read.clear()
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.column(0).to_pylist()]
+        return rows, sum(read)
+
+    everything, most = scan()
+    assert everything == list(range(1200)) and most == 1200 * 16
+    assert scan(EqualTo(("ptype",), 2)) == (list(range(600, 1200)), 600 * 16)
+    assert scan(GreaterThanOrEqual(("pid",), 90), LessThan(("pid",), 130)) == (list(range(90, 130)), 40 * 16)
+    assert scan(In(("pid",), (5, 7)))[0] == [5, 7]
+    # nfof alone is read where nothing is left.
+    rows, size = scan(GreaterThanOrEqual(("nfof",), 580), EqualTo(("ptype",), 1))
+    assert rows == list(range(580, 600)) and size == 600 * 4 + 20 * 12
+    df, _ = hdf5.read_particles(spark, path, columns=("nfof", "x0"))
+    assert df.columns == ["pid", "x0", "nfof"] and df.filter("nfof >= 580 AND pid < 590").count() == 10
+    plan = df.filter("nfof >= 580")._jdf.queryExecution().executedPlan().toString()
+    # The scan has taken the comparison; Spark keeps what the scan leaves to it.
+    assert "580" not in plan and "isnotnull(nfof" in plan
