@@ -225,8 +225,8 @@ def join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, re
     ids = placed.select(F.col("rep").alias("doc_id")).distinct()
     if placed.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    # Texts of one doc_id are one document here; the set of the first of them stands for it.
-    sets = _sets(docs.join(ids, "doc_id"), width).groupBy("rep").agg(F.first("set").alias("set"))
+    # Texts of one doc_id are one document here; the least of their sets stands for it.
+    sets = _sets(docs.join(ids, "doc_id"), width).groupBy("rep").agg(F.min("set").alias("set"))
     sides = tasks.select("comp", F.col("i").alias("block"), "task", F.lit(0).alias("side")).unionByName(
         tasks.filter("i != j").select("comp", F.col("j").alias("block"), "task", F.lit(1).alias("side"))
     )

@@ -186,12 +186,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = _slots(plan(histogram, capacity))
     spark = pieces.sparkSession
     parts = spark.createDataFrame([(int(k), 1 + n // ROWS_PER_BUCKET) for k, n in histogram.items()], "length long, _parts long")
+    # A written row number spreads rows that share or lack a doc_id.
+    key = ["_row"] if "_row" in pieces.columns else ["doc_id", "piece"]
     # At most ``capacity`` rows.
-    rows = pieces.join(F.broadcast(parts), "length").withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), "_parts"))
+    rows = pieces.join(F.broadcast(parts), "length").withColumn("_b", F.pmod(F.xxhash64(*key), "_parts"))
     sums = rows.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_b").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "_b").orderBy("doc_id", "piece", *key)
     ranked = rows.withColumn("_in", F.row_number().over(inside) - 1).join(sums, ["length", "_b"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_in")).drop("_b", "_parts", "_before", "_in")
 
@@ -214,6 +216,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END_ID) -> DataFrame:
     """doc_id, text -> the pieces of all documents and their places in sequences."""
-    pieces = materialize(token_pieces(docs, path or tokenizer_path(WORD_TOKENIZER), capacity, end))
+    pieces = token_pieces(docs, path or tokenizer_path(WORD_TOKENIZER), capacity, end)
+    pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()))
     packed = pack(pieces, capacity)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -71,7 +71,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _runs_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, text_crc, text -> one row per run: place, windows and anchor (from the run's start),
+    """doc_id, text_key, text -> one row per run: place, windows and anchor (from the run's start),
     hash of the anchor and hash of the run."""
 
     def work(batches):
@@ -83,15 +83,15 @@ def _runs_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 key = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(key), batch.column("text_crc").take(key), pa.array(low - offsets[row]),
+                        batch.column("doc_id").take(key), batch.column("text_key").take(key), pa.array(low - offsets[row]),
                         pa.array((high - low + 1).astype(np.int32)), pa.array((anchor - low).astype(np.int32)),
                         _signed(rolling.spans(anchor, anchor + gram)),
                         _signed(mix64(rolling.spans(low, high + length) + (anchor - low).astype(np.uint64))),
                     ],
-                    ["doc_id", "text_crc", "low", "windows", "anchor", "hk", "hu"],
+                    ["doc_id", "text_key", "low", "windows", "anchor", "hk", "hu"],
                 )
 
-    return docs.mapInArrow(work, "doc_id long, text_crc long, low long, windows int, anchor int, hk long, hu long")
+    return docs.mapInArrow(work, "doc_id long, text_key binary, low long, windows int, anchor int, hk long, hu long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -113,13 +113,13 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _suffixes(edges: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
     """The bytes of the edge runs, once per task for rows that repeat a doc_id and its text."""
-    spans = edges.groupBy("doc_id", "text_crc").agg(
+    spans = edges.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("hk", "low", "windows", "anchor", "open", "hot")).alias("spans")
     )
     # Bounded by the length of a document, as one run of each kind is kept.
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("text_crc").alias("_t"), "spans")
+    spans = spans.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "spans")
     texts = _packed(docs)
-    met = texts.join(spans, texts["doc_id"].eqNullSafe(F.col("_d")) & (texts["text_crc"] == F.col("_t")))
+    met = texts.join(spans, texts["doc_id"].eqNullSafe(F.col("_d")) & (texts["text_key"] == F.col("_t")))
 
     def work(batches):
         import zstandard
@@ -127,9 +127,9 @@ def _suffixes(edges: DataFrame, docs: DataFrame, length: int, gram: int) -> Data
         press = zstandard.ZstdDecompressor()
         seen = set()
         for batch in batches:
-            out = {x: [] for x in ("doc_id", "text_crc", "hk", "low", "anchor", "open", "hot", "lead", "bytes")}
-            for doc, crc, body, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_crc", "body", "spans"))):
-                key = (doc, crc, hash(body))
+            out = {x: [] for x in ("doc_id", "text_key", "hk", "low", "anchor", "open", "hot", "lead", "bytes")}
+            for doc, crc, body, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "body", "spans"))):
+                key = (doc, crc)
                 if key in seen:
                     continue
                 seen.add(key)
@@ -140,11 +140,11 @@ def _suffixes(edges: DataFrame, docs: DataFrame, length: int, gram: int) -> Data
                     for k, v in zip(out, (doc, crc, s["hk"], s["low"], s["anchor"], s["open"], s["hot"], lead, part)):
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
-                [(x, pa.int64()) for x in ("doc_id", "text_crc", "hk", "low")] + [("anchor", pa.int32()), ("open", pa.bool_()), ("hot", pa.bool_()), ("lead", pa.binary()), ("bytes", pa.binary())]
+                [("doc_id", pa.int64()), ("text_key", pa.binary()), ("hk", pa.int64()), ("low", pa.int64())] + [("anchor", pa.int32()), ("open", pa.bool_()), ("hot", pa.bool_()), ("lead", pa.binary()), ("bytes", pa.binary())]
             ))
 
-    return met.select("doc_id", "text_crc", "body", "spans").mapInArrow(
-        work, "doc_id long, text_crc long, hk long, low long, anchor int, open boolean, hot boolean, lead binary, bytes binary"
+    return met.select("doc_id", "text_key", "body", "spans").mapInArrow(
+        work, "doc_id long, text_key binary, hk long, low long, anchor int, open boolean, hot boolean, lead binary, bytes binary"
     )
 
 
@@ -190,11 +190,11 @@ def _windows(batch: pa.Table, length: int):
     return data, offsets[row] + number, row, number
 
 
-_SPAN = "doc_id long, text_crc long, low long, windows int"
+_SPAN = "doc_id long, text_key binary, low long, windows int"
 
 
 def _spans(batch: pa.Table, row: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
-    """Runs of adjoining windows as (doc_id, text_crc, low, windows)."""
+    """Runs of adjoining windows as (doc_id, text_key, low, windows)."""
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1] + 1)
     first = np.flatnonzero(new)
@@ -203,8 +203,8 @@ def _spans(batch: pa.Table, row: np.ndarray, number: np.ndarray) -> pa.RecordBat
     take = lambda c: batch.column(c).take(key).combine_chunks()
     low = take("low").to_numpy() + number[first]
     return pa.RecordBatch.from_arrays(
-        [*(x if isinstance(x, pa.Array) else x.chunk(0) if x.num_chunks else pa.array([], pa.int64()) for x in (take("doc_id"), take("text_crc"))), pa.array(low), pa.array(size.astype(np.int32))],
-        ["doc_id", "text_crc", "low", "windows"],
+        [*(x if isinstance(x, pa.Array) else x.chunk(0) if x.num_chunks else pa.array([], x.type) for x in (take("doc_id"), take("text_key"))), pa.array(low), pa.array(size.astype(np.int32))],
+        ["doc_id", "text_key", "low", "windows"],
     )
 
 
@@ -262,26 +262,26 @@ def _across_buckets(suffixes: DataFrame, length: int) -> DataFrame:
                 hashes = Rolling(data).spans(starts, starts + length)
                 key = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(hashes), batch.column("doc_id").take(key), batch.column("text_crc").take(key),
+                    [_signed(hashes), batch.column("doc_id").take(key), batch.column("text_key").take(key),
                      pa.array(batch.column("low").to_numpy()[row] + number), batch.column("open").take(key)],
-                    ["window", "doc_id", "text_crc", "low", "open"],
+                    ["window", "doc_id", "text_key", "low", "open"],
                 )
 
-    rows = suffixes.mapInArrow(work, "window long, doc_id long, text_crc long, low long, open boolean")
+    rows = suffixes.mapInArrow(work, "window long, doc_id long, text_key binary, low long, open boolean")
     twice = rows.groupBy("window").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("window")
-    return rows.filter("open").join(twice, "window", "left_semi").select("doc_id", "text_crc", "low", F.lit(1).alias("windows"))
+    return rows.filter("open").join(twice, "window", "left_semi").select("doc_id", "text_key", "low", F.lit(1).alias("windows"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """doc_id, text_crc, text -> (doc_id, text_crc, low, windows): starts of repeated strings."""
+    """doc_id, text_key, text -> (doc_id, text_key, low, windows): starts of repeated strings."""
     table = materialize(_runs_table(docs, length, gram))
     # Written, so that the join below may split the partition of an anchor that is everywhere.
     twice = materialize(table.groupBy("hk").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("hk"))
     met = materialize(table.join(twice, "hk"))
     kinds = materialize(
-        met.groupBy("hk", "hu").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_crc", "low", "windows", "anchor")).alias("one"))
+        met.groupBy("hk", "hu").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "low", "windows", "anchor")).alias("one"))
     )
-    whole = met.join(kinds.filter("n > 1").select("hk", "hu"), ["hk", "hu"], "left_semi").select("doc_id", "text_crc", "low", "windows")
+    whole = met.join(kinds.filter("n > 1").select("hk", "hu"), ["hk", "hu"], "left_semi").select("doc_id", "text_key", "low", "windows")
     anchors = kinds.groupBy("hk").agg(F.count(F.lit(1)).alias("_kinds"), F.min("n").alias("_least")).filter("_kinds > 1 AND _least = 1")
     edges = kinds.join(anchors, "hk").select("hk", "one.*", (F.col("n") == 1).alias("open"), (F.col("_kinds") > hot_runs).alias("hot"))
     suffixes = materialize(_suffixes(edges, docs, length, gram))
@@ -294,13 +294,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
 
 
 def _lists(spans: DataFrame) -> DataFrame:
-    """Spans as (_d, _t, low, windows), one row per doc_id and text_crc with sorted lists.
+    """Spans as (_d, _t, low, windows), one row per doc_id and text_key with sorted lists.
 
     Rows that repeat a doc_id and its text bring equal spans; a set keeps one of each, so a list is
     bounded by the length of a document.
     """
-    sets = spans.groupBy("doc_id", "text_crc").agg(F.sort_array(F.collect_set(F.struct("low", "windows"))).alias("spans"))
-    return sets.select(F.col("doc_id").alias("_d"), F.col("text_crc").alias("_t"), F.col("spans.low").alias("low"), F.col("spans.windows").alias("windows"))
+    sets = spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("low", "windows"))).alias("spans"))
+    return sets.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("spans.low").alias("low"), F.col("spans.windows").alias("windows"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -310,11 +310,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int
     rest = F.struct(*carry) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     rows = docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest")
-    ).withColumn("text_crc", F.crc32(F.col("text").cast("binary")))
+    ).withColumn("text_key", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
     spans = repeated_spans(rows.drop("rest"), length, gram, hot_runs)
     spans = _lists(spans)
     texts = _packed(rows)
-    met = texts.join(spans, texts["doc_id"].eqNullSafe(F.col("_d")) & (texts["text_crc"] == F.col("_t")), "left")
+    met = texts.join(spans, texts["doc_id"].eqNullSafe(F.col("_d")) & (texts["text_key"] == F.col("_t")), "left")
 
     def cut(text, low, windows):
         """What remains, the number of bytes taken out and of runs of them."""

@@ -104,36 +104,57 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """64-bit hashes of any byte ranges of one array, equal for equal bytes wherever they lie."""
+    """62-bit hashes of any byte ranges of one array, equal for equal bytes wherever they lie.
 
-    BASE = 0x9E3779B97F4A7C15
+    Two polynomials modulo primes, each with a base of its own. (One modulo 2^64 would give some long regular
+    texts, such as Thue-Morse words, the same hash whatever its base.)
+    """
+
+    PRIMES = (2**31 - 1, 2**31 - 19)
+    BASES = (1_234_567_891, 1_999_999_927)
+    #: Bytes whose terms add up without overflow.
+    BLOCK = 1 << 20
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.inverse = Rolling.powers(pow(Rolling.BASE, -1, 1 << 64), n + 1)
-        values = mix64(np.arange(1, 257, dtype=np.uint64))
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[data] * Rolling.powers(Rolling.BASE, n), out=self.sums[1:])
+        self.sums, self.inverses = [], []
+        for prime, base in zip(Rolling.PRIMES, Rolling.BASES):
+            sums = np.zeros(n + 1, np.int64)
+            np.multiply(_VALUES[data], Rolling.powers(base, prime, n), out=sums[1:])
+            total = 0
+            for start in range(1, n + 1, Rolling.BLOCK):
+                part = sums[start : start + Rolling.BLOCK]
+                np.cumsum(part, out=part)
+                part += total
+                total = int(part[-1]) % prime
+            self.sums.append(sums)
+            self.inverses.append(Rolling.powers(pow(base, -1, prime), prime, n + 1))
 
     @staticmethod
-    def powers(base: int, n: int) -> np.ndarray:
-        def make():
-            out = np.full(max(n, RUN_BYTES + 2), base, np.uint64)
-            out[0] = 1
-            return np.cumprod(out)
-
-        kept = once(("powers", base), make)
-        if len(kept) < n:
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            return np.cumprod(out)
-        return kept[:n]
+    def powers(base: int, prime: int, n: int) -> np.ndarray:
+        def make(count):
+            out = np.ones(1, np.int64)
+            while len(out) < count:
+                out = np.concatenate([out, out * pow(base, len(out), prime) % prime])
+            return out[:count]
+
+        kept = once(("powers", base, prime), lambda: make(RUN_BYTES + 2))
+        return kept[:n] if n <= len(kept) else make(n)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        body = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+        """uint64 hashes of the ranges."""
+        low, high = (
+            ((sums[ends] - sums[starts]) % prime * inverse[starts] % prime).astype(np.uint64)
+            for sums, inverse, prime in zip(self.sums, self.inverses, Rolling.PRIMES)
+        )
+        body = (high << np.uint64(31)) | low
         return mix64(body + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+# Terms of bytes: at most 2^8, so that BLOCK of them times a power stay below 2^59.
+_VALUES = np.arange(1, 257, dtype=np.int64)
+
+
 def window_hashes(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all ``width``-word windows inside rows, and the index of each first word."""
     n = len(words) - width + 1
@@ -145,6 +166,3 @@ def window_hashes(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.n
         out = mix64(out * np.uint64(0x2545F4914F6CDD1D) + words[at + j])
     return out, at
 
-
-def row_sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(rows, weights=values, minlength=n)

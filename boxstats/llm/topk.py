@@ -97,17 +97,18 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, ident: str = "vec_id", vector: str = "embedding", k: int = 5, scale: float = 256.0) -> DataFrame:
-    """query_id, rank (from 1), ``ident``, score: the k best candidates of each query, exactly."""
+    """query_id, rank (from 1), ``ident``, score: the k best candidates of each query row, exactly. Rows that
+    repeat an id are queries, and candidates, of their own; a query's own id is never its candidate."""
     data = materialize(tiles(candidates, ident, vector, scale, TILE).withColumn("shard", F.monotonically_increasing_id()))
-    asked = materialize(tiles(queries, ident, vector, scale, QUERY_TILE))
+    asked = materialize(tiles(queries, ident, vector, scale, QUERY_TILE).withColumn("q_tile", F.monotonically_increasing_id()))
     shards = data.count()
     numbered = data.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(max(shards, 1))).cast("int"))
     # Every query tile goes to every shard; a stated query set against all rows, in blocks.
-    sent = asked.select("dim", F.col("ids").alias("q_ids"), F.col("body").alias("q_body"), F.explode(F.sequence(F.lit(0), F.lit(max(shards, 1) - 1))).alias("shard"))
+    sent = asked.select("dim", "q_tile", F.col("ids").alias("q_ids"), F.col("body").alias("q_body"), F.explode(F.sequence(F.lit(0), F.lit(max(shards, 1) - 1))).alias("shard"))
 
     def multiply(batches):
         for batch in batches:
-            for dim, qi, qb, di, db, shard in zip(*(batch.column(c).to_pylist() for c in ("dim", "q_ids", "q_body", "ids", "body", "shard"))):
+            for dim, asked_in, qi, qb, di, db, shard in zip(*(batch.column(c).to_pylist() for c in ("dim", "q_tile", "q_ids", "q_body", "ids", "body", "shard"))):
                 own, ids = np.frombuffer(qi, "<i8"), np.frombuffer(di, "<i8")
                 q, d = np.frombuffer(qb, "<i8").reshape(-1, dim), np.frombuffer(db, "<i8").reshape(-1, dim)
                 bound = float(np.abs(q).max()) * float(np.abs(d).max()) * dim
@@ -116,21 +117,22 @@ def top_k(queries: DataFrame, candidates: DataFrame, ident: str = "vec_id", vect
                 exact = (q.astype(float) @ d.astype(float).T).astype(np.int64) if bound < 2.0**53 else q @ d.T
                 rows, best, score = _best(exact, ids, own, k)
                 yield pa.RecordBatch.from_pydict(
-                    {"query_id": own[rows], "query_row": rows, "tile": np.full(len(rows), shard), "id": best, "score": score}
+                    {"query_id": own[rows], "q_tile": np.full(len(rows), asked_in), "query_row": rows, "tile": np.full(len(rows), shard), "id": best, "score": score}
                 )
 
     pairs = sent.join(numbered.select("dim", "ids", "body", "shard"), ["shard", "dim"])
-    lists = pairs.select("dim", "q_ids", "q_body", "ids", "body", "shard").mapInArrow(
-        multiply, "query_id long, query_row long, tile long, id long, score long"
+    lists = pairs.select("dim", "q_tile", "q_ids", "q_body", "ids", "body", "shard").mapInArrow(
+        multiply, "query_id long, q_tile long, query_row long, tile long, id long, score long"
     )
     # Tree merge: the lists of FAN_IN shards at a time, so no group holds more than FAN_IN * k rows
-    # of a query (query rows of one id are merged as one list, as their scores are told by rank).
+    # of a query. A query is a row: rows of one id have lists of their own.
+    query = ["q_tile", "query_row"]
     level = shards
     while level > FAN_IN:
         lists = lists.withColumn("tile", F.floor(F.col("tile") / FAN_IN).cast("long"))
-        lists = _first(lists, ["query_id", "tile"], k)
+        lists = _first(lists, [*query, "tile"], k)
         level = -(-level // FAN_IN)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy(*query).orderBy(F.desc("score"), "id"))
     ranked = lists.withColumn("rank", rank).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(ident), "score")
 

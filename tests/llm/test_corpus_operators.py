@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxstats.llm import jaccard, mixing, suffixes, topk
-from tests.llm.data import SCHEMA, WORD, documents, frame, same
+from tests.llm.data import SCHEMA, WORD, documents, frame, prose, same
 
 
 def _repeated(rows, length):
@@ -62,13 +63,13 @@ def test_spans_of_repeated_rows_are_held_once(spark):
     other = text[100:300] + "".join(map(chr, np.random.default_rng(7).integers(97, 123, 300)))
     rows = [(7, text, "en", "s", 1)] * 50 + [(None, text, "en", "s", 1)] * 50 + [(8, other, "en", "s", 1)]
     same(suffixes.dedup(frame(spark, rows), 60, 15).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), _repeated(rows, 60))
-    docs = frame(spark, rows).coalesce(1).selectExpr("doc_id", "text", "crc32(CAST(text AS BINARY)) AS text_crc")
+    docs = frame(spark, rows).coalesce(1).selectExpr("doc_id", "text", "substring(unhex(sha2(CAST(text AS BINARY), 256)), 1, 16) AS text_key")
     spans = suffixes.repeated_spans(docs, 60, 15)
     lists = suffixes._lists(spans).collect()
     for r in lists:
         assert len(r.low) == len(r.windows) == len(set(zip(r.low, r.windows))) <= 600
-    crc = docs.filter("doc_id = 7").first().text_crc
-    edge = spark.createDataFrame([(7, crc, 3, 5, 10, 2, True, False)], "doc_id long, text_crc long, hk long, low long, windows int, anchor int, open boolean, hot boolean")
+    crc = docs.filter("doc_id = 7").first().text_key
+    edge = spark.createDataFrame([(7, crc, 3, 5, 10, 2, True, False)], "doc_id long, text_key binary, hk long, low long, windows int, anchor int, open boolean, hot boolean")
     found = suffixes._suffixes(edge, docs, 60, 15).collect()
     assert [bytes(r["bytes"]).decode() for r in found] == [text[5:74]]
 
@@ -227,3 +228,60 @@ def test_top_k(spark, monkeypatch, tile, query_tile, fan_in):
 def test_top_k_of_no_rows(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, df).count() == 0
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two different texts of equal value under every polynomial modulo a power of two, if long enough."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_regular_texts_have_hashes_of_their_own(spark, n):
+    from boxstats.llm import quality
+    from boxstats.llm.text import Rolling, utf8
+    from boxstats.llm.tokens import WordIds, tokenizer_path
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse(n)
+    data, offsets = utf8(pa.array([a, b]))
+    one, two = Rolling(data).spans(offsets[:-1], offsets[1:])
+    assert one != two
+    path = tokenizer_path("word_bpe_49k.json")
+    ids, cut = WordIds(path).encode(pa.array([a, b]))
+    for i, found in enumerate(Tokenizer.from_file(path).encode_batch([a, b], add_special_tokens=False)):
+        assert list(ids[cut[i] : cut[i + 1]]) == found.ids
+    counts = quality.counts(*utf8(pa.array([f"{a}\n{b}\n{a}"])))
+    assert int(np.asarray(counts["n_dup_lines"])[0]) == 1
+    rows = [(1, f"{a} x y z w"), (2, f"{b} x y z w"), (3, f"{a} x y z w")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (2, 0), 3: (1, 1)}
+
+
+def test_hashes_of_ranges_beyond_one_block(monkeypatch):
+    from boxstats.llm.text import Rolling
+
+    monkeypatch.setattr(Rolling, "BLOCK", 7)
+    data = np.frombuffer(b"abcabcabcab" * 9 + bytes(range(256)), np.uint8)
+    starts = np.arange(len(data) - 3)
+    found = Rolling(data).spans(starts, starts + 3)
+    kinds = {}
+    for s, h in zip(starts, found):
+        assert kinds.setdefault(bytes(data[s : s + 3]), h) == h
+    assert len(set(kinds.values())) == len(kinds)
+
+
+def test_repeated_queries_have_lists_of_their_own(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 1.0]), (2, [2.0, 1.0]), (3, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = topk.top_k(df.filter("vec_id = 50"), df, k=3).collect()
+    first, second = [(1, 1), (2, 2), (3, 2)], [(1, 3), (2, 2), (3, 2)]
+    assert sorted((r["rank"], r.vec_id) for r in got) == sorted(first * 2 + second)
+
+
+def test_texts_of_rows_without_doc_id_keep_what_is_theirs(spark):
+    rng = random.Random(3)
+    shared = prose(rng, 120)
+    rows = [(None, f"one {shared} end"), (None, f"two other {prose(rng, 90)}"), (7, f"x {shared} y"), (7, f"z {prose(rng, 90)}"), (7, f"x {shared} y")]
+    got = suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    same(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), _repeated(rows, 200))

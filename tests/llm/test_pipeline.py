@@ -27,3 +27,14 @@ def test_run_takes_decisions(spark, tmp_path):
     ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not ids & {100, 101, 102, 103}
     assert len(ids) >= 30
+
+
+def test_no_text_is_lost_where_rows_share_a_doc_id(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (9, c), (9, d), (None, a), (None, c), (None, prose(rng, 80))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (5, b), (9, c), (9, d), rows[-1]], key=str)
