@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; the first
 four return the columns of ``docs`` whatever they are. Null and empty texts fail the quality rules;
-stages that meet them on their own leave them as they are. Rows without doc_id are never near
-copies of anything.
+stages that meet them on their own leave them as they are. Rows without doc_id, and rows that share
+one, are documents like others.
 """
 
 from __future__ import annotations
@@ -31,15 +31,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
+    """One row of each group of near copies: the one with the smallest doc_id, rows without one last.
+
+    Rows are known by a written number, so rows that share a doc_id stand for themselves.
+    """
     short_batches(spark)
-    groups = materialize(jaccard.join(docs))
-    gone = groups.filter("class_id != doc_id").select(F.col("doc_id").alias("_gone"))
-    facts = groups.agg(F.count("doc_id"), F.countDistinct("doc_id"), F.count(F.when(F.col("class_id") != F.col("doc_id"), 1))).first()
-    kept = docs.join(_small(gone, facts[2]), docs["doc_id"] == F.col("_gone"), "left_anti")
-    if facts[0] != facts[1]:  # repeated rows of one doc_id
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
-    return kept
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = materialize(jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text")))
+    # Only rows with links have company.
+    linked = groups.filter("n_links > 0").select(F.col("doc_id").alias("_row"), "class_id").join(rows.select("_row", "doc_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    stays = linked.groupBy("class_id").agg(F.min(order).alias("_first")).select(F.col("_first._row").alias("_row"))
+    gone = materialize(linked.select("_row").join(stays, "_row", "left_anti"))
+    return rows.join(_small(gone, gone.count()), "_row", "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
