@@ -70,6 +70,10 @@ def velocity_units(spark, sf):
     return bs.velocity_to_kms(_particles(spark, sf), 0.25).select("pid", "v0", "v1", "v2")
 
 
+def physical_positions(spark, sf):
+    return transforms.to_physical(_particles(spark, sf), 0.5).select("pid", "x0", "x1", "x2")
+
+
 def displacement(spark, sf):
     return bs.displacement(_particles(spark, sf), BOX).select("pid", "u")
 
@@ -200,6 +204,12 @@ def dft_mesh(spark, sf):
     return _round(bs.fft_mesh(bs.cic_density(points, BOX, NC), NC, ["rho"]), "rho_re", "rho_im")
 
 
+def dft_mesh_lines(spark, sf):
+    """The transform of a mesh whose planes are too large for a task: lines of all three axes."""
+    mesh = bs.cic_density(_particles(spark, sf), BOX, NC)
+    return _round(bs.fft_mesh(mesh, NC, ["rho"], plane_cells=NC * NC - 1), "rho_re", "rho_im")
+
+
 def mode_table(spark, sf):
     points = _particles(spark, sf)
     spectrum = spectra.contrast_spectrum(points, BOX, NC, points.count())
@@ -349,10 +359,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 _QUERIES = (
-    rsd_shift, wrap_positions, velocity_units, displacement, cic_density, cic_density_rsd,
+    rsd_shift, wrap_positions, velocity_units, physical_positions, displacement, cic_density, cic_density_rsd,
     density_contrast, cic_momentum, mass_cut, subsample_exact, bbox, hist_1d, pdf_1d, hist_2d,
     velocity_dispersion, char_function, char_function_randoms, nearest_velocity, knn,
-    pair_count_auto, xi_dd, xi_monopole, xi_monopole_clump, pair_uu, pair_dduu, pair_moments_copies, smooth_velocity, dft_mesh, mode_table,
+    pair_count_auto, xi_dd, xi_monopole, xi_monopole_clump, pair_uu, pair_dduu, pair_moments_copies, smooth_velocity, dft_mesh, dft_mesh_lines, mode_table,
     power_matter, power_matter_rsd, power_decomposed, power_decomposed_lambda,
     power_decomposed_raw_noise, power_2d, fof_groups, fof_halos, group_velocity, pair_count_clump,
     file_hdf5, file_hdf5_parts, file_parquet, file_snapshot, file_snapshot_types, file_subsample, file_fof_binary, file_mock_text, file_fof_text, file_subhalo_text,
@@ -649,6 +659,7 @@ def _engine_sql() -> dict[str, str]:
         "rsd_shift": f"{exact} SELECT lam, pid, x0, x1, x2 FROM s",
         "wrap_positions": f"{exact} SELECT lam, pid, x0, x1, {_WRAP.format('x2')} AS x2 FROM s",
         "velocity_units": f"WITH {_P} SELECT pid, v0 * 0.5::DOUBLE AS v0, v1 * 0.5::DOUBLE AS v1, v2 * 0.5::DOUBLE AS v2 FROM p",
+        "physical_positions": f"WITH {_P} SELECT pid, x0 * 0.5::DOUBLE AS x0, x1 * 0.5::DOUBLE AS x1, x2 * 0.5::DOUBLE AS x2 FROM p",
         "displacement": f"WITH {_P} SELECT pid, v2 / 100.0::DOUBLE AS u FROM p",
         "cic_density": f"WITH {_P} {_mesh_sql('p')}",
         "cic_density_rsd": f"{exact} {_mesh_sql('s', keys='lam,')}",
@@ -706,8 +717,8 @@ def _engine_sql() -> dict[str, str]:
         "smooth_velocity": f"""WITH {_P}, s AS (SELECT a.pid, avg(b.v0) AS s0, avg(b.v1) AS s1, avg(b.v2) AS s2, count(*) AS n_near
             FROM p a, p b WHERE {_near2('a', 'b')} <= {R_SMOOTH * R_SMOOTH} GROUP BY a.pid)
             SELECT pid, x0, x1, x2, {_r('s0', 'vs0')}, {_r('s1', 'vs1')}, {_r('s2', 'vs2')}, n_near FROM p JOIN s USING (pid)""",
-        "dft_mesh": f"""WITH {_P}, m AS ({_mesh_sql('p')}), {_dft_sql('m', 'f')}
-            SELECT ix, iy, iz, {_r('re', 'rho_re')}, {_r('im', 'rho_im')} FROM f""",
+        **{name: f"""WITH {_P}, m AS ({_mesh_sql('p')}), {_dft_sql('m', 'f')}
+            SELECT ix, iy, iz, {_r('re', 'rho_re')}, {_r('im', 'rho_im')} FROM f""" for name in ("dft_mesh", "dft_mesh_lines")},
         "mode_table": f"""WITH {_P}, {_GRID}, m AS ({_mesh_sql('p')}), {_dft_sql('m', 'f')}, {_MODES}
             SELECT ix, iy, iz, {_r('k', 'k')}, {_r('mu2', 'mu2')}, {_r('c1', 'c1')}, {_r('c2', 'c2')},
             {_r('(re * re + im * im) * power(4096.0::DOUBLE / (SELECT count(*) FROM p), 2)', 'power')}

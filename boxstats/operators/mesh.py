@@ -5,9 +5,10 @@ A mesh is a sparse DataFrame (ix, iy, iz, value): an absent cell holds zero.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from boxstats.box import Box
@@ -80,6 +81,31 @@ def cic_density(points: DataFrame, box: Box, nc: int, keys: list[str] = (), name
     return deposit(points, box, nc, {name: None}, keys)
 
 
+#: The largest relative loss of mass that an assignment may have.
+MASS_LOSS = 1e-5
+
+
+class MassError(ArithmeticError):
+    pass
+
+
+def observed_density(points: DataFrame, box: Box, nc: int, name: str = "rho") -> tuple[DataFrame, Callable[[], float]]:
+    """``cic_density`` whose own job counts the points and adds up the mesh, and a check to call after it: it
+    returns the relative loss of mass, or raises where that passes MASS_LOSS."""
+    given, found = Observation(), Observation()
+    points = points.observe(given, F.count(F.lit(1)).alias("n"))
+    mesh = cic_density(points, box, nc, name=name).observe(found, F.sum(name).alias("mass"))
+
+    def check() -> float:
+        n, mass = given.get["n"], found.get["mass"] or 0.0
+        loss = abs(mass - n) / n if n else 0.0
+        if not loss < MASS_LOSS:
+            raise MassError(f"{n} points gave a mesh of mass {mass}")
+        return loss
+
+    return mesh, check
+
+
 def full_grid(mesh: DataFrame, nc: int, fields: list[str], keys: list[str] = ()) -> DataFrame:
     """Give every cell a row; absent cells become 0."""
     cells = F.sequence(F.lit(0), F.lit(nc - 1))

@@ -22,7 +22,7 @@ from boxstats.box import Box
 from boxstats.functions.periodic import AXES, X, box_dist2, dist2, not_finite, wrap
 from boxstats.operators.joins import lookup_join
 from boxstats.sizing import tasks_for
-from boxstats.storage import materialize
+from boxstats.storage import materialize, materialize_observed
 
 # A cell id packs the level and three indices of AXIS_BITS bits each.
 AXIS_BITS = 19
@@ -87,8 +87,7 @@ def distinct_positions(
         F.sum("_bad").alias("_bad"),
         *[F.sum(c).alias(name) for name, c in (sums or {}).items()],
     )
-    df = materialize(df)
-    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("n"), F.sum("_bad").alias("bad")).first()
+    df, size = materialize_observed(df, rows=F.count(F.lit(1)), n=F.sum("w"), bad=F.sum("_bad"))
     if size["bad"]:
         raise ValueError(f"{size['bad']} rows hold a NULL, NaN or infinite position or value")
     return Positions(df.drop("_bad"), size["rows"], size["n"] or 0)
@@ -221,7 +220,7 @@ def build_tree(
     if level == 0:
         cells = leaf_cells.drop("home", "home_lvl")
         cells = cells.withColumn("leaf", F.lit(True)).withColumn("parent", F.lit(None).cast("bigint"))
-        cells = materialize(_with_blocks(cells))
+        cells = materialize(_with_blocks(cells, False))
     else:
         merged = []
         for i in AXES:
@@ -244,25 +243,26 @@ def build_tree(
         cells = cells.withColumn("parent", F.when(F.col("lvl") > 0, up)).drop("home")
         if dealt:
             cells = materialize(cells)
-        cells = materialize(_with_blocks(cells))
+        cells = materialize(_with_blocks(cells, dealt))
     return Tree(points, cells, box, side, level, tuple(sums))
 
 
-def _with_blocks(cells: DataFrame) -> DataFrame:
+def _with_blocks(cells: DataFrame, dealt: bool) -> DataFrame:
     """Every leaf with its block: a run of at most 64 siblings (or base cells of one 4 x 4 x 4 cube) of
     BLOCK_POINTS points. Dealt leaves, of which one cell may have any number, are dealt into blocks too."""
     level, *c = unpack(F.col("cid"))
     cube = pack(F.lit(0), [F.shiftright(x, SPLIT_BITS) for x in c])
     group = F.when(F.col("lvl") == 0, F.xxhash64(F.lit("cube"), cube)).otherwise(F.xxhash64(F.lit("parent"), F.col("parent")))
     before = Window.partitionBy("_group").orderBy("cid").rowsBetween(Window.unboundedPreceding, -1)
-    run = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / BLOCK_POINTS)
-    grid = cells.filter("leaf and cid >= 0").withColumn("_group", group)
-    grid = grid.withColumn("block", F.xxhash64("_group", run)).drop("_group")
-    rest = cells.filter("not leaf").withColumn("block", F.lit(0).cast("bigint"))
+    run = F.floor(F.coalesce(F.sum(F.when(F.col("leaf"), F.col("n"))).over(before), F.lit(0)) / BLOCK_POINTS)
+    block = F.when(F.col("leaf"), F.xxhash64("_group", run)).otherwise(F.lit(0).cast("bigint"))
+    grid = cells.filter("cid >= 0") if dealt else cells
+    grid = grid.withColumn("_group", group).withColumn("block", block).drop("_group")
+    if not dealt:
+        return grid
     homes = cells.filter("not leaf").select(F.col("cid").alias("parent"), F.ceil(F.col("n") / BLOCK_POINTS).alias("_blocks"))
-    dealt = lookup_join(cells.filter("leaf and cid < 0"), homes, ["parent"]).select(*cells.columns, "_blocks")
-    dealt = dealt.withColumn("block", F.xxhash64("parent", F.pmod(F.xxhash64("cid"), F.col("_blocks")))).drop("_blocks")
-    return union_all([grid, rest, dealt])
+    dealt = lookup_join(cells.filter("cid < 0"), homes, ["parent"]).select(*cells.columns, "_blocks")
+    return grid.unionByName(dealt.withColumn("block", F.xxhash64("parent", F.pmod(F.xxhash64("cid"), F.col("_blocks")))).drop("_blocks"))
 
 
 @dataclass(frozen=True)
@@ -379,17 +379,17 @@ def shipped(ids: DataFrame, points: DataFrame, side: str, n: int) -> DataFrame:
 def join_blocks(ids: DataFrame, a: DataFrame, b: DataFrame, box: Box) -> DataFrame:
     """As ``join_points``, for ids with a_block and b_block.
 
-    Both sides and the ids are shuffled by pair of blocks, and joined there without a further shuffle
-    or sort. A key holds at most two blocks of points and the square of a block of tests, however many
+    Both sides and the ids are shuffled by pair of blocks, and joined there without a further shuffle. A key holds at most two blocks of points and the square of a block of tests, however many
     leaves are around; it grows with neither the density nor the radius.
     """
     tests = ids.agg(F.sum("tests")).first()[0] or 0
-    n = tasks_for(ids.sparkSession, tests)
+    # Pairs of blocks differ much in tests, so tasks are small.
+    n = tasks_for(ids.sparkSession, tests) * 4
     # Rows that lie together by pair of blocks also do by pair of blocks and leaf; Spark shuffles again unless told so.
     ids.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     blocks = ["a_block", "b_block"]
     keyed = ids.drop("tests").repartition(n, *blocks)
-    left, right = (shipped(ids, points, side, n).hint("shuffle_hash") for points, side in ((a, "a"), (b, "b")))
+    left, right = (shipped(ids, points, side, n).hint("merge") for points, side in ((a, "a"), (b, "b")))
     return _with_d2(keyed.join(left, [*blocks, "a_cid"]).join(right, [*blocks, "b_cid"]).drop(*blocks), box)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -36,6 +36,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return table
 
 
+def materialize_observed(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:
+    """As ``materialize``, with aggregates of the rows that the write itself observes, in no job of their own."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *[c.alias(name) for name, c in facts.items()]))
+    return table, seen.get
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table that ``materialize`` wrote and that nothing reads any more."""
     path = getattr(table, "_written_to", None)

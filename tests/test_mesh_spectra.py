@@ -156,3 +156,22 @@ def test_subsample_is_exact_and_repeatable(spark):
     c = {r.pid for r in bs.subsample(df, 1234, 6).collect()}
     assert len(a) == 1234 and a == b and a != c
     assert bs.subsample(df, 9000).count() == 5000 and bs.subsample(df, 0).count() == 0
+
+
+def test_mass_is_observed_by_the_job_that_makes_the_mesh(spark, cloud_df, box, monkeypatch):
+    from boxstats.operators import mesh
+
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("mass", "mesh")
+    df, check = mesh.observed_density(cloud_df, box, 8)
+    rows = df.collect()
+    jobs = len(status.getJobIdsForGroup("mass"))
+    assert check() < 1e-12 and abs(sum(r.rho for r in rows) - 600) < 1e-9
+    assert len(status.getJobIdsForGroup("mass")) == jobs
+    spark.sparkContext.setJobGroup("other", "others")
+    original = mesh.cic_density
+    monkeypatch.setattr(mesh, "cic_density", lambda *a, **k: original(*a, **k).filter("ix > 0"))
+    df, check = mesh.observed_density(cloud_df, box, 8)
+    df.collect()
+    with pytest.raises(mesh.MassError):
+        check()
