@@ -6,7 +6,8 @@ holds the doc_id and number of ids of each document beside the coded ids, so a b
 alone, and ids before it follow from the counts of the other blocks.
 
 Null and empty texts are their end id alone. Rows without doc_id come first; rows of one doc_id are
-ordered by the checksum of their text.
+ordered by the checksum of their text. A long text is a block of its own; an empty table gives files
+without blocks.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@
 Null and empty texts, and texts of spaces, have no shingles: each is a class of its own with no
 links. Rows without doc_id are left alone: class null, no links. Rows that repeat a doc_id count as
 copies if their texts are equal; texts that share a doc_id are taken as one document in the groups.
+Long texts are shingled whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ together. Sources are assumed to be labels, far fewer than rows; their totals ma
 
 Null texts have size 0. Documents of size 0 take no part and get 0. A null source is a source
 of its own, last in order. Repeated doc_id are separate documents with equal hashes; they are
-told apart by their size and place in the running sums.
+told apart by their size and place in the running sums. Long texts are sizes like others; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ probability, and whole texts are scored in Arrow batches against fixed threshold
 
 Null and empty texts have no words, so the base rules reject them. Labels that are null, not 0
 or 1, or that name no document are ignored; of repeated labels of a document the lowest counts.
-Without labels of both classes the method keeps all that the base rules keep.
+Without labels of both classes the method keeps all that the base rules keep. Of rows that share a
+labelled doc_id one is learned from. Long texts are counted whole, in one numpy run; repeated rows are
+judged alike, each as its own row; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,9 +13,10 @@ and anchors are few (about 2 / (length - GRAM) of all bytes).
    until only equal ones stay together. Anchors with more than ``HOT_RUNS`` different runs are dealt
    over all buckets, and their windows are compared across the boundaries by hash.
 
-Whole runs and windows of such anchors are equal when 64-bit hashes are; the rest is compared byte
+Whole runs and windows of such anchors are equal when their 62-bit hashes are; the rest is compared byte
 by byte. Null and empty texts have no bytes and are kept as they are. Equal rows of one doc_id match
-each other as any two texts do. Rows are told apart by doc_id and the checksum of their text.
+each other as any two texts do. Rows are told apart by doc_id and 128 bits of the SHA-256 of their
+text; rows that agree in both lose the same bytes. Long texts are cut whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

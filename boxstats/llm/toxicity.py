@@ -8,7 +8,9 @@ sample of labelled rows, so misspelt words share vectors with the words they loo
 After training a bucket's share of the margin is one number (embedding times the difference of the
 class weights), which is what scoring sums up. Null and empty texts have no features; their margin
 is the bias. Without labels of both classes every score is 0. Labels that are null, not 0 or 1 or
-without document are ignored, and of repeated labels the lowest counts.
+without document are ignored, and of repeated labels the lowest counts. Of rows that share a labelled
+doc_id one is learned from. Long texts are scored whole, in one numpy run of some tens of bytes a byte.
+Repeated rows get equal scores, each its own row; an empty table gives no rows.
 """
 
 from __future__ import annotations

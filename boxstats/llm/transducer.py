@@ -16,7 +16,8 @@ That a token sequence is the tokenizer's own can be told from its neighbours: un
 sides of a border from the latest, no earlier merge may apply across it.
 
 Null and empty texts have no tokens. Texts that hold a special string are cut there, as the library
-does by default.
+does by default. Long texts are counted whole; a long word runs byte by byte. Repeated rows are rows of
+their own, and an empty table gives no rows.
 """
 
 from __future__ import annotations
