@@ -54,6 +54,13 @@ class _Models:
         freq[0] += (1 << _FREQ_BITS) - int(freq.sum())
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(freq)]).astype(np.uint64)
+        self.owner = None
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose shares of the scale hold the values, from a table over the whole scale."""
+        if self.owner is None:
+            self.owner = np.repeat(np.arange(self.size, dtype=np.int32), self.freq.astype(np.int64))
+        return self.owner[value]
 
     def predict(self, m: int):
         """Predicted ids of the first ``m`` lanes, and where their parts of the mixture end."""
@@ -204,7 +211,7 @@ def decode(block: bytes) -> np.ndarray:
             rest = np.flatnonzero(outcome == 2)
             fine = part[rest] >> _U(_FREQ_BITS)
             value = np.minimum((code[rest] - lo[rest]) // fine, _U((1 << _FREQ_BITS) - 1))
-            found = np.searchsorted(models.start, value, side="right") - 1
+            found = models.find(value)
             now[rest] = found
             lo[rest] += fine * models.start[found]
             part[rest] = fine * models.freq[found]

@@ -25,7 +25,8 @@ def byte_machine():
     return Tokenizer.from_file(path), once(("transducer", path), lambda: transducer.Transducer(path)), once("classes", transducer._classes)
 
 
-ODD = ["", "  ", "<|endoftext|>x <|startoftext|>", "x<|endoftext|>", "İSTANBUL ΣΑΣ Σ", "e ́a ﬁ Å", "日本 語", "\x1c\x1d a\x85b", "it's I'LL 12 3a4!!??", "~ a~b ~~"]
+ODD = ["", "  ", "<|endoftext|>x <|startoftext|>", "x<|endoftext|>", "İSTANBUL ΣΑΣ Σ", "e ́a ﬁ Å", "日本 語", "\x1c\x1d a\x85b", "it's I'LL 12 3a4!!??", "~ a~b ~~",
+       "don't, x.'s 'tis,'s é, ×, ÷. ŷ; ſ! ǆ, a—,b a…! 12.5,7 x_y <|endoftext|>,x,<|endoftext|> e\u0301, a,\u0301b Σ. ΑΣ, K, it's,it's"]
 
 
 def test_word_ids_are_the_library_s(word_library):
