@@ -1,10 +1,11 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import boxstats as bs
-from boxstats.operators import pairs, tree
+from boxstats.operators import leafpairs, pairs, tree
 
 
 def points(spark, x, u, pid=None):
@@ -115,3 +116,37 @@ def test_leaves_are_shipped_once_per_pair_of_blocks(spark, box, monkeypatch):
 
     single, wide = rows(1), rows(512)
     assert single[0] == wide[0] and wide[1] < wide[2] / 4 and wide[1] < single[1] / 4
+
+
+def test_leaf_pairs_do_not_grow_with_density(spark, box, monkeypatch):
+    x = np.random.default_rng(2).integers(0, 4096, (40_000, 3)) / 16.0
+    seen = []
+    original = tree.join_blocks
+
+    def counted(ids, *rest):
+        seen.append(ids.count())
+        return original(ids, *rest)
+
+    monkeypatch.setattr(tree, "join_blocks", counted)
+    n = int(bs.count_pairs(points(spark, x, x[:, 0]), box, 60.0).first()[0])
+    assert 0 < seen[0] <= 64 * 14
+    volume = 4 / 3 * np.pi * 60**3 / 256**3
+    assert n == pytest.approx(0.5 * 40_000**2 * volume, rel=0.01)
+
+
+def test_few_copies_are_rows_of_their_own(spark, box):
+    x = np.repeat(np.random.default_rng(3).integers(0, 400, (30, 3)) / 16.0, 4, axis=0)
+    u = np.random.default_rng(4).integers(-9, 9, 120).astype(float)
+    pid = np.random.default_rng(5).permutation(120)
+    df = points(spark, x, u, pid)
+    assert pairs._ordered_moments(df, box).df.filter("w > 1").count() == 0
+    order = np.argsort(pid)
+    check(bs.pair_bins(df, None, box, 24.0, 2.0), brute(x[order], u[order], x[order], u[order], 24.0, 2.0, True))
+
+
+def test_counts_beyond_double_precision_are_exact():
+    fold = leafpairs.Fold(2.0, 1.0, (), True, False, False, True, 256.0)
+    w = (1 << 30) + 1
+    rows = pa.table({"a_x0": [0.0, 0.5], "a_x1": [0.0, 0.0], "a_x2": [0.0, 0.0], "a_w": [w, w]})
+    a = leafpairs.Points(rows, "a", fold)
+    assert leafpairs.fold_leaves(a, a, True, fold).n[0] == w * w
