@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from boxstats.box import Box
 from boxstats.functions.periodic import V, X
 from boxstats.operators.transforms import wrap_positions
-from boxstats.sources.parts import ROWS_PER_FILE, numbered, part_files, write_parts
+from boxstats.sources.parts import ROWS_PER_FILE, at_once, numbered, part_files, write_parts
 from boxstats.sources.segments import Block, Segment, open_file, read_segments
 
 PARTICLE_SCHEMA = "pid bigint, " + ", ".join(f"{c} double" for c in (*X, *V))
@@ -43,17 +43,21 @@ def _single(column: str) -> list[tuple[str, str]]:
 
 def _records(path: str, head: str, fields: list[tuple[str, str]], check) -> tuple[list[Segment], tuple]:
     """Segments of files of a header that ends in a row count, rows, and the count again; and the header."""
-    segments, first, header = [], 0, ()
-    for name in part_files(path):
+
+    def look(name):
         with open_file(name) as file:
             *header, n = _take(file, head)
             check(name, header)
-            start = file.tell()
-            block = Block(start, fields)
-            file.seek(start + n * block.dtype.itemsize)
+            block = Block(file.tell(), fields)
+            file.seek(block.offset + n * block.dtype.itemsize)
             (again,) = _take(file, "<i")
         if again != n:
             raise FormatError(f"{name}: trailing count {again} differs from {n}")
+        return header, n, block
+
+    segments, first, header = [], 0, ()
+    names = part_files(path)
+    for name, (header, n, block) in zip(names, at_once(look, names)):
         segments.append(Segment(name, n, first, [block], {}, {}))
         first += n
     return segments, tuple(header)

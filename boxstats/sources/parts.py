@@ -14,6 +14,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,6 +27,10 @@ from boxstats.storage import materialize
 
 #: Rows of a part, which one task holds at a time (28 bytes a particle).
 ROWS_PER_FILE = 1 << 22
+#: Rows of a task where files are smaller than that.
+ROWS_PER_TASK = 1 << 18
+#: Files that the driver opens or moves at a time; each waits for its file system.
+FILES_AT_ONCE = 32
 _FILE, _NUMBER = "_file", "_number"
 _SUFFIXES = (".h5", ".b")
 
@@ -64,6 +69,12 @@ def part_files(path: str) -> list[str]:
     return [part_name(path, k, 2) for k in numbers] or [path]
 
 
+def at_once(work: Callable, items: list) -> list:
+    """``work`` of every item, in order, several at a time."""
+    with ThreadPoolExecutor(FILES_AT_ONCE) as pool:
+        return list(pool.map(work, items))
+
+
 class PartsWritten(WriterCommitMessage):
     def __init__(self, files: list[tuple[int, str]], rows: int):
         self.files, self.rows = files, rows
@@ -109,9 +120,9 @@ class PartWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         system, folder = filesystem(self.folder)
-        for message in messages:
-            for k, name in message.files if message else []:
-                system.move(name, filesystem(part_name(self.path, k, self.files))[1])
+        _, target = filesystem(self.path)
+        moves = [(name, part_name(target, k, self.files)) for message in messages if message for k, name in message.files]
+        at_once(lambda move: system.move(*move), moves)
         system.delete_dir(folder)
 
     def abort(self, messages):
@@ -163,7 +174,7 @@ def write_parts(
         raise ValueError("the catalogue is empty")
     files = -(-table.rows // rows_per_file)
     system, _ = filesystem(path)
-    for name in (path, *part_files(path)):
+    for name in {path, *part_files(path)[:1]}:
         if system.get_file_info(filesystem(name)[1]).type != fs.FileType.NotFound:
             raise FileExistsError(name)
     job = uuid.uuid4().hex
@@ -179,6 +190,8 @@ def write_parts(
     spark = table.df.sparkSession
     spark.dataSource.register(Parts)
     df = table.df.withColumn(_FILE, F.floor(F.col(_NUMBER) / rows_per_file))
-    df = df.repartition(min(files, 1 << 16), _FILE).sortWithinPartitions(_FILE, _NUMBER)
+    # A task writes as many small files as make its rows.
+    tasks = min(files, max(spark.sparkContext.defaultParallelism, -(-table.rows // ROWS_PER_TASK)))
+    df = df.repartition(tasks, _FILE).sortWithinPartitions(_FILE, _NUMBER)
     df.write.format("particle_parts").mode("append").save()
     return files

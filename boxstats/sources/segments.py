@@ -31,6 +31,7 @@ from pyspark.sql.datasource import (
 
 ROWS_PER_TASK = 1 << 20
 ROWS_PER_BATCH = 1 << 16
+FILES_PER_TASK = 256
 
 
 @dataclass(frozen=True)
@@ -74,9 +75,11 @@ def open_file(path: str):
     return system.open_input_file(inner)
 
 
-class RowRange(InputPartition):
-    def __init__(self, segment: str, start: int, stop: int):
-        self.segment, self.start, self.stop = segment, start, stop
+class RowRanges(InputPartition):
+    """Ranges of rows (segment, start, stop) that one task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 _COMPARE = {
@@ -123,8 +126,16 @@ class SegmentReader(DataSourceReader):
                     break
             else:
                 low, high = self._pid_range(segment)
-                ranges += [RowRange(text, i, min(i + self.step, high)) for i in range(low, high, self.step)]
-        return ranges
+                ranges += [(text, i, min(i + self.step, high)) for i in range(low, high, self.step)]
+        # Ranges of small files share a task.
+        tasks, rows = [], 0
+        for text, start, stop in ranges:
+            if not tasks or rows + stop - start > self.step or len(tasks[-1]) >= FILES_PER_TASK:
+                tasks.append([])
+                rows = 0
+            tasks[-1].append((text, start, stop))
+            rows += stop - start
+        return [RowRanges(task) for task in tasks]
 
     def _pid_range(self, segment: Segment) -> tuple[int, int]:
         """First and end row of a segment that filters on pid leave."""
@@ -139,9 +150,11 @@ class SegmentReader(DataSourceReader):
         return low - segment.first_id, max(high, low) - segment.first_id
 
     def read(self, partition):
-        if partition is None:  # no rows in any segment
-            return
-        segment, start, stop = Segment.load(partition.segment), partition.start, partition.stop
+        # There is no partition where no segment has rows.
+        for text, start, stop in partition.ranges if partition else ():
+            yield from self._read_range(Segment.load(text), start, stop)
+
+    def _read_range(self, segment: Segment, start: int, stop: int):
         asked = {name for name, *_ in self.filters}
         pid = segment.first_id + np.arange(start, stop)
         kept = self._keep("pid", pid)

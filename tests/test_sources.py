@@ -357,3 +357,24 @@ def test_filters_reach_the_scan(spark, cloud_df, box, tmp_path, monkeypatch):
     plan = df.filter("nfof >= 580")._jdf.queryExecution().executedPlan().toString()
     # The scan has taken the comparison; Spark keeps what the scan leaves to it.
     assert "580" not in plan and "isnotnull(nfof" in plan
+
+
+def test_small_files_share_tasks(spark, tmp_path, box, monkeypatch):
+    df = spark.range(3000).selectExpr("id AS pid", "1 AS nfof", *[f"id % 256 / 1.0D AS {c}{i}" for c in "xv" for i in range(3)])
+    path = str(tmp_path / "groups")
+    seen = []
+    original = binary.write_parts
+
+    def watched(table, *rest):
+        files = original(table, *rest)
+        seen.append(files)
+        return files
+
+    monkeypatch.setattr(binary, "write_parts", watched)
+    binary.write_fof_binary(df, path, box, 0.2, 10)
+    assert seen == [300]
+    back, _ = binary.read_fof_binary(spark, path)
+    assert back.rdd.getNumPartitions() <= 2 and back.count() == 3000
+    assert back.agg({"x0": "sum"}).first()[0] == sum(i % 256 for i in range(3000))
+    with pytest.raises(FileExistsError):
+        binary.write_fof_binary(df, path, box, 0.2, 10)
