@@ -7,13 +7,14 @@ import struct
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxstats.box import Box
 from boxstats.functions.periodic import V, X
 from boxstats.operators.transforms import wrap_positions
-from boxstats.sources.parts import ROWS_PER_FILE, at_once, numbered, part_files, write_parts
+from boxstats.sources.parts import ROWS_PER_FILE, Layout, at_once, numbered, packed, part_files, write_parts
 from boxstats.sources.segments import Block, Segment, open_file, read_segments
 
 PARTICLE_SCHEMA = "pid bigint, " + ", ".join(f"{c} double" for c in (*X, *V))
@@ -89,14 +90,12 @@ def read_fof_binary(spark: SparkSession, path: str, nfof_min: int = 0) -> tuple[
 def _write_records(df: DataFrame, path: str, head: bytes, fields: list[tuple[str, str]], rows_per_file: int) -> int:
     table = numbered(df.select(*[c for c, _ in fields]))
 
-    def encode(part):
-        records = np.empty(part.num_rows, np.dtype(fields))
-        for column, _ in fields:
-            records[column] = part.column(column).to_numpy()
-        count = struct.pack("<i", part.num_rows)
-        return [head + count, records.tobytes(), count]
+    def frame(counts):
+        count = struct.pack("<i", counts[0])
+        return [head + count, 0, count]
 
-    write_parts(table, path, encode, rows_per_file)
+    layout = Layout(lambda rows: ([rows.num_rows], [(0, packed(rows, fields))]), frame)
+    write_parts(table, path, layout, rows_per_file)
     return table.rows
 
 
@@ -289,30 +288,26 @@ def write_snapshot(
     )
     wide = "<u8" if max((r["top"] for r in found.values()), default=0) >= 1 << 32 else "<u4"
 
-    def encode(part):
-        kinds = part.column("ptype").to_numpy()
-        order = np.argsort(kinds, kind="stable")
-        kinds = kinds[order]
-        header = replace(base, counts=tuple(np.bincount(kinds, minlength=PARTICLE_TYPES).tolist()))
-        rows = {c: part.column(c).to_numpy()[order] for c in ("pid", *X, *V, "m", *gas)}
-
-        def record(fields, chosen=slice(None)):
-            columns = [rows[c][chosen] for c, _ in fields]
-            records = np.empty(len(columns[0]), np.dtype(fields))
-            for (c, _), values in zip(fields, columns):
-                records[c] = values
-            mark = struct.pack("<i", records.nbytes)
-            return [mark, records.tobytes(), mark] if len(records) else []
+    # Fields of every record, and the types that have it; a section is what one type has in one record.
+    records = [([(c, "<f4") for c in X], every), ([(c, "<f4") for c in V], every), ([("pid", wide)], every)]
+    records += [(_single("m"), [t for t in every if t not in masses])] + [(_single(c), [0]) for c in gas]
 
+    def encode(rows):
+        kinds = rows.column("ptype").to_numpy()
+        counts = np.bincount(kinds, minlength=PARTICLE_TYPES).tolist()
+        alike = {t: rows if counts[t] == rows.num_rows else rows.filter(pa.array(kinds == t)) for t in every if counts[t]}
+        return counts, [
+            (PARTICLE_TYPES * i + t, packed(alike[t], fields)) for i, (fields, types) in enumerate(records) for t in types if t in alike
+        ]
+
+    def frame(counts):
         mark = struct.pack("<i", HEADER_BYTES)
-        pieces = [mark + pack_header(header) + mark]
-        for columns in (X, V):
-            pieces += record([(c, "<f4") for c in columns])
-        pieces += record([("pid", wide)])
-        pieces += record(_single("m"), ~np.isin(kinds, list(masses)))
-        for column in gas:
-            pieces += record(_single(column), kinds == 0)
+        pieces = [mark + pack_header(replace(base, counts=tuple(counts))) + mark]
+        for i, (fields, types) in enumerate(records):
+            if n := sum(counts[t] for t in types):
+                mark = struct.pack("<i", n * np.dtype(fields).itemsize)
+                pieces += [mark, *[PARTICLE_TYPES * i + t for t in types], mark]
         return pieces
 
-    write_parts(table, path, encode, rows_per_file)
+    write_parts(table, path, Layout(encode, frame), rows_per_file)
     return table.rows

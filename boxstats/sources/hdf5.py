@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from boxstats.functions.periodic import V, X
-from boxstats.sources.parts import ROWS_PER_FILE, numbered, part_files, write_parts
+from boxstats.sources.parts import ROWS_PER_FILE, Layout, numbered, packed, part_files, write_parts
 from boxstats.sources.segments import Block, Segment, open_file, read_segments
 
 # Fixed values of the file format.
@@ -280,20 +280,17 @@ def write_arrays(
     """
     table = numbered(df.select(*[c for fields in arrays.values() for c, _ in fields]))
 
-    def encode(part):
-        n = part.num_rows
+    def frame(counts):
+        n = counts[0]
         shapes = {name: (f[0][1], (n, len(f)) if len(f) > 1 else shape or (n,)) for name, f in arrays.items()}
         head, sizes = _metadata(parameters, shapes)
         pieces = [head]
-        for name, fields in arrays.items():
-            records = np.empty(n, np.dtype(fields))
-            for column, _ in fields:
-                records[column] = part.column(column).to_numpy()
-            raw = records.tobytes()
-            pieces += [raw, bytes(sizes[name] - len(raw))]
+        for section, (name, fields) in enumerate(arrays.items()):
+            pieces += [section, bytes(sizes[name] - n * np.dtype(fields).itemsize)]
         return pieces
 
-    write_parts(table, path, encode, rows_per_file)
+    layout = Layout(lambda rows: ([rows.num_rows], [(i, packed(rows, f)) for i, f in enumerate(arrays.values())]), frame)
+    write_parts(table, path, layout, rows_per_file)
     return table.rows
 
 

@@ -1,8 +1,9 @@
 """Particle files written as numbered parts, by Spark's Python data source writer.
 
-The table is numbered once, so every part knows its rows before it is written. A task encodes the
-parts that it holds and writes them below a temporary folder beside the target; when all tasks are
-done, the driver moves them to their names. A task that fails leaves nothing, and a task that runs
+The table is numbered once, so every part knows its rows before it is written. Its batches are encoded where
+they lie, as bytes of the sections of their part; Spark brings the bytes of a part together and sorts them, and
+a task passes them on to a file below a temporary folder beside the target, holding some of them at a time. When all
+tasks are done, the driver moves the files to their names. A task that fails leaves nothing, and a task that runs
 twice is moved once. The path may be local or any URI of a file system that Arrow knows.
 
 One part has the name itself; more of them have their number in it: ``snap.0``, ``x.0.h5``.
@@ -17,6 +18,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -25,13 +27,16 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from boxstats.storage import materialize
 
-#: Rows of a part, which one task holds at a time (28 bytes a particle).
+#: Rows of a part, which one task sorts as encoded bytes (28 a particle).
 ROWS_PER_FILE = 1 << 22
 #: Rows of a task where files are smaller than that.
 ROWS_PER_TASK = 1 << 18
 #: Files that the driver opens or moves at a time; each waits for its file system.
 FILES_AT_ONCE = 32
 _FILE, _NUMBER = "_file", "_number"
+#: The section that comes before all others: row counts of encoded rows, as 64-bit integers.
+_COUNTS = -1
+_SECTION, _DATA = "_section", "_data"
 _SUFFIXES = (".h5", ".b")
 
 
@@ -76,15 +81,64 @@ def at_once(work: Callable, items: list) -> list:
 
 
 class PartsWritten(WriterCommitMessage):
-    def __init__(self, files: list[tuple[int, str]], rows: int):
-        self.files, self.rows = files, rows
+    def __init__(self, files: list[tuple[int, str]]):
+        self.files = files
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How the rows of a part become its file.
+
+    ``encode`` gives the row counts that a frame needs (one, or one of every kind of rows) and (section, bytes) of
+    consecutive rows. ``frame`` makes from the counts of a whole part its file: bytes as they are, and
+    numbers of sections, ascending, for all bytes of that section in the order of rows.
+    """
+
+    encode: Callable[[pa.RecordBatch], tuple[list[int], list[tuple[int, bytes]]]]
+    frame: Callable[[list[int]], list[bytes | int]]
+
+
+def packed(rows: pa.RecordBatch, fields: list[tuple[str, str]]) -> bytes:
+    """One record of ``fields`` (column, numpy format) for every row."""
+    records = np.empty(rows.num_rows, np.dtype(fields))
+    for column, _ in fields:
+        records[column] = rows.column(column).to_numpy(zero_copy_only=False)
+    return records.tobytes()
+
+
+class _Frame:
+    """Writes the sections of one file, which come in order, and what stands between them."""
+
+    def __init__(self, out, frame: Callable[[list[int]], list[bytes | int]] | None):
+        self.out, self.frame, self.counts, self.left = out, frame, 0, None
+
+    def add(self, section: int, data: pa.Buffer):
+        if section == _COUNTS:
+            self.counts = self.counts + np.frombuffer(data, np.int64)
+            return
+        self._upto(section)
+        self.out.write(data)
+
+    def close(self):
+        self._upto(None)
+        self.out.close()
+
+    def _upto(self, section: int | None):
+        if self.frame is None:
+            return
+        if self.left is None:
+            self.left = self.frame(self.counts.tolist())
+        while self.left and self.left[0] != section:
+            item = self.left.pop(0)
+            if isinstance(item, bytes):
+                self.out.write(item)
 
 
 class PartWriter(DataSourceArrowWriter):
-    """Writes the parts of a table sorted by their number within each task."""
+    """Writes the parts of a table of encoded rows, sorted by file, section and number within each task."""
 
-    def __init__(self, path: str, files: int, encode: Callable[[pa.Table], list[bytes]], job: str):
-        self.path, self.files, self.encode = path, files, encode
+    def __init__(self, path: str, files: int, frame: Callable[[list[int]], list[bytes | int]] | None, job: str):
+        self.path, self.files, self.frame = path, files, frame
         folder, name = os.path.split(path.rstrip("/"))
         self.folder = f"{folder}/.{name}-{job}" if folder else f".{name}-{job}"
 
@@ -93,30 +147,21 @@ class PartWriter(DataSourceArrowWriter):
 
         attempt = TaskContext.get().taskAttemptId()
         system, folder = filesystem(self.folder)
-        written, rows, held, current = [], 0, [], None
-
-        def flush():
-            if held:
-                name = f"{folder}/{current}-{attempt}"
-                with system.open_output_stream(name) as out:
-                    for piece in self.encode(pa.Table.from_batches(held)):
-                        out.write(piece)
-                written.append((current, name))
-
+        written, current, out = [], None, None
         system.create_dir(folder, recursive=True)
         for batch in iterator:
-            rows += batch.num_rows
-            numbers = batch.column(_FILE).to_numpy()
-            start = 0
-            while start < len(numbers):
-                stop = start + int((numbers[start:] == numbers[start]).argmin() or len(numbers) - start)
-                if numbers[start] != current:
-                    flush()
-                    held, current = [], int(numbers[start])
-                held.append(batch.slice(start, stop - start))
-                start = stop
-        flush()
-        return PartsWritten(written, rows)
+            numbers, sections, data = (batch.column(c) for c in (_FILE, _SECTION, _DATA))
+            for i, (number, section) in enumerate(zip(numbers.to_pylist(), sections.to_pylist())):
+                if number != current:
+                    if out is not None:
+                        out.close()
+                    current, name = number, f"{folder}/{number}-{attempt}"
+                    out = _Frame(system.open_output_stream(name), self.frame)
+                    written.append((number, name))
+                out.add(section, data[i].as_buffer())
+        if out is not None:
+            out.close()
+        return PartsWritten(written)
 
     def commit(self, messages):
         system, folder = filesystem(self.folder)
@@ -164,10 +209,54 @@ def numbered(df: DataFrame) -> Numbered:
     return Numbered(df.drop(_PART, _PLACE, "_begin"), rows)
 
 
+_ENCODED = f"{_FILE} long, {_SECTION} int, {_NUMBER} long, {_DATA} binary"
+
+
+def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * 4
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[_FILE, _SECTION, _NUMBER, _DATA])
+
+
+def _encoded_whole(table: Numbered, encode: Callable[[pa.Table], list[bytes]], rows_per_file: int) -> DataFrame:
+    """As ``_encoded``, for an encoder that must see a part as a whole."""
+
+    def whole(part):
+        pieces = encode(part.sort_by(_NUMBER))
+        return pa.Table.from_batches([_batch([(part.column(_FILE)[0].as_py(), i, 0, data) for i, data in enumerate(pieces)])])
+
+    df = table.df.withColumn(_FILE, F.floor(F.col(_NUMBER) / rows_per_file))
+    return df.groupBy(_FILE).applyInArrow(whole, _ENCODED)
+
+
+def _encoded(table: Numbered, layout: Layout, rows_per_file: int) -> DataFrame:
+    """(_file, _section, _number, _data): the bytes of every section of runs of consecutive rows of one part."""
+
+    def encode(batches):
+        for batch in batches:
+            number = batch.column(_NUMBER).to_numpy()
+            if len(number) and (np.diff(number) < 0).any():
+                batch, number = batch.take(pa.array(np.argsort(number))), np.sort(number)
+            cuts = np.flatnonzero((np.diff(number) != 1) | (np.diff(number // rows_per_file) != 0)) + 1
+            rows = []
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(number)]):
+                if start < stop:
+                    counts, pieces = layout.encode(batch.slice(start, stop - start))
+                    pieces = [(_COUNTS, np.array(counts, np.int64).tobytes()), *pieces]
+                    first = int(number[start])
+                    rows += [(first // rows_per_file, section, first, data) for section, data in pieces]
+            yield _batch(rows)
+
+    return table.df.mapInArrow(encode, _ENCODED)
+
+
 def write_parts(
-    table: Numbered, path: str, encode: Callable[[pa.Table], list[bytes]], rows_per_file: int = ROWS_PER_FILE
+    table: Numbered, path: str, encode: Layout | Callable[[pa.Table], list[bytes]], rows_per_file: int = ROWS_PER_FILE
 ) -> int:
-    """Writes ``encode`` of every ``rows_per_file`` rows as a part; the number of parts."""
+    """Writes every ``rows_per_file`` rows as a part; the number of parts.
+
+    With a ``Layout`` no task holds the rows of a part; a plain function is given all of them, for small parts.
+    """
     if not 0 < rows_per_file:
         raise ValueError("rows_per_file must be positive")
     if table.rows == 0:
@@ -185,13 +274,15 @@ def write_parts(
             return "particle_parts"
 
         def writer(self, schema, overwrite):
-            return PartWriter(path, files, encode, job)
+            return PartWriter(path, files, encode.frame if isinstance(encode, Layout) else None, job)
 
     spark = table.df.sparkSession
     spark.dataSource.register(Parts)
-    df = table.df.withColumn(_FILE, F.floor(F.col(_NUMBER) / rows_per_file))
     # A task writes as many small files as make its rows.
     tasks = min(files, max(spark.sparkContext.defaultParallelism, -(-table.rows // ROWS_PER_TASK)))
-    df = df.repartition(tasks, _FILE).sortWithinPartitions(_FILE, _NUMBER)
+    df = (_encoded if isinstance(encode, Layout) else _encoded_whole)(table, encode, rows_per_file)
+    # Neighbouring files, as many to each task.
+    df = df.repartitionById(tasks, F.floor(F.col(_FILE) * tasks / files).cast("int"))
+    df = df.sortWithinPartitions(_FILE, _SECTION, _NUMBER)
     df.write.format("particle_parts").mode("append").save()
     return files

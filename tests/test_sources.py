@@ -378,3 +378,26 @@ def test_small_files_share_tasks(spark, tmp_path, box, monkeypatch):
     assert back.agg({"x0": "sum"}).first()[0] == sum(i % 256 for i in range(3000))
     with pytest.raises(FileExistsError):
         binary.write_fof_binary(df, path, box, 0.2, 10)
+
+
+def test_parts_are_written_from_runs_of_rows(spark, tmp_path):
+    from boxstats.sources.parts import Layout, numbered, packed, write_parts
+
+    def encode(rows):
+        if rows.num_rows > 100:
+            raise RuntimeError("too many rows at once")
+        odd = rows.filter([i % 2 == 1 for i in rows.column("id").to_pylist()])
+        return [rows.num_rows], [(0, packed(rows, [("id", "<i8")])), (2, packed(odd, [("id", "<i4")]))]
+
+    layout = Layout(encode, lambda counts: [b"%3d" % counts[0], 0, b"|", 1, b"||", 2, b"."])
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "100")
+        assert write_parts(numbered(spark.range(0, 1750, 1, 3)), str(tmp_path / "out"), layout, 600) == 3
+    finally:
+        spark.conf.set(name, before)
+    for k in range(3):
+        ids = np.arange(600 * k, min(600 * k + 600, 1750))
+        want = b"%3d" % len(ids) + ids.astype("<i8").tobytes() + b"|||" + ids[1::2].astype("<i4").tobytes() + b"."
+        assert (tmp_path / f"out.{k}").read_bytes() == want
