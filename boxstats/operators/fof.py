@@ -86,13 +86,17 @@ def fof_groups(points: DataFrame, box: Box, link: float, cap: int = LEAF_CAP) ->
         )
     )
     close = point_pairs(leaf_pairs, nodes, nodes, box, link2, strict=True, half=True)
-    edges = [cell_edges, close.select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))]
+    # Edges are told by a cell that they lie in, so that those of one region are contracted together.
+    edges = [
+        cell_edges.withColumn("near", F.lit(0).cast("bigint")),
+        close.select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"), F.col("a_cid").alias("near")),
+    ]
     if tree.depth > 0:
         # A solid cell above leaf level ties its leaves together.
         parents = tree.cells.filter("not leaf").select(F.col("cid").alias("anc"), tree.cell_struct("c"))
         solid = parents.filter(diagonal2 < F.lit(link2)).select("anc", F.col("c.rep").alias("src"))
         leaves = tree.cells.filter("leaf").select("cid", F.col("rep").alias("dst"))
-        edges.append(lookup_join(tree.ancestors(), solid, ["anc"]).join(leaves, "cid").select("src", "dst"))
+        edges.append(lookup_join(tree.ancestors(), solid, ["anc"]).join(leaves, "cid").select("src", "dst", F.col("cid").alias("near")))
     components = connected_components(union_all(edges)).withColumnRenamed("id", "node")
     labels = nodes.join(components, "node", "left").select("pid", *X, F.coalesce("comp", "node").alias("gid"))
     if not pos.has_copies:

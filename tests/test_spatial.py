@@ -256,3 +256,30 @@ def test_rounds_leave_one_table(spark):
     found = connected_components(chain)
     assert found.select("comp").distinct().count() == 1 and found.count() == 301
     assert len(set(glob.glob(f"{folder}/boxstats-*")) - before) == 1
+
+
+def test_components_leave_few_edges_to_the_rounds(spark, monkeypatch):
+    from boxstats.operators import components
+
+    rng = np.random.default_rng(5)
+    order = rng.permutation(5000)
+    # A path through 5,000 nodes in any order, a path apart from it, and a star.
+    path = [(int(a), int(b), i) for i, (a, b) in enumerate(zip(order, order[1:]))]
+    apart = [(i, i + 1, i) for i in range(6000, 6400)]
+    star = [(7000 + i, 7999, 3) for i in range(500)]
+    sizes = []
+    original = components._digest
+
+    def watched(edges):
+        digest = original(edges)
+        sizes.append(digest[0])
+        return digest
+
+    monkeypatch.setattr(components, "_digest", watched)
+    df = spark.createDataFrame(path + apart + star + path[:50], "src long, dst long, near long")
+    got = {r.id: r.comp for r in components.connected_components(df).collect()}
+    want = {i: 0 for i in range(5000)} | {i: 6000 for i in range(6000, 6401)} | {i: 7000 for i in [*range(7000, 7500), 7999]}
+    assert got == want
+    assert max(sizes) <= 4 * spark.sparkContext.defaultParallelism
+    unsorted = {r.id: r.comp for r in components.connected_components(df.drop("near")).collect()}
+    assert unsorted == want
