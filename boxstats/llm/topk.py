@@ -1,5 +1,7 @@
-"""Exact top-k search by tiles: each product of a query tile and a data tile keeps its best few,
-and a tree of merges brings the short lists of a query together.
+"""Exact top-k search by tiles: the tiles lie in a grid of groups of queries and groups of data. A task holds one
+cell of the grid, goes through the products of its tiles and keeps the best few of every query; a tree of merges
+brings the short lists of a query together. Tiles meet in a shuffle, never by broadcast, and travel once per group
+of the other side.
 
 Vectors become integers, floor(scale * x), and scores are integer inner products, exact as long as
 they fit a long. Rows whose vector is null, empty, or holds a null or non-finite component take no
@@ -20,6 +22,10 @@ from boxstats.storage import materialize
 TILE, QUERY_TILE = 4096, 512
 #: Short lists that meet in one step of the merge tree.
 FAN_IN = 64
+#: Mean bytes of the vectors of a data group and of a query group; a task holds one of each.
+DATA_BYTES, QUERY_BYTES = 16 << 20, 4 << 20
+#: Cells of the grid per core, as far as there are tiles.
+CELLS_PER_CORE = 4
 
 
 def _integers(column: pa.Array, scale: float):
@@ -40,7 +46,8 @@ def _integers(column: pa.Array, scale: float):
 
 
 def tiles(rows: DataFrame, ident: str, vector: str, scale: float, size: int) -> DataFrame:
-    """(dim, ids, body): runs of up to ``size`` rows of a partition, sorted by id; no shuffle."""
+    """(dim, width, ids, body): runs of up to ``size`` rows of a partition, sorted by id, as integers of the fewest
+    bytes (``width``) that hold them; no shuffle."""
 
     def pack(batches):
         held: dict[int, list] = {}
@@ -54,8 +61,12 @@ def tiles(rows: DataFrame, ident: str, vector: str, scale: float, size: int) ->
             held[dim] = [(ids, body)] if len(ids) else []
 
         def batch_of(dim, ids, body):
+            width = next(w for w in (1, 2, 4, 8) if -(1 << 8 * w - 1) <= body.min() and body.max() < 1 << 8 * w - 1)
             return pa.RecordBatch.from_pydict(
-                {"dim": pa.array([dim], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "body": pa.array([body.astype("<i8").tobytes()], pa.binary())}
+                {
+                    "dim": pa.array([dim], pa.int32()), "width": pa.array([width], pa.int32()),
+                    "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "body": pa.array([body.astype(f"<i{width}").tobytes()], pa.binary()),
+                }
             )
 
         for batch in batches:
@@ -72,7 +83,7 @@ def tiles(rows: DataFrame, ident: str, vector: str, scale: float, size: int) ->
                     yield batch_of(*tile)
 
     named = rows.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    return named.filter("id IS NOT NULL AND vector IS NOT NULL").mapInArrow(pack, "dim int, ids binary, body binary")
+    return named.filter("id IS NOT NULL AND vector IS NOT NULL").mapInArrow(pack, "dim int, width int, ids binary, body binary")
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
@@ -96,34 +107,122 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
     return rows, ids[top], scores[rows, top]
 
 
+class _Tile:
+    """Ids and vectors of a tile, with what bounds its scores."""
+
+    def __init__(self, dim: int, width: int, ids: bytes, body: bytes):
+        self.ids, self.x = np.frombuffer(ids, "<i8"), np.frombuffer(body, f"<i{width}").reshape(-1, dim)
+        self.dim, self.most = dim, max(float(self.x.max()), -float(self.x.min()))
+        self.floats = self.x.astype(float)
+        # Rounded up, as a bound must be.
+        self.norm = float(np.sqrt((self.floats * self.floats).sum(1).max())) * (1 + 1e-9)
+        if self.norm < 1 << 24:
+            self.floats = self.floats.astype(np.float32)
+
+
+def _scores(q: _Tile, d: _Tile) -> np.ndarray:
+    """Inner products, exact; floats where every partial sum is a whole number that they hold."""
+    if q.most * d.most * q.dim >= 2.0**63:
+        raise ValueError("a score may not fit a long")
+    # A sum over some of the components is at most the product of the norms.
+    reach = q.norm * d.norm
+    if reach >= 2.0**53:
+        return q.x.astype(np.int64) @ d.x.astype(np.int64).T
+    kind = np.float32 if reach < 1 << 24 else float
+    return q.floats.astype(kind, copy=False) @ d.floats.astype(kind, copy=False).T
+
+
+class _Lists:
+    """The k best of every query of a tile so far, ordered by row, falling score and id."""
+
+    def __init__(self, own: np.ndarray, k: int):
+        self.own, self.k = own, k
+        self.rows = self.ids = self.scores = np.zeros(0, np.int64)
+        # The score that a candidate must reach: the k-th, once there are k.
+        self.least = np.full(len(own), np.iinfo(np.int64).min)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        least = self.least
+        if scores.dtype != np.int64:
+            # Scores beyond the type can't be reached or are reached by all, as they are when rounded.
+            least = least.astype(scores.dtype)
+        near = scores >= least[:, None]
+        if np.count_nonzero(near) > 4 * self.k * len(self.own):
+            rows, found, best = _best(scores.astype(np.int64, copy=False), ids, self.own, self.k)
+        else:
+            rows, at = np.nonzero(near)
+            found, best = ids[at], scores[rows, at].astype(np.int64)
+            real = found != self.own[rows]
+            rows, found, best = rows[real], found[real], best[real]
+        if not len(rows):
+            return
+        rows, found, best = (np.concatenate(x) for x in ((self.rows, rows), (self.ids, found), (self.scores, best)))
+        order = np.lexsort((found, -best, rows))
+        rows = rows[order]
+        begin = np.searchsorted(rows, np.arange(len(self.own)))
+        place = np.arange(len(rows)) - begin[rows]
+        kept = place < self.k
+        self.rows, self.ids, self.scores = rows[kept], found[order][kept], best[order][kept]
+        last = place[kept] == self.k - 1
+        self.least[self.rows[last]] = self.scores[last]
+
+
+def _cell(k: int):
+    """The function of one cell of the grid, for a cogrouped ``applyInArrow``: the k best of every query in it."""
+
+    def run(key, asked: pa.Table, data: pa.Table) -> pa.Table:
+        names = ["query_id", "q_tile", "query_row", "tile", "id", "score"]
+        parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
+        if asked.num_rows and data.num_rows:
+            dim, tile = key[0].as_py(), key[2].as_py()
+            columns = [asked.column(c).to_pylist() for c in ("q_width", "q_ids", "q_body")]
+            queries = [_Tile(dim, *row) for row in zip(*columns)]
+            lists = [_Lists(q.ids, k) for q in queries]
+            columns = [data.column(c) for c in ("width", "ids", "body")]
+            for row in range(data.num_rows):
+                d = _Tile(dim, *[c[row].as_py() for c in columns])
+                for q, best in zip(queries, lists):
+                    best.add(_scores(q, d), d.ids)
+            for q_tile, best in zip(asked.column("q_tile").to_pylist(), lists):
+                n = len(best.rows)
+                for part, values in zip(parts, (best.own[best.rows], np.full(n, q_tile), best.rows, np.full(n, tile), best.ids, best.scores)):
+                    part.append(values)
+        return pa.table({c: np.concatenate(part) for c, part in zip(names, parts)})
+
+    return run
+
+
+def _grid(data: DataFrame, asked: DataFrame) -> tuple[int, int]:
+    """Groups of data and of queries. Memory bounds both; data is cut further until every core has cells."""
+    size = F.coalesce(F.sum(F.octet_length("body")), F.lit(0))
+    (tiles_in, data_bytes), (_, query_bytes) = (df.agg(F.count(F.lit(1)), size).first() for df in (data, asked))
+    query_groups = max(1, -(-query_bytes // QUERY_BYTES))
+    cells = CELLS_PER_CORE * data.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-data_bytes // DATA_BYTES), min(tiles_in, -(-cells // query_groups))), query_groups
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, ident: str = "vec_id", vector: str = "embedding", k: int = 5, scale: float = 256.0) -> DataFrame:
     """query_id, rank (from 1), ``ident``, score: the k best candidates of each query row, exactly. Rows that
     repeat an id are queries, and candidates, of their own; a query's own id is never its candidate."""
     data = materialize(tiles(candidates, ident, vector, scale, TILE).withColumn("shard", F.monotonically_increasing_id()))
     asked = materialize(tiles(queries, ident, vector, scale, QUERY_TILE).withColumn("q_tile", F.monotonically_increasing_id()))
-    shards = data.count()
-    numbered = data.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(max(shards, 1))).cast("int"))
-    # Every query tile goes to every shard; a stated query set against all rows, in blocks.
-    sent = asked.select("dim", "q_tile", F.col("ids").alias("q_ids"), F.col("body").alias("q_body"), F.explode(F.sequence(F.lit(0), F.lit(max(shards, 1) - 1))).alias("shard"))
+    shards, query_groups = _grid(data, asked)
 
-    def multiply(batches):
-        for batch in batches:
-            for dim, asked_in, qi, qb, di, db, shard in zip(*(batch.column(c).to_pylist() for c in ("dim", "q_tile", "q_ids", "q_body", "ids", "body", "shard"))):
-                own, ids = np.frombuffer(qi, "<i8"), np.frombuffer(di, "<i8")
-                q, d = np.frombuffer(qb, "<i8").reshape(-1, dim), np.frombuffer(db, "<i8").reshape(-1, dim)
-                bound = float(np.abs(q).max()) * float(np.abs(d).max()) * dim
-                if bound >= 2.0**63:
-                    raise ValueError("a score may not fit a long")
-                exact = (q.astype(float) @ d.astype(float).T).astype(np.int64) if bound < 2.0**53 else q @ d.T
-                rows, best, score = _best(exact, ids, own, k)
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": own[rows], "q_tile": np.full(len(rows), asked_in), "query_row": rows, "tile": np.full(len(rows), shard), "id": best, "score": score}
-                )
-
-    pairs = sent.join(numbered.select("dim", "ids", "body", "shard"), ["shard", "dim"])
-    lists = pairs.select("dim", "q_tile", "q_ids", "q_body", "ids", "body", "shard").mapInArrow(
-        multiply, "query_id long, q_tile long, query_row long, tile long, id long, score long"
+    def dealt(column: str, groups: int):
+        return F.pmod(F.xxhash64(column), F.lit(groups)).cast("int")
+
+    def every(groups: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+
+    # A join with every group of the other side could be planned as a broadcast of all the copies; a cogroup can't.
+    key = ["dim", "query_group", "shard"]
+    data = data.select("dim", every(query_groups).alias("query_group"), dealt("shard", shards).alias("shard"), "width", "ids", "body")
+    asked = asked.select(
+        "dim", dealt("q_tile", query_groups).alias("query_group"), every(shards).alias("shard"), "q_tile",
+        F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body"),
     )
+    sides = [df.repartition(shards * query_groups, *key).groupBy(*key) for df in (asked, data)]
+    lists = sides[0].cogroup(sides[1]).applyInArrow(_cell(k), "query_id long, q_tile long, query_row long, tile long, id long, score long")
     # Tree merge: the lists of FAN_IN shards at a time, so no group holds more than FAN_IN * k rows
     # of a query. A query is a row: rows of one id have lists of their own.
     query = ["q_tile", "query_row"]

@@ -279,6 +279,26 @@ def test_repeated_queries_have_lists_of_their_own(spark):
     assert sorted((r["rank"], r.vec_id) for r in got) == sorted(first * 2 + second)
 
 
+@pytest.mark.parametrize("scale", [1.0, 256.0, 2.0**16, 2.0**20])
+def test_tiles_meet_in_a_grid_without_broadcast(spark, monkeypatch, scale):
+    for name, value in (("TILE", 16), ("QUERY_TILE", 5), ("DATA_BYTES", 1500), ("QUERY_BYTES", 400), ("CELLS_PER_CORE", 1)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(0, 1, (400, 8)), 1)
+    x[::7] *= 100
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = topk.top_k(df.filter("vec_id % 4 = 0"), df, k=5, scale=scale)
+    got = found.collect()
+    # The copies of the queries, one for every group of data, were held by the driver.
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    whole = np.floor(scale * x).astype(np.int64)
+    expected = []
+    for i in range(0, 400, 4):
+        scored = sorted((-int(s), j) for j, s in enumerate(whole @ whole[i]) if j != i)[:5]
+        expected += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored)]
+    same(got, expected)
+
+
 def test_texts_of_rows_without_doc_id_keep_what_is_theirs(spark):
     rng = random.Random(3)
     shared = prose(rng, 120)
