@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 import boxstats as bs
 from boxstats.operators import leafpairs, pairs, tree
+from boxstats.storage import materialize
 
 
 def points(spark, x, u, pid=None):
@@ -150,3 +153,69 @@ def test_counts_beyond_double_precision_are_exact():
     rows = pa.table({"a_x0": [0.0, 0.5], "a_x1": [0.0, 0.0], "a_x2": [0.0, 0.0], "a_w": [w, w]})
     a = leafpairs.Points(rows, "a", fold)
     assert leafpairs.fold_leaves(a, a, True, fold).n[0] == w * w
+
+
+@pytest.mark.parametrize("most", [256, 7])
+def test_passes_ship_few_points_and_give_whole_sums(spark, box, piles, monkeypatch, most):
+    x, u = piles
+    shipped, passes = [], []
+
+    def seen(df, original=tree.materialize):
+        shipped.extend(df.agg(F.sum("load")).collect() if df.columns[-1] == "load" and "side" in df.columns else [])
+        passes.extend([1] if df.columns[:2] == ["ibin", "n"] else [])
+        return original(df)
+
+    def counted(ids, *rest, original=tree.join_blocks):
+        shipped.extend(ids.filter("a_cid != b_cid").agg(F.sum(F.col("a_load") + F.col("b_load"))).collect())
+        return original(ids, *rest)
+
+    for where, name, value in ((pairs, "MEAN_POINTS", 8), (tree, "BLOCK_POINTS", 128), (tree, "PASS_POINTS", 600)):
+        monkeypatch.setattr(where, name, value)
+    monkeypatch.setattr(tree, "materialize", seen)
+    monkeypatch.setattr(tree, "join_blocks", counted)
+    monkeypatch.setattr(pairs, "_ordered_moments", lambda p, b, f=pairs._ordered_moments: f(p, b, most))
+    check(bs.pair_bins(points(spark, x, u), None, box, 40.0, 4.0), brute(x, u, x, u, 40.0, 4.0, True))
+    # Points were shipped to every pair of leaves, and all at one time.
+    assert shipped[1][0] < shipped[0][0] / 2 and len(passes) > 1
+
+
+def test_lists_of_copies_are_walked_in_the_order_of_pid():
+    rng = np.random.default_rng(7)
+    fold = leafpairs.Fold(9.0, 1.0, ("u1",), True, True, False, True, 256.0, True)
+    pid = rng.permutation(200)
+    cuts = np.sort(rng.choice(np.arange(1, 200), 24, replace=False))
+    lists = [np.sort(p) for p in np.split(pid, cuts)]
+    u = rng.integers(-9, 9, 200).astype(float)
+
+    def leaf(rows):
+        some = [lists[r] for r in rows]
+        data = {f"a_x{i}": rng.random(len(rows)) for i in range(3)}
+        data |= {"a_w": [len(p) for p in some], "a_su": [u[p].sum() for p in some], "a_su2": [(u[p] ** 2).sum() for p in some]}
+        data |= {"a_pid": [p[0] for p in some], "a_last": [p[-1] for p in some]}
+        data |= {"a_pids": [p.tolist() if len(p) > 1 else [] for p in some], "a_us": [u[p].tolist() if len(p) > 1 else [] for p in some]}
+        return leafpairs.Points(pa.table(data), "a", fold), data
+
+    (a, da), (b, db) = leaf(range(12)), leaf(range(12, 25))
+    ia, ib = (k.ravel() for k in np.meshgrid(np.arange(12), np.arange(13), indexing="ij"))
+    got = leafpairs.merged(a, ia, b, ib, False)
+    by_pid = {int(p[0]): p for p in lists}
+    for value, i, j in zip(got, ia, ib):
+        p, q = by_pid[int(a.data["pid"][i])], by_pid[int(b.data["pid"][j])]
+        before = p[:, None] < q[None]
+        assert value == pytest.approx(np.where(before, u[q][None], -u[p][:, None]).sum())
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    df = spark.range(1000).groupBy((F.col("id") % 77).alias("k")).count()
+    table = materialize(df)
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert table.count() == 77 and df.agg(F.sum("count")).first()[0] == 1000
